@@ -206,8 +206,18 @@ def pack_pool(
         F.lit(0).cast("long").alias("sent"),
         F.array().cast("array<int>").alias("chosen"),
     )
-    chosen_here = walked.join(unsure.select("pool_id", "pos", *UNIT[1:], "ref"), ["pool_id", "pos"]).select(
-        "question_id", *UNIT, "ref", "decision", "sent", "chosen"
+    # What every question of a pool agrees on is stored once as well.
+    verdict = F.struct("decision", "sent", "chosen")
+    per_unit = walked.groupBy("pool_id", "pos").agg(F.min(verdict).alias("_lo"), F.max(verdict).alias("_hi"))
+    agreed = per_unit.filter(F.col("_lo") == F.col("_hi")).select(
+        F.lit(None).cast("long").alias("question_id"), "pool_id", "pos", "_lo.*"
+    )
+    apart = walked.join(agreed.select("pool_id", "pos"), ["pool_id", "pos"], "left_anti")
+    chosen_here = (
+        apart.select(*agreed.columns)
+        .unionByName(agreed)
+        .join(unsure.select("pool_id", "pos", *UNIT[1:], "ref"), ["pool_id", "pos"])
+        .select("question_id", *UNIT, "ref", "decision", "sent", "chosen")
     )
     return out.unionByName(never).unionByName(chosen_here)
 
