@@ -313,7 +313,7 @@ select doc_id, source, n_chars from documents where doc_id not in (select doc_id
 union all select doc_id, source, n_chars from last where source <> 'error'""",
     "replace_by_owner__o5": """with o as (select distinct conv_id from conversations where role = 'system')
 select conv_id "owner", turn, role, text from conversations where conv_id not in (from o)
-union all select conv_id, turn, role, upper(text) from conversations where conv_id in (from o) and role = 'user'""",
+union all select conv_id, turn, role, 'new ' || text from conversations where conv_id in (from o) and role = 'user'""",
     "cascade_delete__o6": f"""select doc_id, 'text' kept_in from documents where doc_id not in {GONE}
 union all select doc_id, 'label' from labels where doc_id not in {GONE}""",
     "upload_kind__o7": f"with {UPLOAD} select ord, mime, refusal reason from told",

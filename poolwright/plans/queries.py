@@ -64,7 +64,7 @@ def apply_changes(s: SparkSession, d: str) -> DataFrame:
 def replace_by_owner(s: SparkSession, d: str) -> DataFrame:
     base = i.messages(s, d).select("owner", "turn", "role", "text")
     owners = base.filter(F.col("role") == "system").select("owner")
-    new = base.filter(F.col("role") == "user").withColumn("text", F.upper("text"))
+    new = base.filter(F.col("role") == "user").withColumn("text", F.concat(F.lit("new "), "text"))
     return chat.replace_by_owner(base, new, owners)
 
 
