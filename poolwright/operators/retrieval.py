@@ -8,7 +8,7 @@ from poolwright.functions.text import byte_len, paragraphs, query_terms, words a
 from poolwright.operators.ordering import largest_group
 
 SEPARATOR = "\n\n"
-MANY_TERMS = 128
+MANY_TERMS = 1_000
 
 
 def split_paragraphs(docs: DataFrame, delimiter: str = "\n\n", text: str = "text") -> DataFrame:

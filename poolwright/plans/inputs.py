@@ -24,9 +24,19 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return reader.parquet(f"{folder}/{name}.parquet")
 
 
+def texts(spark: SparkSession, folder: str, name: str, key: str) -> DataFrame:
+    """A table of long texts, spread over the cores when it is read as fewer parts than there are.
+
+    Only a small table has so few parts; a large one is read as it lies, without a shuffle.
+    """
+    df = table(spark, folder, name)
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def pool_docs(spark: SparkSession, folder: str) -> DataFrame:
     """Documents by source: read, failed, pending and never-read files, and text documents."""
-    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    docs, labels = texts(spark, folder, "documents", "doc_id"), table(spark, folder, "labels")
     quality, lang = F.col("quality"), F.col("lang")
     kind = F.when(quality.isNotNull() | lang.isin("fr", "es"), "file").otherwise("text")
     state = (
@@ -46,7 +56,8 @@ def pool_docs(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def pool_texts(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "documents").select(F.col("source").alias("pool_id"), "doc_id", "text")
+    docs = texts(spark, folder, "documents", "doc_id")
+    return docs.select(F.col("source").alias("pool_id"), "doc_id", "text")
 
 
 def pool_images(spark: SparkSession, folder: str) -> DataFrame:
@@ -329,7 +340,7 @@ def messages(spark: SparkSession, folder: str) -> DataFrame:
 
 def uploads(spark: SparkSession, folder: str) -> DataFrame:
     """Pages as uploaded files, with the leading bytes of every kind of file in turn."""
-    p = table(spark, folder, "pages")
+    p = texts(spark, folder, "pages", "page_id")
     case = F.col("page_id") % 6
     head = (
         F.when(case == 1, F.unhex(F.lit("89504E470D0A1A0A")))

@@ -92,7 +92,7 @@ def clean_name(s: SparkSession, d: str) -> DataFrame:
 
 
 def clip_bytes(s: SparkSession, d: str) -> DataFrame:
-    return i.table(s, d, "documents").select("doc_id", ft.clip("text", 200).alias("clipped"))
+    return i.texts(s, d, "documents", "doc_id").select("doc_id", ft.clip("text", 200).alias("clipped"))
 
 
 def with_ending(s: SparkSession, d: str) -> DataFrame:
@@ -113,7 +113,7 @@ def coherent(s: SparkSession, d: str) -> DataFrame:
 
 def squeeze_blank_lines(s: SparkSession, d: str) -> DataFrame:
     spread = F.replace("text", F.lit(". "), F.lit(". \n\t\n \n"))
-    return i.table(s, d, "documents").select("doc_id", F.md5(ft.squeeze_blank_lines(spread)).alias("digest"))
+    return i.texts(s, d, "documents", "doc_id").select("doc_id", F.md5(ft.squeeze_blank_lines(spread)).alias("digest"))
 
 
 def strip_bom(s: SparkSession, d: str) -> DataFrame:
