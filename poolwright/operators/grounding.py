@@ -363,23 +363,45 @@ def note_pieces(gaps: DataFrame, width: int = 1000) -> DataFrame:
     )
 
 
+def _rank_of(gap: Column) -> Column:
+    return F.coalesce(*[F.when(gap == g, F.lit(i)) for i, g in enumerate(NOTE_SENTENCES)])
+
+
 def disclosure_notes(pieces: DataFrame, keys: list[str]) -> DataFrame:
-    """The note as one text per key, for keys whose pieces fit one request: keys, note."""
-    per_gap = pieces.groupBy(*keys, "gap").agg(
-        joined_in_order(F.col("names"), [F.col("piece")], ", ").alias("names")
-    )
-    rank = F.coalesce(*[F.when(F.col("gap") == g, F.lit(i)) for i, g in enumerate(NOTE_SENTENCES)])
-    lead = F.coalesce(*[F.when(F.col("gap") == g, F.lit(s)) for g, s in NOTE_SENTENCES.items()])
-    sentence = F.concat(lead, F.col("names"), F.lit(". "))
-    return per_gap.groupBy(*keys).agg(
-        F.concat(
-            F.lit(NOTE_OPENING), joined_in_order(sentence, [rank], ""), F.lit(NOTE_CLOSING)
-        ).alias("note")
+    """The note in fragments: keys, gap, piece, fragment.
+
+    Concatenated in the order of the gaps and their pieces the fragments are the whole note of
+    a key, however many names it lists: no fragment grows with the pool.
+    """
+    gap, piece = F.col("gap"), F.col("piece")
+    lists = pieces.groupBy(*keys, "gap").agg(F.min("piece").alias("_lo"), F.max("piece").alias("_hi"))
+    gaps = pieces.groupBy(*keys).agg(F.min(_rank_of(gap)).alias("_first"), F.max(_rank_of(gap)).alias("_last"))
+    lead = F.coalesce(*[F.when(gap == g, F.lit(t)) for g, t in NOTE_SENTENCES.items()])
+    starts, ends = piece == F.col("_lo"), piece == F.col("_hi")
+    blank = F.lit("")
+    return (
+        pieces.join(lists, [*keys, "gap"])
+        .join(gaps, keys)
+        .select(
+            *keys,
+            "gap",
+            "piece",
+            F.concat(
+                F.when(starts & (_rank_of(gap) == F.col("_first")), NOTE_OPENING).otherwise(blank),
+                F.when(starts, lead).otherwise(blank),
+                "names",
+                F.when(ends, ". ").otherwise(", "),
+                F.when(ends & (_rank_of(gap) == F.col("_last")), NOTE_CLOSING).otherwise(blank),
+            ).alias("fragment"),
+        )
     )
 
 
 def question_notes(pieces: DataFrame, questions: DataFrame) -> DataFrame:
-    """One note per question that left something out: question_id, note."""
+    """One note per question that left something out: question_id, note.
+
+    For the requests themselves: a request is one row, and its note is part of it.
+    """
     asked = questions.select("question_id", "pool_id")
     own = pieces.filter(F.col("question_id").isNotNull())
     touched = own.select("question_id", "pool_id", "piece").distinct()
@@ -389,7 +411,24 @@ def question_notes(pieces: DataFrame, questions: DataFrame) -> DataFrame:
         .join(asked, "pool_id")
         .join(touched, ["question_id", "pool_id", "piece"], "left_anti")
     )
-    return disclosure_notes(own.unionByName(shared), ["question_id"])
+    fragments = disclosure_notes(own.unionByName(shared), ["question_id"])
+    return fragments.groupBy("question_id").agg(
+        joined_in_order(F.col("fragment"), [_rank_of(F.col("gap")), F.col("piece")], "").alias("note")
+    )
+
+
+def with_notes(parts: DataFrame, notes: DataFrame) -> DataFrame:
+    """Parts led by the note of their question: question_id, ord, path, media_type, content, ref, decision."""
+    head = notes.select(
+        "question_id",
+        F.lit(-1).cast("long").alias("ord"),
+        F.lit(NOTE_PATH).alias("path"),
+        F.lit(NOTE_TYPE).alias("media_type"),
+        F.col("note").alias("content"),
+        F.lit("").alias("ref"),
+        F.lit("whole").alias("decision"),
+    )
+    return parts.select(*head.columns).unionByName(head)
 
 
 SENT = ("whole", "ref", "partial")
@@ -432,7 +471,7 @@ def text_only(parts: DataFrame, note: str = NO_VISION_NOTE) -> DataFrame:
     """Parts without their images, led by a note: question_id, ord, path, media_type, content."""
     head = parts.select("question_id").distinct().select(
         "question_id",
-        F.lit(-1).cast("long").alias("ord"),
+        F.lit(-2).cast("long").alias("ord"),
         F.lit(NOTE_PATH).alias("path"),
         F.lit(NOTE_TYPE).alias("media_type"),
         F.lit(note).alias("content"),
@@ -441,9 +480,22 @@ def text_only(parts: DataFrame, note: str = NO_VISION_NOTE) -> DataFrame:
     return kept.select(*head.columns).unionByName(head)
 
 
-def uses_refs(parts: DataFrame) -> DataFrame:
-    """Whether a question was sent any reference, so that a failure is worth a retry in full."""
-    return parts.groupBy("question_id").agg(F.bool_or(F.col("decision") == "ref").alias("retry_due"))
+def uses_refs(packed: DataFrame, questions: DataFrame) -> DataFrame:
+    """Whether a question is sent any reference, so that a failure is worth a retry in full.
+
+    Shared decisions are judged once per pool.
+    """
+    sent = packed.filter(F.col("decision").isin(*SENT))
+    ref = F.bool_or(F.col("decision") == "ref").alias("ref")
+    shared = sent.filter(F.col("question_id").isNull()).groupBy("pool_id").agg(ref)
+    own = sent.filter(F.col("question_id").isNotNull()).groupBy("question_id").agg(ref.alias("_own"))
+    no = F.lit(False)
+    return (
+        questions.select("question_id", "pool_id")
+        .join(shared, "pool_id", "left")
+        .join(own, "question_id", "left")
+        .select("question_id", (F.coalesce("ref", no) | F.coalesce("_own", no)).alias("retry_due"))
+    )
 
 
 def remember_refs(parts: DataFrame, returned: DataFrame) -> DataFrame:

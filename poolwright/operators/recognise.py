@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from poolwright.functions.files import with_ending
 from poolwright.functions.text import trim_space
-from poolwright.operators.grounding import text_only, uses_refs
+from poolwright.operators.grounding import text_only
 
 RESULT = (
     "doc_id long, idx int, label string, track string, page int, text string, note string, "
@@ -94,10 +94,13 @@ def answer(parts: DataFrame, prompts: DataFrame, model: Callable) -> DataFrame:
     return first.join(blind, "question_id", "left_anti").unionByName(again)
 
 
-def retry_in_full(answers: DataFrame, parts: DataFrame, full_parts: DataFrame, prompts: DataFrame, model: Callable) -> DataFrame:
-    """Ask failed questions that were sent references once more, with ``full_parts`` instead."""
-    due = uses_refs(parts).filter("retry_due").select("question_id")
-    failed = answers.filter(F.col("error") != "").join(due, "question_id", "left_semi").select("question_id")
+def retry_in_full(answers: DataFrame, due: DataFrame, full_parts: DataFrame, prompts: DataFrame, model: Callable) -> DataFrame:
+    """Ask failed questions that were sent references once more, with ``full_parts`` instead.
+
+    ``due``: question_id, retry_due, as ``uses_refs`` gives it.
+    """
+    sent_refs = due.filter("retry_due").select("question_id")
+    failed = answers.filter(F.col("error") != "").join(sent_refs, "question_id", "left_semi").select("question_id")
     again = answer(
         full_parts.join(failed, "question_id", "left_semi"), prompts.join(failed, "question_id", "left_semi"), model
     )

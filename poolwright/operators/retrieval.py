@@ -52,32 +52,72 @@ def matched_terms(paras: DataFrame, terms: DataFrame, keys: list[str]) -> DataFr
     return words.join(found, "word").select(*keys, F.explode("terms").alias("term"))
 
 
-def paragraph_scores(
-    docs: DataFrame, questions: DataFrame, delimiter: str = "\n\n"
+def request_features(
+    docs: DataFrame,
+    questions: DataFrame,
+    requests: DataFrame,
+    delimiter: str = "\n\n",
+    many_terms: int = MANY_TERMS,
 ) -> DataFrame:
-    """Score above zero of every (question, paragraph) of the question's own pool.
+    """The paragraphs of each requested document, scored for the question: question_id, doc_id, paras.
+
+    ``docs``: doc_id, text. ``questions``: question_id, text. ``requests``: question_id, doc_id, the
+    pairs to work on. ``paras`` is ``array<struct<neg, idx, bytes>>`` in rank order: score
+    descending (``neg`` is the score below zero), then reading order.
 
-    ``docs``: pool_id, doc_id, text. ``questions``: question_id, pool_id, text.
+    A question has few words, so its terms are looked for inside the scan of the document.
+    The longest question is measured first; beyond ``many_terms`` the word join takes over.
     """
-    feats = paragraph_features(docs, questions, delimiter)
-    asked = question_terms(questions.select("question_id", "pool_id", "text"))
-    scores = F.transform(
-        "paras",
-        lambda p: F.struct(
-            p["idx"].alias("idx"), F.size(F.array_intersect(p["terms"], "terms")).alias("score")
+    asked = question_terms(questions.select("question_id", "text"))
+    longest = asked.agg(F.max(F.size("terms")).alias("n")).first()["n"] or 0
+    if longest > many_terms:
+        one = docs.select(F.lit("").alias("pool_id"), "doc_id", "text").join(
+            requests.select("doc_id").distinct(), "doc_id", "left_semi"
+        )
+        words = asked.select(F.explode("terms").alias("term")).distinct()
+        feats = _features_by_word(one, words, delimiter).join(requests, "doc_id").join(asked, "question_id")
+        return feats.select("question_id", "doc_id", ranked(F.col("paras"), F.col("terms")).alias("paras"))
+    pieces = F.transform(
+        paragraphs("text", delimiter),
+        lambda p: F.struct(byte_len(p).alias("bytes"), F.lower(p).alias("lower")),
+    )
+    scored = F.transform(
+        pieces,
+        lambda p, i: F.struct(
+            (-F.size(F.filter("terms", lambda t: F.contains(p["lower"], t)))).alias("neg"),
+            i.cast("int").alias("idx"),
+            p["bytes"].alias("bytes"),
         ),
     )
-    # explode_outer: a plain explode would add a size() filter and score everything twice.
-    return (
-        feats.join(asked, "pool_id")
-        .select(
-            "question_id", "doc_id", F.explode_outer(F.filter(scores, lambda s: s["score"] > 0)).alias("s")
-        )
-        .filter(F.col("s").isNotNull())
-        .select("question_id", "doc_id", "s.idx", "s.score")
+    pairs = requests.select("question_id", "doc_id").join(asked, "question_id")
+    return docs.select("doc_id", "text").join(pairs, "doc_id").select(
+        "question_id", "doc_id", F.sort_array(scored).alias("paras")
     )
 
 
+def _each(feats: DataFrame, value: Column) -> DataFrame:
+    """One row per element of ``value``. A plain explode would add a size() filter and score twice."""
+    rows = feats.select("question_id", "doc_id", F.explode_outer(value).alias("_e"))
+    return rows.filter(F.col("_e").isNotNull()).select("question_id", "doc_id", "_e.*")
+
+
+def paragraph_scores(
+    docs: DataFrame, questions: DataFrame, requests: DataFrame, delimiter: str = "\n\n"
+) -> DataFrame:
+    """Score above zero of every requested paragraph: question_id, doc_id, idx, score."""
+    hits = F.filter("paras", lambda p: p["neg"] < 0)
+    score = F.transform(hits, lambda p: F.struct(p["idx"].alias("idx"), (-p["neg"]).alias("score")))
+    return _each(request_features(docs, questions, requests, delimiter), score)
+
+
+def rank_paragraphs(
+    docs: DataFrame, questions: DataFrame, requests: DataFrame, delimiter: str = "\n\n"
+) -> DataFrame:
+    """The place of every requested paragraph, from 1 in its document: question_id, doc_id, idx, place."""
+    places = F.transform("paras", lambda p, i: F.struct(p["idx"].alias("idx"), (i + 1).alias("place")))
+    return _each(request_features(docs, questions, requests, delimiter), places)
+
+
 def paragraph_features(
     docs: DataFrame, questions: DataFrame, delimiter: str = "\n\n", many_terms: int = MANY_TERMS
 ) -> DataFrame:
@@ -187,10 +227,9 @@ def take_greedily(order: Column, budget: Column) -> Column:
     return F.aggregate(F.filter(order, lambda p: p["bytes"] <= budget), start, step)
 
 
-def _choose(pairs: DataFrame, budget: int) -> DataFrame:
-    """Add ``used`` and ``chosen`` to rows that carry ``paras`` and ``terms``."""
+def _choose(sized: DataFrame, budget: int) -> DataFrame:
+    """Add ``used`` and ``chosen`` to rows that carry ranked paragraphs as ``_rank``."""
     limit = F.lit(budget).cast("long")
-    sized = pairs.withColumn("_rank", ranked(F.col("paras"), F.col("terms")))
     # The leading run that fits needs no per-paragraph array; the walk starts behind it.
     start = F.struct(
         F.lit(0).cast("long").alias("used"), F.lit(0).alias("n"), F.lit(True).alias("open")
@@ -236,38 +275,21 @@ def _choose(pairs: DataFrame, budget: int) -> DataFrame:
 
 
 def select_paragraphs(
-    docs: DataFrame, questions: DataFrame, budget: int, delimiter: str = "\n\n"
+    docs: DataFrame, questions: DataFrame, requests: DataFrame, budget: int, delimiter: str = "\n\n"
 ) -> DataFrame:
-    """Per question and document of its pool: the chosen paragraphs and their bytes.
+    """Per request the chosen paragraphs and their bytes: question_id, doc_id, used, chosen.
 
-    Output: question_id, doc_id, used, chosen (sorted ``idx``). Only sizes and terms
-    are carried; ``with_text`` joins the text of the chosen ones.
+    Only sizes and scores are carried; ``with_text`` joins the text of the chosen ones.
     """
-    feats = paragraph_features(docs, questions, delimiter)
-    asked = question_terms(questions.select("question_id", "pool_id", "text"))
-    pairs = feats.join(asked, "pool_id")
-    return _choose(pairs, budget).select("question_id", "doc_id", "used", "chosen")
-
-
-def rank_paragraphs(docs: DataFrame, questions: DataFrame, delimiter: str = "\n\n") -> DataFrame:
-    """The place of every paragraph for every question of its pool: question_id, doc_id, idx, place.
-
-    Score descending, then reading order; places count from 1 within the document.
-    """
-    asked = question_terms(questions.select("question_id", "pool_id", "text"))
-    pairs = paragraph_features(docs, questions, delimiter).join(asked, "pool_id")
-    order = F.transform(ranked(F.col("paras"), F.col("terms")), lambda p, i: F.struct(p["idx"].alias("idx"), (i + 1).alias("place")))
-    return (
-        pairs.select("question_id", "doc_id", F.explode_outer(order).alias("p"))
-        .filter(F.col("p").isNotNull())
-        .select("question_id", "doc_id", "p.idx", "p.place")
-    )
+    feats = request_features(docs, questions, requests, delimiter).withColumnRenamed("paras", "_rank")
+    return _choose(feats, budget).select("question_id", "doc_id", "used", "chosen")
 
 
 def leading_text(docs: DataFrame, budget: int, delimiter: str = "\n\n") -> DataFrame:
     """The selection when nothing was asked: every score is zero, so reading order decides."""
-    none = leading_features(docs, delimiter).withColumn("terms", F.array().cast("array<string>"))
-    return _choose(none, budget).select("doc_id", "used", "chosen")
+    none = F.array().cast("array<string>")
+    feats = leading_features(docs.select("doc_id", F.lit("").alias("pool_id"), "text"), delimiter)
+    return _choose(feats.withColumn("_rank", ranked(F.col("paras"), none)), budget).select("doc_id", "used", "chosen")
 
 
 def with_text(selection: DataFrame, docs: DataFrame, delimiter: str = "\n\n") -> DataFrame:

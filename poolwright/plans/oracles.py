@@ -52,13 +52,13 @@ QUESTIONS = f"""question as (
   select item_id question_id, 'src' || (item_id % 20) pool_id, {terms('text')} terms from benchmark)"""
 
 SCORED = f"""para as (
-  select doc_id, source pool_id, unnest(ps) para, unnest(range(len(ps))) idx
-  from (select doc_id, source, {paragraphs('text')} ps from documents)),
+  select doc_id, doc_id % (select count(*) from benchmark) question_id, unnest(ps) para, unnest(range(len(ps))) idx
+  from (select doc_id, {paragraphs('text')} ps from documents)),
 {QUESTIONS},
 scored as (
   select question_id, doc_id, idx, strlen(para) bytes,
     len(list_filter(terms, lambda t: contains(lower(para), t))) score
-  from para join question using (pool_id)),
+  from para join question using (question_id)),
 ranked as (
   select *, row_number() over (partition by question_id, doc_id order by score desc, idx) place from scored)"""
 
@@ -406,19 +406,30 @@ kept as (select k.doc_id, string_agg(p.para, chr(10) || chr(10) order by p.idx)
 select d.doc_id, coalesce(used, 0)::bigint used, md5(coalesce(t, '')) digest from documents d left join picked using (doc_id) left join kept using (doc_id)""",
     "pack_pool__o38": SHARED + " select question_id, pool_id, doc_id, idx::bigint idx, decision, sent, array_to_string(chosen, ',') chosen from packed",
     "gap_rows__o39": SHARED + " select question_id, pool_id, path, gap from gap",
-    "disclosure_notes__o40": SHARED + f""",
-names as (select question_id, gap, string_agg(path, ', ' order by seq, sub) n from gap_each group by 1, 2)
-select question_id, {q(gr.NOTE_OPENING)} || string_agg({GAP_TEXT} || n || '. ', '' order by {GAP_ORDER}) || {q(gr.NOTE_CLOSING)} note from names group by 1""",
-    "note_pieces__o40": NO_QUESTION + " select pool_id, gap, seq // 100 piece, string_agg(path, ', ' order by seq, sub) names from gap group by 1, 2, 3",
+    "disclosure_notes__o40": NO_QUESTION + f""",
+piece as (select pool_id, gap, seq // 100 piece, string_agg(path, ', ' order by seq, sub) names, {GAP_ORDER} o from gap group by pool_id, gap, piece)
+select pool_id, gap, piece,
+  (case when row_number() over (partition by pool_id order by o, piece) = 1 then {q(gr.NOTE_OPENING)} else '' end) ||
+  (case when row_number() over (partition by pool_id, gap order by piece) = 1 then {GAP_TEXT} else '' end) || names ||
+  (case when row_number() over (partition by pool_id, gap order by piece desc) = 1 then '. ' else ', ' end) ||
+  (case when row_number() over (partition by pool_id order by o desc, piece desc) = 1 then {q(gr.NOTE_CLOSING)} else '' end) fragment
+from piece""",
+    "note_pieces__o40": SHARED + """,
+shared as (select pool_id, gap, seq // 100 piece, seq, sub, path from gap where question_id is null),
+own as (select question_id, pool_id, gap, seq // 100 piece, seq, sub, path from gap where question_id is not null),
+touched as (select distinct question_id, pool_id, piece from own),
+every as (
+  select * from own union all select question_id, s.* from shared s join touched using (pool_id, piece) union all select null, * from shared)
+select question_id, pool_id, gap, piece, string_agg(path, ', ' order by seq, sub) names from every group by 1, 2, 3, 4""",
     "context_counts__o41": SHARED + """ select question_id, count(*) filter (where media_type not like 'image/%') docs,
   count(*) filter (where media_type like 'image/%') images, sum(sent)::bigint bytes
 from decided where decision in ('whole', 'partial', 'ref') group by 1""",
     "text_only__o42": SHARED + f""",
 sent as (select * from decided where decision in ('whole', 'partial'))
 select question_id, (seq * 1000 + sub)::bigint ord, path, media_type, md5('') digest from sent where media_type not like 'image/%'
-union all select distinct question_id, -1::bigint, 'grounding-note', 'text/markdown', md5({q(gr.NO_VISION_NOTE)}) from sent""",
+union all select distinct question_id, -2::bigint, 'grounding-note', 'text/markdown', md5({q(gr.NO_VISION_NOTE)}) from sent""",
     "pack_with_refs__o43a": REFS_NO_QUESTION + " select pool_id, doc_id, idx::bigint idx, decision, sent, coalesce(ref, '') \"ref\" from packed",
-    "uses_refs__o43a": REFS + " select question_id, bool_or(decision = 'ref') retry_due from decided where decision in ('whole', 'partial', 'ref') group by 1",
+    "uses_refs__o43a": REFS + " select question_id, coalesce(bool_or(decision = 'ref'), false) retry_due from question left join (select question_id, decision from decided) using (question_id) group by 1",
     "remember_refs__o43b": SHARED + """,
 sent as (
   select *, (seq * 1000 + sub)::bigint ord, case when part = 'image' then path else 'title ' || (doc_id % 40) end p from decided where decision in ('whole', 'partial')),

@@ -288,17 +288,19 @@ def query_terms(s: SparkSession, d: str) -> DataFrame:
 
 
 def paragraph_scores(s: SparkSession, d: str) -> DataFrame:
-    out = retrieval.paragraph_scores(i.pool_texts(s, d), i.questions(s, d), DELIMITER)
+    out = retrieval.paragraph_scores(i.pool_texts(s, d), i.questions(s, d), i.requests(s, d), DELIMITER)
     return out.select("question_id", "doc_id", F.col("idx").cast("long").alias("idx"), F.col("score").cast("long").alias("score"))
 
 
 def rank_paragraphs(s: SparkSession, d: str) -> DataFrame:
-    out = retrieval.rank_paragraphs(i.pool_texts(s, d), i.questions(s, d), DELIMITER)
+    out = retrieval.rank_paragraphs(i.pool_texts(s, d), i.questions(s, d), i.requests(s, d), DELIMITER)
     return out.select("question_id", "doc_id", F.col("idx").cast("long").alias("idx"), F.col("place").cast("long").alias("place"))
 
 
 def select_paragraphs(s: SparkSession, d: str) -> DataFrame:
-    out = retrieval.select_paragraphs(i.pool_texts(s, d), i.questions(s, d), PARAGRAPH_BUDGET, DELIMITER)
+    out = retrieval.select_paragraphs(
+        i.pool_texts(s, d), i.questions(s, d), i.requests(s, d), PARAGRAPH_BUDGET, DELIMITER
+    )
     return out.select("question_id", "doc_id", "used", _ids("chosen").alias("chosen"))
 
 
@@ -333,37 +335,33 @@ def gap_rows(s: SparkSession, d: str) -> DataFrame:
 
 
 def disclosure_notes(s: SparkSession, d: str) -> DataFrame:
-    gaps = grounding.gap_rows(_packed(s, d), i.pool_docs(s, d))
-    return grounding.question_notes(grounding.note_pieces(gaps, 100), i.questions(s, d))
+    gaps = grounding.gap_rows(_packed(s, d, asked=False), i.pool_docs(s, d))
+    return grounding.disclosure_notes(grounding.note_pieces(gaps, 100).drop("question_id"), ["pool_id"])
 
 
 def note_pieces(s: SparkSession, d: str) -> DataFrame:
-    return grounding.note_pieces(grounding.gap_rows(_packed(s, d, asked=False), i.pool_docs(s, d)), 100).select("pool_id", "gap", "piece", "names")
+    return grounding.note_pieces(grounding.gap_rows(_packed(s, d), i.pool_docs(s, d)), 100)
 
 
 def context_counts(s: SparkSession, d: str) -> DataFrame:
     return grounding.context_counts(_packed(s, d), i.questions(s, d))
 
 
-def _parts(s: SparkSession, d: str, refs: bool) -> DataFrame:
-    docs = i.pool_docs(s, d)
-    units = grounding.context_units(docs, i.pool_images(s, d), i.part_refs(s, d) if refs else None, DELIMITER)
-    asked = i.questions(s, d)
-    packed = grounding.pack_pool(units, docs, asked, POOL_BUDGET, DELIMITER)
-    return grounding.context_parts(packed, asked).withColumn("ord", F.col("seq") * 1000 + F.col("sub"))
+def _parts(s: SparkSession, d: str) -> DataFrame:
+    return grounding.context_parts(_packed(s, d), i.questions(s, d)).withColumn("ord", F.col("seq") * 1000 + F.col("sub"))
 
 
 def text_only(s: SparkSession, d: str) -> DataFrame:
-    parts = _parts(s, d, refs=False).withColumn("content", F.lit(""))
+    parts = _parts(s, d).withColumn("content", F.lit(""))
     return grounding.text_only(parts).select("question_id", "ord", "path", "media_type", F.md5("content").alias("digest"))
 
 
 def uses_refs(s: SparkSession, d: str) -> DataFrame:
-    return grounding.uses_refs(_parts(s, d, refs=True))
+    return grounding.uses_refs(_packed(s, d, refs=True), i.questions(s, d))
 
 
 def remember_refs(s: SparkSession, d: str) -> DataFrame:
-    parts = _parts(s, d, refs=False)
+    parts = _parts(s, d)
     # Titles that collide: many documents share the same one.
     same = F.when(F.col("part") == "image", F.col("path")).otherwise(F.concat(F.lit("title "), (F.col("doc_id") % 40).cast("string")))
     parts = parts.withColumn("path", same)
@@ -550,7 +548,7 @@ def _model() -> Callable:
 
 def answer_questions(s: SparkSession, d: str) -> DataFrame:
     asked = i.questions(s, d)
-    parts = _parts(s, d, refs=False).withColumns({"content": F.lit(""), "ref": F.coalesce("ref", F.lit(""))})
+    parts = _parts(s, d).withColumns({"content": F.lit(""), "ref": F.coalesce("ref", F.lit(""))})
     prompts = asked.select("question_id", F.col("text").alias("prompt"))
     out = recognise.answer(parts, prompts, _model)
     return out.select("question_id", "output", "error", F.size("refs").cast("long").alias("refs"))

@@ -19,19 +19,20 @@ def text(rng, paras, longest=12):
 def test_select_paragraphs(spark, many_terms, monkeypatch):
     """Both ways of matching terms, over several partition counts."""
     rng = random.Random(1)
-    docs = [("p1" if k % 3 else "p2", k, text(rng, 9)) for k in range(60)]
-    asked = [(1, "p1", "Which projector lamp?"), (2, "p1", ""), (3, "p2", "hdmi CABLE port of")]
-    d = spark.createDataFrame(docs, "pool_id string, doc_id long, text string")
-    q = spark.createDataFrame(asked, "question_id long, pool_id string, text string")
-    monkeypatch.setattr(retrieval.paragraph_features, "__defaults__", ("\n\n", many_terms))
+    docs = [(k, text(rng, 9)) for k in range(60)]
+    asked = [(1, "Which projector lamp?"), (2, ""), (3, "hdmi CABLE port of")]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    q = spark.createDataFrame(asked, "question_id long, text string")
+    pairs = [(n, k) for n, _ in asked for k in range(60) if (n + k) % 4]
+    requests = spark.createDataFrame(pairs, "question_id long, doc_id long")
+    monkeypatch.setattr(retrieval.request_features, "__defaults__", ("\n\n", many_terms))
     for parts in (1, 8):
-        rows = retrieval.select_paragraphs(d.repartition(parts), q, 90).collect()
+        rows = retrieval.select_paragraphs(d.repartition(parts), q, requests, 90).collect()
         got = {(r.question_id, r.doc_id): (r.chosen, r.used) for r in rows}
-        for qid, pool, question in asked:
-            for p, k, t in docs:
-                paras = models.split(t)
-                if p == pool and paras:
-                    assert got[(qid, k)] == models.select(paras, question, 90)
+        for n, k in pairs:
+            paras = models.split(docs[k][1])
+            if paras:
+                assert got[(n, k)] == models.select(paras, dict(asked)[n], 90)
 
 
 def test_with_text(spark):
@@ -60,9 +61,10 @@ def pool_of(rng, n, ids):
     return out
 
 
-@pytest.mark.parametrize("round_units", [2, 64])
-def test_pack_pool(spark, round_units):
-    """Whole pools, many questions, and rounds so small that several are needed."""
+@pytest.mark.parametrize("round_units, many_terms", [(2, 1000), (64, 0)])
+def test_pack_pool(spark, round_units, many_terms, monkeypatch):
+    """Whole pools, many questions, rounds so small that several are needed, both ways of matching."""
+    monkeypatch.setattr(retrieval.paragraph_features, "__defaults__", ("\n\n", many_terms))
     rng = random.Random(3)
     ids = iter(range(10_000))
     pools = {f"p{k}": pool_of(rng, rng.randint(1, 14), ids) for k in range(12)}
