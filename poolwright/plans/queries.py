@@ -557,8 +557,8 @@ def answer_questions(s: SparkSession, d: str) -> DataFrame:
 # Streams: the whole event table goes through, and the last state of each key is returned
 
 
-def _drain(stream: DataFrame, key: list[str], mode: str = "update") -> DataFrame:
-    """Run a stream to its end and keep the last row written per key."""
+def _drain(stream: DataFrame, key: list[str], mode: str = "update", order: tuple[str, ...] = ()) -> DataFrame:
+    """Run a stream to its end and keep the last row written per key; ``order`` breaks ties in a batch."""
     spark = stream.sparkSession
     home = f"{scratch_folder(spark)}/{uuid.uuid4().hex}"
 
@@ -574,7 +574,7 @@ def _drain(stream: DataFrame, key: list[str], mode: str = "update") -> DataFrame
     )
     q.awaitTermination()
     rows = spark.read.parquet(f"{home}/out").drop("batch")
-    return pool.latest(rows, key, ["_epoch"]).select(*stream.columns)
+    return pool.latest(rows, key, ["_epoch", *order]).select(*stream.columns)
 
 
 def _events(s: SparkSession, d: str) -> DataFrame:
@@ -608,7 +608,7 @@ def stream_section_progress(s: SparkSession, d: str) -> DataFrame:
     before = s.conf.get(jobs.ROCKSDB[0])
     s.conf.set(*jobs.ROCKSDB)
     try:
-        return _drain(jobs.section_progress(ev), ["doc_id", "idx"])
+        return _drain(jobs.section_progress(ev), ["doc_id", "idx"], order=("attempts",))
     finally:
         s.conf.set(jobs.ROCKSDB[0], before)
 

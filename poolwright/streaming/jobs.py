@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle
 
 from poolwright.operators.extraction import STATES, state_columns
@@ -23,6 +23,14 @@ def graph_state(events: DataFrame, order: tuple[str, ...] = ("t", "event_id")) -
     return events.groupBy("graph_id").agg(*graph_columns(order)).select("graph_id", *graph_view())
 
 
+BINARY_FILE = "path string, modificationTime timestamp, length long, content binary"
+
+
+def arriving_files(spark: SparkSession, path: str) -> DataFrame:
+    """A stream of the files that appear in a folder."""
+    return spark.readStream.format("binaryFile").schema(BINARY_FILE).load(path)
+
+
 def new_files(files: DataFrame, delay: str = "1 hour") -> DataFrame:
     """Newly arrived files, judged: name, mime, reason, size, seen once within ``delay``.
 
@@ -59,9 +67,9 @@ PROGRESS = "doc_id long, idx int, outcome string, attempts int"
 class SectionDeadline(StatefulProcessor):
     """One section's attempts under a deadline that doubles on the second try.
 
-    Input rows: doc_id, idx, t (event time), kind (``start``, ``read``, ``error``, ``outage``,
-    ``late``). A start arms a timer; the timer firing before a result is a time-out. After
-    the second time-out the section is too slow. Rows behind the watermark never reach the
+    Input rows: doc_id, idx, t (event time), kind (``start``, ``read``, ``error``, ``outage``). A start arms a timer; a deadline that passes before a result is a time-out,
+    whether the timer fires or a later event shows it. After the second time-out the
+    section is too slow. Rows behind the watermark never reach the
     state: Spark drops them and counts them in the query progress.
     """
 
@@ -87,6 +95,15 @@ class SectionDeadline(StatefulProcessor):
             if ended:
                 continue
             at = int(pd.Timestamp(t).timestamp() * 1000)
+            if deadline and at >= deadline:
+                # Rows are seen before timers, so a timer due by now has not fired yet.
+                self._disarm(deadline)
+                timed_out, deadline = timed_out + 1, 0
+                ended = timed_out >= self.most
+                self.state.update((timed_out, 0, ended))
+                out.append((key[0], key[1], "too_slow" if ended else "timeout", timed_out))
+                if ended:
+                    continue
             if kind == "start":
                 self._disarm(deadline)
                 deadline = at + self.first_ms * (timed_out + 1)
