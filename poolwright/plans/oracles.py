@@ -338,6 +338,7 @@ k as (
 select "of", id, kind, md5(case kind when 'empty' then 'server error' when 'proxy' then 'server timeout' else t end) digest from k""",
     "permitted__o22": """select conv_id "owner", turn, role from conversations
 where conv_id in (select c_custkey from customer where c_mktsegment in ('BUILDING', 'MACHINERY'))""",
+    "own_rows__o22": 'select conv_id "owner", turn, role from conversations where conv_id = 7',
     "failure_reasons__o23": f"""with c as (
   select l_orderkey doc_id, case when bool_or(l_returnflag = 'R' and l_quantity > 49) then 'too_big'
     when bool_or(l_returnflag = 'R') then 'too_slow' else 'nothing' end cause from lineitem group by 1)
@@ -345,6 +346,9 @@ select doc_id, cause, case cause when 'too_big' then {q(ex.NO_TEXT['too_big'])}
     "fold_events__o24": f"with {STATE} select * from folded where doc_id in (select doc_id from documents)",
     "to_resume__o25": f"""with {STATE} select doc_id, state from folded
 where state in ('pending', 'reading') or (state = 'ready' and total > 0 and done < total)""",
+    "last_text__o24": f"with {STATE} select doc_id, size bytes from folded where doc_id in (select user_id from events where event_type in ('click', 'purchase'))",
+    "resume_kept__o24": f"""with {STATE} select distinct l_suppkey doc_id, l_linenumber::bigint idx from lineitem
+where l_suppkey not in (select doc_id from folded where state = 'ready' and done >= total)""",
     "read_plan__o26": f"""with f as (
   select page_id doc_id, ['text/html', 'image/png', 'application/pdf', 'application/pdf', 'image/gif', 'application/zip'][page_id % 6 + 1] mime,
     page_id % 5 < 3 and len({trim('html')}) >= 16 and len(regexp_extract_all({trim('html')}, '[\\x00-\\x08\\x0B-\\x1F\\x{{FFFD}}]')) <= 0.15 * len({trim('html')}) good from pages),
@@ -459,6 +463,7 @@ r as (select *, row_number() over (partition by graph_id, id order by ord) n fro
 select graph_id, ord, case when id <> '' and n = 1 then id else left(sha256(graph_id || ':' || ord), 16) end id from r""",
     "source_keys__o48b": f"""with {POOL}, e as (select pool_id, doc_id || ':' || created entry from pool)
 select pool_id, left(string_agg(entry, '|' order by entry), 128) source_key, bit_xor(('0x' || substr(md5(entry), 1, 15))::bigint) digest, count(*) n from e group by 1""",
+    "stale_graphs__o48b": f"with {POOL} select pool_id, bool_or(state = 'ready') stale from pool group by 1 having bool_or(state <> 'ready')",
     "delete_nodes__o48c": f"""with {NODES}, {EDGES}
 select graph_id, ord, from_node, to_node from edge e where not exists (from node0 n where n.graph_id = e.graph_id and n.y > 0 and n.id in (e.from_node, e.to_node))""",
     "distinct_cables__o48d": f"""with {NODES}, {EDGES},
@@ -497,7 +502,7 @@ n as (select question_id, count(*) n, count(*) filter (where media_type like 'im
 b as (select item_id question_id, len({trim('text')}) len, coalesce(n, 0) n, coalesce(pics, 0) pics from benchmark left join n on n.question_id = item_id),
 r as (select *, pics > 0 and len % 2 = 1 blind from b)
 select question_id, case when len % 5 = 0 then '' else len || ':' || (case when blind then n - pics + 1 else n end) end "output",
-  case when len % 5 = 0 then 'unavailable' else '' end error, (case when len % 5 = 0 then 0 else 1 end)::bigint refs from r""",
+  case when len % 5 = 0 then 'unavailable' else '' end error, (case when len % 5 = 0 or n = 0 then 0 else 1 end)::bigint refs from r""",
     "author_text__o55": f"""select doc_id post_id, case when doc_id % 7 = 0 then '' else 'doc ' || doc_id end title, 'text' kind, 'text/markdown' mime, lang description,
   md5(case when doc_id % 11 = 0 then '' else {trim('text')} end) "content", (case when doc_id % 11 = 0 then 0 else strlen({trim('text')}) end)::bigint size, source author, {NOW}::bigint created,
   case when doc_id % 7 = 0 then 'A title is required' when doc_id % 11 = 0 or {trim('text')} = '' then 'The document must not be empty' else '' end reason from documents""",

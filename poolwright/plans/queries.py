@@ -138,6 +138,10 @@ def permitted(s: SparkSession, d: str) -> DataFrame:
     return pool.permitted(i.messages(s, d), grants, "MACHINERY").select("owner", "turn", "role")
 
 
+def own_rows(s: SparkSession, d: str) -> DataFrame:
+    return pool.own_rows(i.messages(s, d), 7).select("owner", "turn", "role")
+
+
 def failure_reasons(s: SparkSession, d: str) -> DataFrame:
     flag = F.col("l_returnflag")
     outcome = F.when((flag == "R") & (F.col("l_quantity") > 49), "too_big").when(flag == "R", "too_slow").otherwise("read")
@@ -179,6 +183,17 @@ def to_resume(s: SparkSession, d: str) -> DataFrame:
     return extraction.to_resume(extraction.fold_events(ev, order=("t", "event_id"))).select("doc_id", "state")
 
 
+def last_text(s: SparkSession, d: str) -> DataFrame:
+    ev = i.extract_events(i.table(s, d, "events"))
+    return extraction.last_text(ev, ("t", "event_id")).select("doc_id", ft.byte_len("text").alias("bytes"))
+
+
+def resume_kept(s: SparkSession, d: str) -> DataFrame:
+    state = extraction.fold_events(i.extract_events(i.table(s, d, "events")), order=("t", "event_id"))
+    stored = i.table(s, d, "lineitem").select(F.col("l_suppkey").alias("doc_id"), F.col("l_linenumber").alias("idx")).distinct()
+    return extraction.resume_kept(state, stored).select("doc_id", F.col("idx").cast("long").alias("idx"))
+
+
 def read_plan(s: SparkSession, d: str) -> DataFrame:
     p = i.table(s, d, "pages")
     mime = F.element_at(
@@ -436,6 +451,13 @@ def source_keys(s: SparkSession, d: str) -> DataFrame:
     return graph.source_keys(i.pool_docs(s, d))
 
 
+def stale_graphs(s: SparkSession, d: str) -> DataFrame:
+    docs = i.pool_docs(s, d)
+    # Every graph was derived before the documents of the highest quality came in.
+    early = docs.filter(F.col("state") != "ready")
+    return graph.stale(docs, graph.source_keys(early))
+
+
 def delete_nodes(s: SparkSession, d: str) -> DataFrame:
     gone = i.graph_nodes(s, d).filter(F.col("y") > 0).select("graph_id", ft.trim_space("id").alias("node"))
     return graph.delete_nodes(i.graph_edges(s, d), gone).select("graph_id", "ord", "from_node", "to_node")
@@ -630,9 +652,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "strip_bom__o19": strip_bom,
     "error_kind__o21": error_kind,
     "permitted__o22": permitted,
+    "own_rows__o22": own_rows,
     "failure_reasons__o23": failure_reasons,
     "fold_events__o24": fold_events,
     "to_resume__o25": to_resume,
+    "last_text__o24": last_text,
+    "resume_kept__o24": resume_kept,
     "read_plan__o26": read_plan,
     "pack_pages__o27": pack_pages,
     "pack_long_files__o27": pack_long_files,
@@ -669,6 +694,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "sanitise_edges__o47c": sanitise_edges,
     "edge_ids__o47d": edge_ids,
     "source_keys__o48b": source_keys,
+    "stale_graphs__o48b": stale_graphs,
     "delete_nodes__o48c": delete_nodes,
     "distinct_cables__o48d": distinct_cables,
     "generation_outcomes__o48e": generation_outcomes,
