@@ -203,15 +203,14 @@ def _cost(used: Column, size: Column) -> Column:
     return size + F.when(used > 0, F.lit(len(SEPARATOR))).otherwise(F.lit(0))
 
 
-def take_greedily(order: Column, budget: Column) -> Column:
+def take_greedily(order: Column, budget: Column, used: Column | None = None) -> Column:
     """Walk the ranked paragraphs and take each that still fits: ``struct<used, chosen>``.
 
     One that does not fit is skipped and the walk goes on, so this is a fold and
-    not a running sum.
+    not a running sum. ``used`` is what earlier paragraphs took already.
     """
-    start = F.struct(
-        F.lit(0).cast("long").alias("used"), F.array().cast("array<int>").alias("chosen")
-    )
+    used = F.lit(0) if used is None else used
+    start = F.struct(used.cast("long").alias("used"), F.array().cast("array<int>").alias("chosen"))
 
     def step(acc: Column, p: Column) -> Column:
         cost = _cost(acc["used"], p["bytes"])
@@ -252,19 +251,7 @@ def _choose(sized: DataFrame, budget: int) -> DataFrame:
             lambda p: F.col("_lead.used") + _cost(F.col("_lead.used"), p["bytes"]) <= limit,
         ),
     )
-    begin = F.struct(F.col("_lead.used").alias("used"), F.array().cast("array<int>").alias("chosen"))
-
-    def step(acc: Column, p: Column) -> Column:
-        cost = _cost(acc["used"], p["bytes"])
-        return F.when(
-            acc["used"] + cost <= limit,
-            F.struct(
-                (acc["used"] + cost).alias("used"),
-                F.array_append(acc["chosen"], p["idx"]).alias("chosen"),
-            ),
-        ).otherwise(acc)
-
-    done = rest.withColumn("_walk", F.aggregate("_tail", begin, step))
+    done = rest.withColumn("_walk", take_greedily(F.col("_tail"), limit, F.col("_lead.used")))
     head = F.transform(F.slice("_rank", 1, F.col("_lead.n")), lambda p: p["idx"])
     return done.withColumns(
         {

@@ -82,7 +82,8 @@ def questions(spark: SparkSession, folder: str) -> DataFrame:
 def requests(spark: SparkSession, folder: str) -> DataFrame:
     """One question about every document, the questions taken in turn."""
     n = table(spark, folder, "benchmark").count()
-    return table(spark, folder, "documents").select((F.col("doc_id") % n).alias("question_id"), "doc_id")
+    docs = texts(spark, folder, "documents", "doc_id")
+    return docs.select((F.col("doc_id") % n).alias("question_id"), "doc_id")
 
 
 def part_refs(spark: SparkSession, folder: str) -> DataFrame:
