@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -51,6 +52,47 @@ def materialize(df: DataFrame) -> DataFrame:
     planner the real size of the table when it chooses a join.
     """
     spark = df.sparkSession
-    path = f"{scratch_folder(spark)}/{uuid.uuid4().hex}"
+    path = f"{run_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def run_folder(spark: SparkSession) -> str:
+    """The part of the shared folder that belongs to this application."""
+    return f"{scratch_folder(spark).rstrip('/')}/poolwright-{spark.sparkContext.applicationId}"
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete tables that ``materialize`` wrote, once nothing reads them any more."""
+    for df in tables:
+        ours = run_folder(df.sparkSession).split("://")[-1].split(":")[-1]
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if ours in folder:
+                _delete(df.sparkSession, folder)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """On leaving, delete whatever ``materialize`` wrote inside: ``with scratch(spark): df.write...``.
+
+    A query returns a lazy table that still reads what it has stored, so only the
+    one who writes its result knows when the folder can go.
+    """
+    before = _children(spark)
+    try:
+        yield
+    finally:
+        for path in _children(spark) - before:
+            _delete(spark, path)
+
+
+def _children(spark: SparkSession) -> set[str]:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(run_folder(spark))
+    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return {f.getPath().toString() for f in files.listStatus(folder)} if files.exists(folder) else set()
