@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+
+from poolwright.session import materialize
 
 #: White space of the text rules: the space and the characters 09 to 0D.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -21,3 +23,41 @@ def row_key(doc_id: str, text: str) -> Column:
 def parts_for(rows: int, each: int, least: int = 1) -> int:
     """How many parts ``rows`` rows make at ``each`` rows a part."""
     return max(least, -(-rows // each))
+
+
+BITS = 1 << 24
+
+
+def may_hold(df: DataFrame, key: str, keys: DataFrame, bits: int = BITS) -> DataFrame:
+    """``df`` with the column _may: false where the string ``key`` is surely not among ``keys``.
+
+    A bit map of fixed size (``bits`` / 8 bytes, 2 MiB by default, whatever the input) is built by
+    an aggregate and broadcast. It only spares rows a shuffle; an exact join has to follow for the rest.
+    """
+    slot = F.pmod(F.xxhash64(key), F.lit(bits))
+    maps = materialize(
+        keys.select(slot.alias("_slot"))
+        .groupBy(F.bitmap_bucket_number("_slot").alias("_bucket"))
+        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("_slot")).alias("_bits"))
+    )
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    found = df.withColumn("_slot", slot).withColumn("_b", F.bitmap_bucket_number("_slot")).withColumn("_p", F.bitmap_bit_position("_slot"))
+    found = found.join(F.broadcast(maps), F.col("_b") == F.col("_bucket"), "left")
+    byte = F.conv(F.hex(F.substring("_bits", (F.col("_p") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    may = F.expr("shiftright(_byte, cast(_p % 8 as int)) & 1 = 1")
+    return found.withColumn("_byte", byte).withColumn("_may", F.coalesce(may, F.lit(False))).select(*columns, "_may")
+
+
+def without(docs: DataFrame, doc_id: str, text: str, stay: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that stay, with their columns; only rows that may go are shuffled.
+
+    ``gone``: the keys (_row) of which a row goes. ``stay``: (_row, _times), how many of the
+    rows with that key stay, for all keys. Rows that share a key are equal in id and text.
+    """
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    marked = may_hold(docs.withColumn("_row", row_key(doc_id, text)), "_row", gone.select("_row"))
+    asked = marked.filter("_may")
+    left = asked.join(stay.hint("merge"), "_row")
+    order = Window.partitionBy("_row").orderBy(F.xxhash64(*columns))
+    left = left.withColumn("_n", F.row_number().over(order)).filter("_n <= _times")
+    return marked.filter("not _may").select(*columns).unionByName(left.select(*columns))

@@ -1,13 +1,15 @@
 """The registered queries of this subpackage and their SQL."""
 
-from poolwright.llm import exact_dedup, mixing, sharding
+from poolwright.llm import exact_dedup, minmax_dedup, mixing, sharding
 
 QUERIES = {
     "op1_sharding": sharding.op1,
     "op2_exact_dedup": exact_dedup.op2,
     "op6_mixing": mixing.op6,
+    "op10_minmax_dedup": minmax_dedup.op10,
 }
 ORACLES = {
     "op2_exact_dedup": exact_dedup.SQL,
     "op6_mixing": mixing.SQL,
+    "op10_minmax_dedup": minmax_dedup.SQL,
 }
