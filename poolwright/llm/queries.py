@@ -1,10 +1,11 @@
 """The registered queries of this subpackage and their SQL."""
 
-from poolwright.llm import exact_dedup, minmax_dedup, mixing, sharding
+from poolwright.llm import exact_dedup, minmax_dedup, mixing, packing, sharding
 
 QUERIES = {
     "op1_sharding": sharding.op1,
     "op2_exact_dedup": exact_dedup.op2,
+    "op3_packing": packing.op3,
     "op6_mixing": mixing.op6,
     "op10_minmax_dedup": minmax_dedup.op10,
 }
