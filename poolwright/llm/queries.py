@@ -1,12 +1,14 @@
 """The registered queries of this subpackage and their SQL."""
 
-from poolwright.llm import exact_dedup, minmax_dedup, mixing, packing, sharding
+from poolwright.llm import exact_dedup, minmax_dedup, mixing, packing, quality_gam, quality_rules, sharding
 
 QUERIES = {
     "op1_sharding": sharding.op1,
     "op2_exact_dedup": exact_dedup.op2,
     "op3_packing": packing.op3,
+    "op5_quality_gam": quality_gam.op5,
     "op6_mixing": mixing.op6,
+    "op8_quality_rules": quality_rules.op8,
     "op10_minmax_dedup": minmax_dedup.op10,
 }
 ORACLES = {

@@ -30,9 +30,10 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-_lower = np.arange(256)
-_lower[65:91] += 32
-_BYTE = mix((_lower.astype(np.uint64) + _U(1)) * _U(0x9E3779B97F4A7C15))
+_plain = np.arange(256)
+_lower = _plain + 32 * ((_plain >= 65) & (_plain < 91))
+#: A number for each byte, with and without A-Z lower-cased.
+_BYTE = {fold: mix((t.astype(np.uint64) + _U(1)) * _U(0x9E3779B97F4A7C15)) for fold, t in ((False, _plain), (True, _lower))}
 _BASE = 0xD6E8FEB86659FD93
 
 
@@ -44,7 +45,7 @@ def _powers(n: int) -> np.ndarray:
 _SHORT = _powers(256)
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(data: np.ndarray, starts: np.ndarray, fold: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of ``data``, and how many words lie before each place in ``starts``.
 
     A word never crosses a place in ``starts``.
@@ -62,7 +63,7 @@ def word_hashes(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.nd
     lengths = np.diff(np.r_[heads, len(at)])
     place = np.arange(len(at)) - np.repeat(heads, lengths)
     longest = int(lengths.max())
-    values = _BYTE[data[at]] * (_SHORT if longest <= len(_SHORT) else _powers(longest))[place]
+    values = _BYTE[fold][data[at]] * (_SHORT if longest <= len(_SHORT) else _powers(longest))[place]
     words = np.add.reduceat(values, heads)
     return mix(words + lengths.astype(np.uint64) * _U(0x9E3779B97F4A7C15)), before[starts]
 
@@ -83,7 +84,7 @@ def shingle_set(words: np.ndarray, width: int = WIDTH) -> np.ndarray:
     return np.unique(mix(total + _U(width)))
 
 
-def _long_text(data: np.ndarray) -> np.ndarray:
+def _long_text(data: np.ndarray, fold: bool) -> np.ndarray:
     """Words of a text larger than a block, in pieces cut at white space."""
     out, at = [], 0
     while at < len(data):
@@ -91,13 +92,13 @@ def _long_text(data: np.ndarray) -> np.ndarray:
         while end < len(data) and not _SPACE[data[end]]:
             rest = np.flatnonzero(_SPACE[data[end : end + BLOCK]])
             end = end + (int(rest[0]) if len(rest) else min(BLOCK, len(data) - end))
-        out.append(word_hashes(data[at:end], np.array([0]))[0])
+        out.append(word_hashes(data[at:end], np.array([0]), fold)[0])
         at = end
     return np.concatenate(out)
 
 
-def shingle_sets(column: pa.Array, width: int = WIDTH) -> Iterator[np.ndarray]:
-    """The shingle set of each text of a string column; null has none."""
+def texts_and_words(column: pa.Array, fold: bool = True) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The bytes and the word hashes of each text of a string column; null has none."""
     if not len(column):
         return
     wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
@@ -106,13 +107,19 @@ def shingle_sets(column: pa.Array, width: int = WIDTH) -> Iterator[np.ndarray]:
     raw = np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8)
     i, n = 0, len(column)
     while i < n:
-        j = int(np.searchsorted(at, at[i] + BLOCK, "right")) - 1
+        j = min(int(np.searchsorted(at, at[i] + BLOCK, "right")) - 1, n)
         if j <= i:  # one text is larger than a block
-            yield shingle_set(_long_text(raw[at[i] : at[i + 1]]), width)
+            text = raw[at[i] : at[i + 1]]
+            yield text, _long_text(text, fold)
             i += 1
             continue
-        j = min(j, n)
-        words, before = word_hashes(raw[at[i] : at[j]], at[i : j + 1] - at[i])
+        words, before = word_hashes(raw[at[i] : at[j]], at[i : j + 1] - at[i], fold)
         for k in range(j - i):
-            yield shingle_set(words[before[k] : before[k + 1]], width)
+            yield raw[at[i + k] : at[i + k + 1]], words[before[k] : before[k + 1]]
         i = j
+
+
+def shingle_sets(column: pa.Array, width: int = WIDTH) -> Iterator[np.ndarray]:
+    """The shingle set of each text of a string column; null has none."""
+    for _, words in texts_and_words(column):
+        yield shingle_set(words, width)
