@@ -1,6 +1,16 @@
 """The registered queries of this subpackage and their SQL."""
 
-from poolwright.llm import exact_dedup, minmax_dedup, mixing, packing, quality_gam, quality_rules, sharding
+from poolwright.llm import (
+    exact_dedup,
+    minmax_dedup,
+    mixing,
+    packing,
+    quality_gam,
+    quality_rules,
+    sharding,
+    token_count,
+    url_filter,
+)
 
 QUERIES = {
     "op1_sharding": sharding.op1,
@@ -8,7 +18,9 @@ QUERIES = {
     "op3_packing": packing.op3,
     "op5_quality_gam": quality_gam.op5,
     "op6_mixing": mixing.op6,
+    "op7_url_filter": url_filter.op7,
     "op8_quality_rules": quality_rules.op8,
+    "op9_token_count": token_count.op9,
     "op10_minmax_dedup": minmax_dedup.op10,
 }
 ORACLES = {
