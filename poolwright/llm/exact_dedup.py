@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from poolwright.llm.common import SPACE, row_key, table
+from poolwright.llm.common import SPACE, may_hold, row_key, table, without
 from poolwright.session import materialize
 
 CHUNK = 16_384
@@ -139,8 +139,10 @@ def groups(
     # The texts that share a fingerprint, met by row and not by fingerprint: even parts.
     suspects = marks.join(shared.filter("group_size > 1").select(*FP), FP, "left_semi").select("_row", *FP).distinct()
     texts = docs.select(row_key(doc_id, text).alias("_row"), normalised(text).alias("_text"))
+    suspects = materialize(suspects)
+    asked = may_hold(docs.withColumn("_row", row_key(doc_id, text)), "_row", suspects).filter("_may")
     pieces = (
-        texts.join(materialize(suspects), "_row")
+        asked.select("_row", normalised(text).alias("_text")).join(suspects.hint("merge"), "_row")
         .withColumn("_data", F.col("_text").cast("binary"))
         .select(*FP, F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), (F.col("n") - 1).cast("int")), F.lit(chunk))).alias("_at"), "_data")
         .select(*FP, "_at", F.substring("_data", F.col("_at") + 1, F.lit(chunk)).alias("_piece"))
@@ -176,12 +178,9 @@ def _one_of_each(named: DataFrame) -> DataFrame:
 
 def unique(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The documents that stay, with all their columns."""
-    stay = groups(docs, doc_id, text, **options).filter("kept").select(F.col("_row").alias("_stay"))
-    keyed = docs.withColumn("_row_key", row_key(doc_id, text))
-    met = keyed.join(stay, F.col("_row_key") == F.col("_stay"), "left_semi")
-    # Rows equal in id and text share a key: keep one of them.
-    order = Window.partitionBy("_row_key").orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
-    return met.withColumn("_n", F.row_number().over(order)).filter("_n = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    found = materialize(groups(docs, doc_id, text, **options).select("_row", "kept"))
+    counts = found.groupBy("_row").agg(F.count_if("kept").alias("_times"), F.count(F.lit(1)).alias("_rows"))
+    return without(docs, doc_id, text, counts.select("_row", "_times"), counts.filter("_times < _rows"))
 
 
 def fingerprint_of(data: bytes, chunk: int = CHUNK, primes=PRIMES, bases=BASES) -> tuple[int, int, int]:
