@@ -8,6 +8,7 @@ from poolwright.llm import (
     quality_gam,
     quality_rules,
     sharding,
+    suffix_dedup,
     token_count,
     url_filter,
 )
@@ -16,6 +17,7 @@ QUERIES = {
     "op1_sharding": sharding.op1,
     "op2_exact_dedup": exact_dedup.op2,
     "op3_packing": packing.op3,
+    "op4_suffix_dedup": suffix_dedup.op4,
     "op5_quality_gam": quality_gam.op5,
     "op6_mixing": mixing.op6,
     "op7_url_filter": url_filter.op7,
