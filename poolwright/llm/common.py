@@ -25,6 +25,19 @@ def parts_for(rows: int, each: int, least: int = 1) -> int:
     return max(least, -(-rows // each))
 
 
+def packed(docs: DataFrame, **named: Column | str) -> DataFrame:
+    """All columns of ``docs`` as one column _in, besides the ``named`` ones: no name can clash."""
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    return docs.select(whole.alias("_in"), *[(F.col(f"`{c}`") if isinstance(c, str) else c).alias(n) for n, c in named.items()])
+
+
+def unpacked(found: DataFrame, columns: list[str], *more: Column | str) -> DataFrame:
+    """The columns that ``packed`` took in, then ``more``; where both have a name, that of ``more`` counts."""
+    extra = [F.col(c) if isinstance(c, str) else c for c in more]
+    taken = set(found.select(*extra).columns)
+    return found.select(*[F.col("_in").getField(c).alias(c) for c in columns if c not in taken], *extra)
+
+
 BITS = 1 << 24
 
 
@@ -54,10 +67,9 @@ def without(docs: DataFrame, doc_id: str, text: str, stay: DataFrame, gone: Data
     ``gone``: the keys (_row) of which a row goes. ``stay``: (_row, _times), how many of the
     rows with that key stay, for all keys. Rows that share a key are equal in id and text.
     """
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    marked = may_hold(docs.withColumn("_row", row_key(doc_id, text)), "_row", gone.select("_row"))
-    asked = marked.filter("_may")
-    left = asked.join(stay.hint("merge"), "_row")
-    order = Window.partitionBy("_row").orderBy(F.xxhash64(*columns))
+    marked = may_hold(packed(docs, _row=row_key(doc_id, text)), "_row", gone.select("_row"))
+    asked = marked.filter("_may").withColumnRenamed("_row", "_key")
+    left = asked.join(stay.hint("merge"), F.col("_key") == F.col("_row"))
+    order = Window.partitionBy("_row").orderBy(F.xxhash64("_in"))
     left = left.withColumn("_n", F.row_number().over(order)).filter("_n <= _times")
-    return marked.filter("not _may").select(*columns).unionByName(left.select(*columns))
+    return unpacked(marked.filter("not _may").select("_in").unionByName(left.select("_in")), docs.columns)

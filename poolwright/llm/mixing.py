@@ -17,7 +17,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from poolwright.llm.common import WORD
+from poolwright.llm.common import WORD, packed, table, unpacked
 from poolwright.session import materialize
 
 WEIGHTS = (5, 2, 1)
@@ -80,38 +80,40 @@ def rates(
     return materialize(targets(sizes, weights, share, most).withColumn("rate", rate))
 
 
-def mix(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source",
-    weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: float = MOST, seed: str = SEED,
-) -> DataFrame:
-    """The documents with the columns _size, _source_size, _target and _copies (how often each is taken)."""
+def _mixed(docs: DataFrame, doc_id: str, text: str, source: str, weights, share: float, most: float, seed: str) -> DataFrame:
+    """_in, _size, _source_size, _target, _copies for each document."""
     per = rates(docs, doc_id, text, source, weights, share, most)
     per = per.select(
         F.col("source").alias("_of"), F.col("source_size").alias("_source_size"),
         F.col("target").alias("_target"), F.col("rate").alias("_rate"),
     )
-    joined = docs.join(per, docs[source].eqNullSafe(per["_of"]))
+    rows = packed(docs, _source=source, _size=n_words(text), _draw=draw(seed, doc_id))
+    joined = rows.join(per, F.col("_source").eqNullSafe(F.col("_of")))
     whole = F.floor("_rate")
-    extra = (draw(seed, doc_id) < F.col("_rate") - whole).cast("long")
-    return joined.select(
-        *[docs[c] for c in docs.columns], n_words(text).alias("_size"), "_source_size", "_target",
-        (whole + extra).cast("long").alias("_copies"),
-    )
+    extra = (F.col("_draw") < F.col("_rate") - whole).cast("long")
+    return joined.select("_in", "_size", "_source_size", "_target", (whole + extra).cast("long").alias("_copies"))
+
+
+def mix(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source",
+    weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: float = MOST, seed: str = SEED,
+) -> DataFrame:
+    """The documents with the columns _size, _source_size, _target and _copies (how often each is taken)."""
+    found = _mixed(docs, doc_id, text, source, weights, share, most, seed)
+    return unpacked(found, docs.columns, "_size", "_source_size", "_target", "_copies")
 
 
-def repeated(docs: DataFrame, **options) -> DataFrame:
+def repeated(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source",
+    weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: float = MOST, seed: str = SEED,
+) -> DataFrame:
     """The mix itself: every document as often as it is taken, with its own columns only."""
-    return (
-        mix(docs, **options)
-        .filter("_copies > 0")
-        .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
-        .select(*docs.columns)
-    )
+    found = _mixed(docs, doc_id, text, source, weights, share, most, seed).filter("_copies > 0")
+    many = found.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
+    return unpacked(many, docs.columns)
 
 
 def op6(spark, sf_dir: str) -> DataFrame:
-    from poolwright.llm.common import table
-
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return mix(docs).select(
         "doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"),

@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from poolwright.llm.common import table
+from poolwright.llm.common import packed, table, unpacked
 from poolwright.llm.shingles import texts_and_words
 
 TRAIN_ROWS = 20_000
@@ -249,16 +249,26 @@ def score(model: Additive, text: Column) -> Column:
     return scored(text)
 
 
-def rate(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, **options) -> DataFrame:
-    """The documents with _score and _predicted."""
-    model = train(docs, labels, doc_id, text, **options)
-    scored = docs.withColumn("_score", score(model, F.col(text)))
+def _rated(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, threshold: float, train_rows: int) -> DataFrame:
+    model = train(docs, labels, doc_id, text, train_rows)
+    scored = packed(docs, _text=text).withColumn("_score", score(model, F.col("_text")))
     return scored.withColumn("_predicted", (F.col("_score") >= threshold).cast("int"))
 
 
-def accepted(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
+def rate(
+    docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text",
+    threshold: float = THRESHOLD, train_rows: int = TRAIN_ROWS,
+) -> DataFrame:
+    """The documents with _score and _predicted."""
+    return unpacked(_rated(docs, labels, doc_id, text, threshold, train_rows), docs.columns, "_score", "_predicted")
+
+
+def accepted(
+    docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text",
+    threshold: float = THRESHOLD, train_rows: int = TRAIN_ROWS,
+) -> DataFrame:
     """The documents of sufficient quality, with their own columns."""
-    return rate(docs, labels, **options).filter("_predicted = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return unpacked(_rated(docs, labels, doc_id, text, threshold, train_rows).filter("_predicted = 1"), docs.columns)
 
 
 def op5(spark, sf_dir: str) -> DataFrame:

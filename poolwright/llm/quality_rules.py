@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from poolwright.llm.common import table
+from poolwright.llm.common import packed, table, unpacked
 from poolwright.llm.quality_gam import sampled
 from poolwright.llm.shingles import mix, texts_and_words
 
@@ -202,14 +202,14 @@ def judge(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
         values = [pa.array(of[:, j]) for j in range(5)] + [pa.array(weights.value.probability(np.array(raw, float)))]
         return pa.StructArray.from_arrays(values, names)
 
-    found = docs.withColumn("_found", judged(F.col(text)))
+    found = packed(docs, _text=text).withColumn("_found", judged(F.col("_text")))
     failed = (F.col("_found.n_words") < LEAST_WORDS) | (100 * F.col("_found.n_repeat_words") > MOST_REPEATED * F.col("_found.n_words"))
     names = [c.split()[0] for c in COLUMNS.split(", ")]
-    return found.withColumn(
-        "_judged",
-        F.struct(*[F.col(f"_found.{n}") for n in names], failed.alias("base_failed"),
-                 (~failed & (F.col("_found.probability") >= keep_at)).alias("kept")),
-    ).drop("_found")
+    values = F.struct(
+        *[F.col(f"_found.{n}") for n in names], failed.alias("base_failed"),
+        (~failed & (F.col("_found.probability") >= keep_at)).alias("kept"),
+    )
+    return unpacked(found, docs.columns, values.alias("_judged"))
 
 
 def op8(spark, sf_dir: str) -> DataFrame:

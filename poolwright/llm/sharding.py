@@ -20,7 +20,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from poolwright.llm.common import parts_for, table
+from poolwright.llm.common import packed, parts_for, table, unpacked
 from poolwright.session import materialize
 
 SHARDS = 40
@@ -37,7 +37,7 @@ def _ranked(df: DataFrame, keys: list[str], bucket: str, order: list[str], name:
         F.sum("_c").over(Window.partitionBy(*keys)).alias("_n"),
     )
     inside = F.row_number().over(Window.partitionBy(*keys, bucket).orderBy(*order))
-    return df.withColumn("_in", inside).join(starts, [*keys, bucket]).withColumn(name, F.col("_start") + F.col("_in")).drop("_start", "_in")
+    return df.withColumn("_inside", inside).join(starts, [*keys, bucket]).withColumn(name, F.col("_start") + F.col("_inside")).drop("_start", "_inside")
 
 
 def assign_shards(
@@ -45,13 +45,12 @@ def assign_shards(
     seed: str = SEED, rows_each: int = ROWS_EACH, least_buckets: int = 256,
 ) -> DataFrame:
     """``docs`` (give it only the columns that should travel) with _shard and _slot."""
-    columns = [F.col(f"`{c}`") for c in docs.columns]
     total = docs.count()
     buckets = parts_for(total, rows_each, least_buckets)
     digest = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col(doc_id).cast("string"), F.lit("null"))).cast("binary"))
     rows = (
-        docs.select(*columns, digest.alias("_digest"), F.coalesce(F.concat(F.lit("s"), F.col(stratum)), F.lit("n")).alias("_stratum"),
-                    F.xxhash64(*columns).alias("_tie"))
+        packed(docs, _digest=digest, _stratum=F.coalesce(F.concat(F.lit("s"), F.col(stratum)), F.lit("n")))
+        .withColumn("_tie", F.xxhash64("_in"))
         # leading bits of the digest, so that buckets follow its order
         .withColumn("_bucket", F.floor(F.conv(F.substring("_digest", 1, 8), 16, 10).cast("double") * F.lit(buckets / 2.0**32)).cast("int"))
     )
@@ -64,7 +63,7 @@ def assign_shards(
     at = F.col("_at") - 1
     shard = F.expr(f"cast((_at - 1) * {shards} div greatest(_n, 1) as int)")
     first = F.expr(f"((_at - 1) * {shards} div greatest(_n, 1) * _n + {shards} - 1) div {shards}")
-    return ordered.select(*columns, shard.alias("_shard"), (at - first).cast("long").alias("_slot"))
+    return unpacked(ordered, docs.columns, shard.alias("_shard"), (at - first).cast("long").alias("_slot"))
 
 
 def write_shards(docs: DataFrame, path: str, **options) -> None:
