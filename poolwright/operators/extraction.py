@@ -359,58 +359,76 @@ def image_labels(images: DataFrame) -> DataFrame:
     )
 
 
-ABORTS = ("timeout", "outage", "disabled", "cancelled")
+ABORTS = ("outage", "disabled", "cancelled")
 
 
 def section_outcomes(attempts: DataFrame, order: list[str], most: int = 2) -> DataFrame:
-    """What became of each section: doc_id, idx, outcome, attempts.
+    """What became of each section: doc_id, idx, outcome, attempts, cause.
 
     ``attempts``: doc_id, idx, outcome (``read``, ``error``, ``timeout``, ``outage``, ``disabled``,
     ``cancelled``, ``too_big``, ``note``). Of at most ``most`` attempts the first that did not time
     out decides; ``most`` time-outs make the section too slow; fewer leave it ``waiting``.
-    An outage or a cancelled call interrupts.
+    An outage or a cancelled call is no attempt: the read goes on from there. Only if nothing came
+    after it is the section ``interrupted``, with its cause.
     """
-    tried = first_rows(attempts, ["doc_id", "idx"], order, most)
+    tried = first_rows(attempts.filter(~F.col("outcome").isin(*ABORTS)), ["doc_id", "idx"], order, most)
     decisive = F.min_by("outcome", F.when(F.col("outcome") != "timeout", F.col("pos")))
     by = F.min(F.when(F.col("outcome") != "timeout", F.col("pos")))
-    out = tried.groupBy("doc_id", "idx").agg(
+    counted = tried.groupBy("doc_id", "idx").agg(
         decisive.alias("first"), by.alias("by"), F.count(F.lit(1)).alias("n")
     )
-    return out.select(
+    last = attempts.groupBy("doc_id", "idx").agg(F.max_by("outcome", F.struct(*order)).alias("last"))
+    aborted = F.col("last").isin(*ABORTS)
+    decided = F.col("first").isNotNull() | (F.coalesce("n", F.lit(0)) >= most)
+    return last.join(counted, ["doc_id", "idx"], "left").select(
         "doc_id",
         "idx",
-        F.when(F.col("first").isin("outage", "disabled", "cancelled"), "interrupted")
-        .when(F.col("first").isNotNull(), F.col("first"))
-        .when(F.col("n") >= most, "too_slow")
+        F.when(F.col("first").isNotNull(), F.col("first"))
+        .when(decided, "too_slow")
+        .when(aborted, "interrupted")
         .otherwise("waiting")
         .alias("outcome"),
-        F.coalesce("by", "n").cast("long").alias("attempts"),
+        F.coalesce("by", "n", F.lit(0)).cast("long").alias("attempts"),
+        F.when(~decided & aborted, F.col("last")).otherwise("").alias("cause"),
     )
 
 
+OPEN = ("interrupted", "waiting")
+
+
+def _reached(results: DataFrame, plans: DataFrame) -> DataFrame:
+    """doc_id, at: the first section without a final result; what lies before it is done.
+
+    The successor of a final section, or the first section, is where a read stands unless it
+    is final itself: two joins on (document, section), so no document is gathered in one place.
+    """
+    final = results.filter(~F.col("outcome").isin(*OPEN)).select("doc_id", F.col("idx").cast("long").alias("idx"))
+    next_ = final.select("doc_id", (F.col("idx") + 1).alias("idx")).unionByName(plans.select("doc_id", F.lit(0).cast("long").alias("idx")))
+    return next_.join(final, ["doc_id", "idx"], "left_anti").groupBy("doc_id").agg(F.min("idx").alias("at"))
+
+
 def read_progress(results: DataFrame, plans: DataFrame) -> DataFrame:
     """Where each read stands: doc_id, done, total, state, reason.
 
-    ``results``: doc_id, idx (from 0), outcome, cause. ``plans``: doc_id, total, has_text. Reading
-    stops at the first interrupted section; what lies before it is done. Text already there
-    keeps a document usable, else the interruption is a named failure that can be resumed.
+    ``results``: doc_id, idx (from 0), outcome, cause. ``plans``: doc_id, total, has_text. Sections
+    are read in order: ``done`` counts those before the first without a final result. If that
+    one is interrupted, text already there keeps the document usable, else the interruption is a
+    named failure that can be resumed. A section that waits for its next attempt is not done.
     """
-    stop = F.when(F.col("outcome") == "interrupted", F.col("idx"))
-    stops = results.groupBy("doc_id").agg(
-        F.min(stop).alias("stop"), F.min_by("cause", stop).alias("cause"), F.count(F.lit(1)).alias("n")
-    )
-    out = plans.join(stops, "doc_id", "left")
+    at = _reached(results, plans)
+    here = results.filter(F.col("outcome") == "interrupted").groupBy("doc_id", F.col("idx").cast("long").alias("at")).agg(F.max("cause").alias("cause"))
+    out = plans.join(at, "doc_id", "left").join(here.withColumn("broken", F.lit(True)), ["doc_id", "at"], "left")
     total = F.col("total").cast("long")
-    done = F.coalesce("stop", F.least(F.coalesce("n", F.lit(0)), total)).cast("long")
-    broken = F.col("stop").isNotNull()
+    done = F.least(F.coalesce("at", F.lit(0)), total).cast("long")
+    broken = F.coalesce("broken", F.lit(False)) & (done < total)
     return out.select(
         "doc_id",
         done.alias("done"),
         total.alias("total"),
-        F.when(broken & F.col("has_text"), "ready")
+        F.when(done >= total, "complete")
+        .when(F.col("has_text"), "ready")
         .when(broken, "failed")
-        .when(done < total, F.when(F.col("has_text"), "ready").otherwise("reading"))
-        .otherwise("complete")
+        .otherwise("reading")
         .alias("state"),
         F.when(broken & ~F.col("has_text"), interruption(done, total, F.col("cause"))).otherwise("").alias("reason"),
     )
@@ -420,10 +438,14 @@ def final_state(plans: DataFrame, results: DataFrame) -> DataFrame:
     """The verdict on reads that need none, cannot start, or have ended.
 
     ``plans``: doc_id, total, has_text, has_ai. ``results``: doc_id, idx, outcome, has_text of
-    the section as ``legible``; a planned section that is only a note counts as outcome ``note``,
-    one too large as ``too_big``. Output: doc_id, state, reason, done, total, keep_work: whether
-    kept pictures and stored results stay. Documents with sections left to read are ``reading``.
+    the section as ``legible``, and the cause of an interruption as ``cause`` if there is one; a
+    planned section that is only a note counts as outcome ``note``, one too large as ``too_big``.
+    Output: doc_id, state, reason, done, total, keep_images, keep_results. A read with sections
+    left stands as ``read_progress`` has it. Pictures go only when a read has ended without any
+    text; stored results go then, and when a read is complete or needs none.
     """
+    if "cause" not in results.columns:
+        results = results.withColumn("cause", F.lit(""))
     per_doc = results.groupBy("doc_id").agg(
         F.count(F.lit(1)).alias("n"),
         F.bool_or("legible").alias("legible"),
@@ -431,16 +453,20 @@ def final_state(plans: DataFrame, results: DataFrame) -> DataFrame:
         F.bool_or(F.col("outcome") == "too_slow").alias("any_slow"),
         F.bool_or(F.col("outcome") != "note").alias("needs_ai"),
     )
-    j = plans.join(per_doc, "doc_id", "left")
-    n = F.coalesce("n", F.lit(0))
+    stands = read_progress(results, plans).select(
+        "doc_id", F.col("done").alias("at"), F.col("state").alias("stands"), F.col("reason").alias("why")
+    )
+    j = plans.join(per_doc, "doc_id", "left").join(stands, "doc_id", "left")
     total, text = F.col("total"), F.col("has_text")
     yes = lambda c: F.coalesce(c, F.lit(False))
+    # a section without any row is still to be read, and needs an engine
+    needs_ai = yes("needs_ai") | (F.coalesce("n", F.lit(0)) < total)
     case = (
         F.when((total == 0) & text, "local")
         .when(total == 0, "nothing")
-        .when(~text & ~F.col("has_ai") & yes("needs_ai"), "no_ai")
+        .when(~text & ~F.col("has_ai") & needs_ai, "no_ai")
         .when(~text & (total == 1) & yes("any_big"), "too_large")
-        .when(n < total, "reading")
+        .when(F.col("at") < total, "reading")
         .when(~text & ~yes("legible"), F.when(yes("any_big"), "too_big").when(yes("any_slow"), "too_slow").otherwise("nothing_read"))
         .otherwise("done")
     )
@@ -448,16 +474,18 @@ def final_state(plans: DataFrame, results: DataFrame) -> DataFrame:
     reason = (
         F.when(c.isin("no_ai", "too_large"), read_failure(c))
         .when(c.isin("nothing", "nothing_read", "too_big", "too_slow"), _sentence(c, NO_TEXT, NO_TEXT["nothing"]))
+        .when(c == "reading", F.col("why"))
         .otherwise("")
     )
     ended_empty = c.isin("nothing_read", "too_big", "too_slow")
     return j.withColumn("case", case).select(
         "doc_id",
-        F.when(c.isin("local", "done"), "ready").when(c == "reading", "reading").otherwise("failed").alias("state"),
+        F.when(c.isin("local", "done"), "ready").when(c == "reading", F.col("stands")).otherwise("failed").alias("state"),
         reason.alias("reason"),
-        F.when(c == "reading", n).when(ended_empty, total).otherwise(0).cast("long").alias("done"),
+        F.when(c == "reading", F.col("at")).when(ended_empty, total).otherwise(0).cast("long").alias("done"),
         F.when((c == "reading") | ended_empty, total).otherwise(0).cast("long").alias("total"),
-        (c.isin("done", "reading")).alias("keep_work"),
+        (~ended_empty).alias("keep_images"),
+        c.isin("nothing", "no_ai", "too_large", "reading").alias("keep_results"),
     )
 
 
@@ -542,20 +570,36 @@ def section_summary(results: DataFrame) -> DataFrame:
 
 
 def merge_tracks(local: DataFrame, read: DataFrame) -> DataFrame:
-    """One text from the exact local text and what was read: doc_id, text, source, model, engine, any_text.
+    """One text from the exact local text and what was read: doc_id, (part,) text, source, model, engine, any_text.
 
-    ``local``: doc_id, text. ``read``: doc_id, text, any_text, model, engine.
+    ``local``: doc_id, text. ``read``: doc_id, text, any_text, model, engine, and part if the read
+    text comes in parts. The local text stands before the lowest part, once; white space is
+    trimmed at the two ends of the whole.
     """
-    l, r = local.select("doc_id", F.col("text").alias("_local")), read.withColumnRenamed("text", "_read")
-    j = l.join(r, "doc_id", "full")
+    parted = "part" in read.columns
+    r = read if parted else read.withColumn("part", F.lit(0))
+    ends = r.groupBy("doc_id").agg(F.min("part").alias("_lo"), F.max("part").alias("_hi"))
+    r = r.join(ends, "doc_id")
+    l = local.select("doc_id", F.col("text").alias("_local"))
+    # The local text travels to the first part only; the others learn whether there is one.
+    first = l.join(r.filter("part = _lo").withColumnRenamed("text", "_read"), "doc_id", "full")
+    rest = r.filter("part > _lo").withColumnRenamed("text", "_read").join(
+        l.select("doc_id", F.coalesce(F.col("_local") != "", F.lit(False)).alias("_has")), "doc_id", "left"
+    )
     mine, theirs = F.coalesce("_local", F.lit("")), F.coalesce("_read", F.lit(""))
-    some = F.coalesce("any_text", F.lit(False))
-    only_read = mine == ""
-    both = F.concat_ws("\n\n", F.rtrim(mine, F.lit("\n")), F.when(~is_blank(theirs), theirs))
-    blank = F.lit("")
+    whole = F.coalesce(F.col("_lo") == F.col("_hi"), F.lit(True))
+    both = F.concat_ws("\n\n", F.rtrim(mine, F.lit("\n")), F.when(~is_blank(theirs) | ~whole, theirs))
+    lead = F.ltrim(both, F.lit(WHITE_SPACE))
+    text = F.when(mine == "", theirs).when(whole, trim_space(both)).otherwise(lead)
+    columns = ["doc_id", "part", "text", "_has", "any_text", "model", "engine"]
+    j = first.withColumn("part", F.coalesce("part", F.lit(0))).withColumn("text", text).withColumn("_has", mine != "").select(columns).unionByName(
+        rest.withColumn("text", theirs).withColumn("_has", F.coalesce("_has", F.lit(False))).select(columns)
+    )
+    some, only_read, blank = F.coalesce("any_text", F.lit(False)), ~F.col("_has"), F.lit("")
     return j.select(
         "doc_id",
-        F.when(only_read, theirs).otherwise(trim_space(both)).alias("text"),
+        *(["part"] if parted else []),
+        "text",
         F.when(only_read, "ai").when(some, "mixed").otherwise("text-layer").alias("source"),
         F.when(only_read | some, F.coalesce("model", blank)).otherwise(blank).alias("model"),
         F.when(only_read | some, F.coalesce("engine", blank)).otherwise(blank).alias("engine"),

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, functions as F
 from poolwright.functions.files import with_ending
 from poolwright.functions.text import trim_space
 from poolwright.operators.grounding import text_only
+from poolwright.session import materialize
 
 RESULT = (
     "doc_id long, idx int, label string, track string, page int, text string, note string, "
@@ -28,7 +29,8 @@ def read_sections(sections: DataFrame, recogniser: Callable | None, result: str
 
     ``sections``: doc_id, idx, title, label, mime, data, too_big, track, page, note. A note and an
     over-large section are passed through unread. Without a recogniser every other section
-    says so in ``err``. Only sections that are read cross over to Python.
+    says so in ``err``. Only sections that are read cross over to Python. What was read is stored:
+    it is asked for once, however often the result is used.
     """
     label = F.coalesce("label", F.lit(""))
     plain = label.isin("", "whole document", "image")
@@ -68,7 +70,7 @@ def read_sections(sections: DataFrame, recogniser: Callable | None, result: str
             out["note"], out["too_big"] = "", False
             yield out[fields]
 
-    return todo.mapInPandas(run, result).unionByName(passed)
+    return materialize(todo.mapInPandas(run, result)).unionByName(passed)
 
 
 ANSWER = "question_id long, output string, model string, engine string, error string, refs map<string,string>"
@@ -82,7 +84,7 @@ def answer(parts: DataFrame, prompts: DataFrame, model: Callable) -> DataFrame:
     are asked again: without images when no engine sees them, and in full when references
     may have gone stale.
     """
-    first = _ask(parts, prompts, model)
+    first = materialize(_ask(parts, prompts, model))  # a question is asked once, whoever reads the answer
     blind = first.filter(F.col("error") == "no vision engine").select("question_id")
     again = _ask(
         text_only(parts.join(blind, "question_id", "left_semi")).withColumns(
@@ -91,7 +93,7 @@ def answer(parts: DataFrame, prompts: DataFrame, model: Callable) -> DataFrame:
         prompts.join(blind, "question_id", "left_semi"),
         model,
     )
-    return first.join(blind, "question_id", "left_anti").unionByName(again)
+    return first.filter(F.col("error") != "no vision engine").unionByName(materialize(again))
 
 
 def retry_in_full(answers: DataFrame, due: DataFrame, full_parts: DataFrame, prompts: DataFrame, model: Callable) -> DataFrame:

@@ -352,7 +352,7 @@ where l_suppkey not in (select doc_id from folded where state = 'ready' and done
     "read_plan__o26": f"""with f as (
   select page_id doc_id, ['text/html', 'image/png', 'application/pdf', 'application/pdf', 'image/gif', 'application/zip'][page_id % 6 + 1] mime,
     page_id % 5 < 3 and len({trim('html')}) >= 16 and len(regexp_extract_all({trim('html')}, '[\\x00-\\x08\\x0B-\\x1F\\x{{FFFD}}]')) <= 0.15 * len({trim('html')}) good from pages),
-n as (select l_suppkey * 2 doc_id, count(*) n from lineitem where l_quantity > 25 group by 1),
+n as (select l_suppkey * 2 doc_id, count(*) n from lineitem group by 1),
 j as (select f.*, coalesce(n, 0) n from f left join n using (doc_id))
 select doc_id, case when mime = 'text/html' or (mime = 'application/pdf' and good) then 'text-layer' else '' end local_source,
   case when mime = 'text/html' then 'none' when mime like 'image/%' then 'image' when mime = 'application/zip' then 'unreadable'
@@ -365,12 +365,14 @@ select doc_id, case when mime = 'text/html' or (mime = 'application/pdf' and goo
 n as (select *, row_number() over (partition by doc_id, page order by place, "object") k, count(*) over (partition by doc_id, page) n from image)
 select doc_id, "object", 'image ' || (case when n > 1 then k || ' of ' || n || ' ' else '' end) || 'on page ' || page label from n""",
     "section_outcomes__o31": f"""with a as (
-  select user_id doc_id, {K} % 20 idx, case event_type when 'click' then 'read' when 'purchase' then 'read' when 'view' then 'timeout' when 'error' then 'error' else 'outage' end o,
-    row_number() over (partition by user_id, {K} % 20 order by ts, event_id) n from events),
-g as (select doc_id, idx, max(o) filter (where n = 1) a, max(o) filter (where n = 2) b from a where n <= 2 group by 1, 2)
-select doc_id, idx, case when a = 'timeout' then (case when b is null then 'waiting' when b = 'timeout' then 'too_slow' when b = 'outage' then 'interrupted' else b end)
-  when a = 'outage' then 'interrupted' else a end outcome,
-  (case when a = 'timeout' and b is not null then 2 else 1 end)::bigint attempts from g""",
+  select user_id doc_id, {K} % 20 idx, ts, event_id, case event_type when 'click' then 'read' when 'purchase' then 'read' when 'view' then 'timeout' when 'error' then 'error' else 'outage' end o
+  from events),
+n as (select *, count(*) filter (where o = 'timeout') over (partition by doc_id, idx order by ts, event_id rows unbounded preceding) late from a),
+g as (select doc_id, idx, arg_max(o, (ts, event_id)) last, count(*) filter (where o = 'timeout') slow,
+    arg_min({{'o': o, 'late': late}}, (ts, event_id)) filter (where o in ('read', 'error') and late < 2 or o = 'timeout' and late = 2) fin from n group by 1, 2)
+select doc_id, idx, case when fin.o = 'timeout' then 'too_slow' when fin is not null then fin.o when last = 'outage' then 'interrupted' else 'waiting' end outcome,
+  (case when fin.o = 'timeout' then 2 when fin is not null then fin.late + 1 else slow end)::bigint attempts,
+  case when fin is null and last = 'outage' then 'outage' else '' end cause from g""",
     "read_progress__o32": f"""with {LINES},
 b as (select doc_id, min(page - 1) stop, arg_min(l_linestatus, page) st from line where l_returnflag = 'R' and l_quantity = 1 group by 1),
 n as (select l_suppkey doc_id, count(*) n from lineitem group by 1),
@@ -507,21 +509,27 @@ select question_id, case when len % 5 = 0 then '' else len || ':' || (case when
   md5(case when doc_id % 11 = 0 then '' else {trim('text')} end) "content", (case when doc_id % 11 = 0 then 0 else strlen({trim('text')}) end)::bigint size, source author, {NOW}::bigint created,
   case when doc_id % 7 = 0 then 'A title is required' when doc_id % 11 = 0 or {trim('text')} = '' then 'The document must not be empty' else '' end reason from documents""",
     "final_state__o56": f"""with r as (
-  select l_orderkey doc_id, case when l_quantity > 48 then 'too_big' when l_returnflag = 'R' then 'too_slow' when l_returnflag = 'A' then 'note' else 'read' end o from lineitem),
-g as (select doc_id, count(*) n, bool_or(o = 'read') legible, bool_or(o = 'too_big') big, bool_or(o = 'too_slow') slow, bool_or(o <> 'note') ai from r group by 1),
+  select l_orderkey doc_id, l_linenumber - 1 idx, case when l_quantity > 48 then 'too_big' when l_quantity = 1 then 'interrupted' when l_returnflag = 'R' then 'too_slow' when l_returnflag = 'A' then 'note' else 'read' end o from lineitem),
+fin as (select distinct doc_id, idx from r where o <> 'interrupted'),
+prefix as (select doc_id, count(*) done from (select doc_id, idx, row_number() over (partition by doc_id order by idx) - 1 k from fin) where idx = k group by 1),
+g as (select doc_id, count(*) n, count(distinct idx) places, bool_or(o = 'read') legible, bool_or(o = 'too_big') big, bool_or(o = 'too_slow') slow, bool_or(o <> 'note') ai from r group by 1),
 j as (
-  select o_orderkey doc_id, o_orderstatus = 'F' has_text, o_orderpriority <> '1-URGENT' has_ai, coalesce(n, 0) n,
-    coalesce(n, 0) + (case when n > 3 and o_orderpriority = '5-LOW' then 1 else 0 end) total, coalesce(legible, false) legible, coalesce(big, false) big, coalesce(slow, false) slow, coalesce(ai, false) ai
-  from orders left join g on g.doc_id = o_orderkey),
+  select o_orderkey doc_id, o_orderstatus = 'F' has_text, o_orderpriority <> '1-URGENT' has_ai, coalesce(n, 0) n, coalesce(places, 0) + (case when n > 3 and o_orderpriority = '5-LOW' then 1 else 0 end) total,
+    coalesce(done, 0) done, coalesce(legible, false) legible, coalesce(big, false) big, coalesce(slow, false) slow, coalesce(ai, false) ai
+  from orders left join g on g.doc_id = o_orderkey left join prefix on prefix.doc_id = o_orderkey),
+h as (select j.*, exists (from r where r.doc_id = j.doc_id and r.idx = j.done and o = 'interrupted') broken from j),
 c as (
-  select *, case when total = 0 and has_text then 'local' when total = 0 then 'nothing' when not has_text and not has_ai and ai then 'no_ai'
-    when not has_text and total = 1 and big then 'too_large' when n < total then 'reading'
-    when not has_text and not legible then (case when big then 'too_big' when slow then 'too_slow' else 'nothing_read' end) else 'done' end c from j)
-select doc_id, case when c in ('local', 'done') then 'ready' when c = 'reading' then 'reading' else 'failed' end state,
+  select *, case when total = 0 then (case when has_text then 'local' else 'nothing' end)
+    when not has_text and not has_ai and (ai or n < total) then 'no_ai' when not has_text and total = 1 and big then 'too_large'
+    when done < total then (case when has_text then 'usable' when broken then 'stopped' else 'reading' end)
+    when has_text or legible then 'done' when big then 'too_big' when slow then 'too_slow' else 'nothing_read' end c from h)
+select doc_id, case when c in ('local', 'done', 'usable') then 'ready' when c = 'reading' then 'reading' else 'failed' end state,
   case c when 'no_ai' then {q(ex.READ_FAILURES['no_ai'])} when 'too_large' then {q(ex.READ_FAILURES['too_large'])} when 'too_big' then {q(ex.NO_TEXT['too_big'])}
-    when 'too_slow' then {q(ex.NO_TEXT['too_slow'])} when 'nothing' then {q(ex.NO_TEXT['nothing'])} when 'nothing_read' then {q(ex.NO_TEXT['nothing'])} else '' end reason,
-  (case when c = 'reading' then n when c in ('nothing_read', 'too_big', 'too_slow') then total else 0 end)::bigint done,
-  (case when c in ('reading', 'nothing_read', 'too_big', 'too_slow') then total else 0 end)::bigint total, c in ('done', 'reading') keep_work from c""",
+    when 'too_slow' then {q(ex.NO_TEXT['too_slow'])} when 'nothing' then {q(ex.NO_TEXT['nothing'])} when 'nothing_read' then {q(ex.NO_TEXT['nothing'])}
+    when 'stopped' then 'The read was interrupted after section ' || done || ' of ' || total || ' (no AI engine was available). Retry to continue from where it stopped.' else '' end reason,
+  (case when c in ('usable', 'stopped', 'reading') then done when c in ('nothing_read', 'too_big', 'too_slow') then total else 0 end)::bigint done,
+  (case when c in ('usable', 'stopped', 'reading', 'nothing_read', 'too_big', 'too_slow') then total else 0 end)::bigint total,
+  c not in ('nothing_read', 'too_big', 'too_slow') keep_images, c in ('nothing', 'no_ai', 'too_large', 'usable', 'stopped', 'reading') keep_results from c""",
     "stream_extract_state__s1": f"with {STATE} select * from folded",
     "stream_graph_state__s2": GRAPHS,
     "stream_new_files__s5": """select url path, "name", case when lower("name") like '%.md' or lower("name") like '%.markdown' then 'text/markdown'

@@ -202,7 +202,7 @@ def read_plan(s: SparkSession, d: str) -> DataFrame:
     )
     files = p.select(F.col("page_id").alias("doc_id"), mime.alias("mime"))
     layer = p.select(F.col("page_id").alias("doc_id"), (ft.coherent("html") & (F.col("page_id") % 5 < 3)).alias("coherent"))
-    images = i.table(s, d, "lineitem").filter(F.col("l_quantity") > 25).select((F.col("l_suppkey") * 2).alias("doc_id"), F.col("l_partkey").alias("idx"))
+    images = i.table(s, d, "lineitem").select((F.col("l_suppkey") * 2).alias("doc_id"), F.col("l_partkey").alias("idx"))
     return extraction.read_plan(files, layer, images)
 
 
@@ -234,21 +234,26 @@ def read_progress(s: SparkSession, d: str) -> DataFrame:
 
 def final_state(s: SparkSession, d: str) -> DataFrame:
     # Orders stand for short files: few sections, so that every closing rule occurs.
-    flag = F.col("l_returnflag")
-    results = i.table(s, d, "lineitem").select(
+    flag, size = F.col("l_returnflag"), F.col("l_quantity")
+    lines = i.table(s, d, "lineitem")
+    outcome = (
+        F.when(size > 48, "too_big").when(size == 1, "interrupted").when(flag == "R", "too_slow").when(flag == "A", "note").otherwise("read")
+    )
+    results = lines.select(
         F.col("l_orderkey").alias("doc_id"),
-        F.col("l_linenumber").alias("idx"),
-        F.when(F.col("l_quantity") > 48, "too_big").when(flag == "R", "too_slow").when(flag == "A", "note").otherwise("read").alias("outcome"),
-        ((flag == "N") & (F.col("l_quantity") <= 48)).alias("legible"),
+        (F.col("l_linenumber") - 1).alias("idx"),
+        outcome.alias("outcome"),
+        (outcome == "read").alias("legible"),
+        F.lit("outage").alias("cause"),
     )
-    n = results.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    n = results.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("idx").alias("places"))
     plans = i.table(s, d, "orders").select(
         F.col("o_orderkey").alias("doc_id"),
         (F.col("o_orderstatus") == "F").alias("has_text"),
         (F.col("o_orderpriority") != "1-URGENT").alias("has_ai"),
         F.when(F.col("o_orderpriority") == "5-LOW", 1).otherwise(0).alias("extra"),
     ).join(n, "doc_id", "left").select(
-        "doc_id", "has_text", "has_ai", (F.coalesce("n", F.lit(0)) + F.when(F.col("n") > 3, F.col("extra")).otherwise(0)).alias("total")
+        "doc_id", "has_text", "has_ai", (F.coalesce("places", F.lit(0)) + F.when(F.col("n") > 3, F.col("extra")).otherwise(0)).alias("total")
     )
     return extraction.final_state(plans, results)
 
