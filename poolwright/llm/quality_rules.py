@@ -108,37 +108,74 @@ class Calibrated:
         return float((total / np.maximum(number, 1)).sum())
 
 
-def sparse(data: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The slots of a text, kinds one after the other, and their relative frequencies."""
-    often = np.zeros((KINDS, SLOTS), np.float32)
-    for kind, slots in grams(data, words):
-        often[kind] += np.bincount(slots, minlength=SLOTS)
-    often /= np.maximum(often.sum(1, keepdims=True), 1)
-    at = np.flatnonzero(often)
-    return at.astype(np.int32), often.ravel()[at]
-
-
-def fit(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, steps: int = 120, decay: float = 1e-7, rate: float = 3.0) -> Calibrated:
+def sparse(data: np.ndarray, words: np.ndarray) -> bytes:
+    """The slots of a text and how often each occurs, kind after kind: four lengths, slots, counts (at most 65,535)."""
+    slots, often = [], []
+    for kind in range(KINDS):
+        count = np.zeros(SLOTS, np.int64)
+        for of, found in grams(data, words):
+            if of == kind:
+                count += np.bincount(found, minlength=SLOTS)
+        at = np.flatnonzero(count)
+        slots.append(at.astype("<u2"))
+        often.append(np.minimum(count[at], 65_535).astype("<u2"))
+    lengths = np.array([len(x) for x in slots], "<u4")
+    return lengths.tobytes() + np.concatenate(slots).tobytes() + np.concatenate(often).tobytes()
+
+
+class Rows:
+    """Sparse rows, one after the other: place of each value in the weights, relative frequency, first value of each row."""
+
+    def __init__(self, packed: list[bytes]):
+        self.heads = np.cumsum([0, *((len(r) - 16) // 4 for r in packed)])
+        self.slots = np.empty(self.heads[-1], np.int32)
+        self.values = np.empty(self.heads[-1], np.float32)
+        for r, a, b in zip(packed, self.heads, self.heads[1:]):  # noqa: B905
+            lengths = np.frombuffer(r, "<u4", KINDS).astype(int)
+            ends = np.cumsum([0, *lengths])
+            self.slots[a:b] = np.frombuffer(r, "<u2", b - a, 16)
+            self.values[a:b] = np.frombuffer(r, "<u2", b - a, 16 + 2 * int(b - a))
+            for kind in range(KINDS):
+                part = slice(a + ends[kind], a + ends[kind + 1])
+                self.slots[part] += kind * SLOTS
+                self.values[part] /= max(1.0, self.values[part].sum())
+
+    def blocks(self, rows: int = 256):
+        n = len(self.heads) - 1
+        for i in range(0, n, rows):
+            j = min(i + rows, n)
+            a, b = self.heads[i], self.heads[j]
+            yield i, j, self.slots[a:b], self.values[a:b], np.repeat(np.arange(j - i), np.diff(self.heads[i : j + 1]))
+
+    def raw(self, w: np.ndarray) -> np.ndarray:
+        out = [np.bincount(of, weights=value * w[slot], minlength=j - i) for i, j, slot, value, of in self.blocks()]
+        return np.concatenate(out) if out else np.empty(0)
+
+    def gradient(self, error: np.ndarray, size: int) -> np.ndarray:
+        g = np.zeros(size)
+        for i, j, slot, value, of in self.blocks():
+            g += np.bincount(slot, weights=value * error[i:j][of], minlength=size)
+        return g
+
+
+def fit(rows: Rows, y: np.ndarray, steps: int = 120, decay: float = 1e-7, rate: float = 3.0) -> Calibrated:
     """Adaptive gradient steps on four fifths of the rows; the others calibrate."""
     share = (y.sum() + 1) / (len(y) + 2)
     start = float(np.log(share / (1 - share)))
     if len(y) == 0 or y.min() == y.max():
         return Calibrated(np.zeros((KINDS, SLOTS), np.float32), start)
     apart = np.arange(len(y)) % 5 == 4
-    slots = np.concatenate([r[0] for r in rows])
-    value = np.concatenate([r[1] for r in rows]).astype(np.float64)
-    of = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])
     w, bias, seen, seen_bias = np.zeros(KINDS * SLOTS), start, np.full(KINDS * SLOTS, 1e-8), 1e-8
     learn = ~apart
     for _ in range(steps):
-        raw = np.bincount(of, weights=value * w[slots], minlength=len(y)) + bias
+        raw = rows.raw(w) + bias
         error = np.where(learn, 1 / (1 + np.exp(-np.clip(raw, -30, 30))) - y, 0) / learn.sum()
-        g = np.bincount(slots, weights=value * error[of], minlength=len(w)) + decay * w
+        g = rows.gradient(error, len(w)) + decay * w
         seen += g * g
         w -= rate * g / np.sqrt(seen)
         seen_bias += error.sum() ** 2
         bias -= 0.1 * error.sum() / np.sqrt(seen_bias)
-    raw = (np.bincount(of, weights=value * w[slots], minlength=len(y)) + bias)[apart]
+    raw = (rows.raw(w) + bias)[apart]
     slope, shift = _calibrate(raw, y[apart])
     return Calibrated(w.reshape(KINDS, SLOTS).astype(np.float32), float(bias), slope, shift)
 
@@ -164,23 +201,17 @@ def _calibrate(raw: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", train_rows: int = TRAIN_ROWS) -> Calibrated:
     chosen, test = sampled(doc_id, labels, train_rows)
 
-    @F.arrow_udf("struct<slots:array<int>,values:array<float>>")
+    @F.arrow_udf("binary")
     def hashed(texts: pa.Array) -> pa.Array:
-        rows = [sparse(d, w) for d, w in texts_and_words(texts, fold=False)]
-        ends = pa.array(np.cumsum([0, *(len(r[0]) for r in rows)]).astype(np.int32))
-        slots = np.concatenate([r[0] for r in rows]) if rows else np.empty(0, np.int32)
-        values = np.concatenate([r[1] for r in rows]) if rows else np.empty(0, np.float32)
-        return pa.StructArray.from_arrays(
-            [pa.ListArray.from_arrays(ends, pa.array(slots)), pa.ListArray.from_arrays(ends, pa.array(values))], ["slots", "values"]
-        )
+        return pa.array([sparse(d, w) for d, w in texts_and_words(texts, fold=False)], pa.binary())
 
     rows = docs.filter(test).select(F.col(doc_id).cast("long").alias("_id"), hashed(F.col(text)).alias("_x"))
-    got = rows.join(chosen, F.col("_id") == F.col("_of")).select("_id", F.xxhash64("_x").alias("_tie"), "_x.slots", "_x.values", "_label").toArrow()
-    got = got.combine_chunks()
+    got = rows.join(chosen, F.col("_id") == F.col("_of")).select("_id", F.xxhash64("_x").alias("_tie"), "_x", "_label").toArrow()
     order = np.lexsort((got["_tie"].to_numpy(), got["_id"].to_numpy()))
-    slots, values = got["slots"], got["values"]
-    found = [(slots[i].values.to_numpy(), values[i].values.to_numpy()) for i in order.tolist()]
-    return fit(found, got["_label"].to_numpy().astype(float)[order])
+    label = got["_label"].to_numpy().astype(float)[order]
+    packed_rows = got["_x"].take(pa.array(order)).to_pylist()
+    del got
+    return fit(Rows(packed_rows), label)
 
 
 COLUMNS = "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, probability double"

@@ -107,41 +107,47 @@ def _statistics(labelled: DataFrame, column: str, name: str) -> DataFrame:
 
 def judge(
     pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, url: str = "url",
-    train_rows: int = TRAIN_ROWS, default: str = DEFAULT, trees: int = 15, depth: int = 4,
+    train_rows: int = TRAIN_ROWS, default: str = DEFAULT, trees: int = 15, depth: int = 4, train_on: str = "true",
 ) -> DataFrame:
-    """``pages`` with host, path, rule and verdict added."""
+    """``pages`` with host, path, rule, verdict and method (what the trees say, of every url) added.
+
+    ``train_on`` is a condition on the columns of ``pages``: labelled urls that do not meet it are kept
+    out of training.
+    """
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.feature import VectorAssembler
 
     host, path = host_and_path(url)
     columns = [F.col(f"`{c}`") for c in pages.columns]
-    found = pages.select(F.struct(*columns).alias("_row"), F.col(url).alias("_url"), host.alias("host"), path.alias("path"))
+    found = pages.select(
+        F.struct(*columns).alias("_row"), F.col(url).alias("_url"), host.alias("host"), path.alias("path"), F.expr(train_on).alias("_train")
+    )
     rule, verdict = decided(rules)
     found = lexical(found.withColumn("rule", rule).withColumn("_verdict", verdict), "_url")
     found = found.withColumn("_label", (F.col("_verdict") == "allow").cast("double"))
-    labelled = found.filter("_verdict is not null")
+    labelled = found.filter("_verdict is not null and _train")
     total = labelled.agg(F.count(F.lit(1)).alias("n"), F.sum("_label").alias("allowed")).first()
     out = [*[F.col("_row")[c].alias(c) for c in pages.columns], "host", "path", "rule"]
     if not total["n"] or total["allowed"] in (0, total["n"]):
         only = default if not total["n"] else "allow" if total["allowed"] else "block"
-        return found.select(*out, F.coalesce("_verdict", F.lit(only)).alias("verdict"))
+        return found.select(*out, F.coalesce("_verdict", F.lit(only)).alias("verdict"), F.lit(only).alias("method"))
 
     for column, name in (("_suffix", "_host_share"), ("_ending", "_ending_share")):
         found = found.join(_statistics(labelled, column, name), F.col(column) == F.col(f"{name}_of"), "left")
         found = found.withColumn(name, F.coalesce(name, F.lit(0.5)))
     vectors = VectorAssembler(inputCols=FEATURES, outputCol="_features", handleInvalid="keep")
     share = min(1.0, train_rows / total["n"])
-    few = found.filter("_verdict is not null").filter(
+    few = found.filter("_verdict is not null and _train").filter(
         F.pmod(F.xxhash64("_url", F.lit(7)), F.lit(1 << 20)) < int(share * (1 << 20))
     )
     train = materialize(few.select("_label", *FEATURES))
     if train.select("_label").distinct().count() < 2:
-        return found.select(*out, F.coalesce("_verdict", F.lit(default)).alias("verdict"))
+        return found.select(*out, F.coalesce("_verdict", F.lit(default)).alias("verdict"), F.lit(default).alias("method"))
     boosted = GBTClassifier(labelCol="_label", featuresCol="_features", maxIter=trees, maxDepth=depth, seed=1, cacheNodeIds=False)
     model = boosted.fit(vectors.transform(train))
     judged = model.transform(vectors.transform(found))
     method = F.when(F.col("prediction") == 1, "allow").otherwise("block")
-    return judged.select(*out, F.coalesce("_verdict", method).alias("verdict"))
+    return judged.select(*out, F.coalesce("_verdict", method).alias("verdict"), method.alias("method"))
 
 
 def op7(spark, sf_dir: str) -> DataFrame:

@@ -140,7 +140,7 @@ URLS = [
 def test_urls(spark):
     pages = spark.createDataFrame([(i, u, "clash", "clash") for i, u in enumerate(URLS)] + [(0, None, "a", "b")], "page_id long, url string, html string, _url string")
     out = url_filter.judge(pages)
-    assert out.columns == [*pages.columns, "host", "path", "rule", "verdict"]
+    assert out.columns == [*pages.columns, "host", "path", "rule", "verdict", "method"]
     got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in out.collect()}
     assert got[0][:3] == got[1][:3] == got[2][:3] == ("", "", None)
     assert got[4] == ("sub.example.org", "/es/1", "example.org/es/", "block")

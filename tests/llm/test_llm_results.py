@@ -248,16 +248,13 @@ def test_url_filter(spark):
         assert r.verdict == best[2] if best else r.verdict in ("allow", "block")
 
 
-def test_trees_learn_the_labelled_urls(spark):
-    """Urls whose label is hidden are judged as their rule would: most of them."""
+def test_trees_on_held_out_urls(spark):
+    """Labelled urls that were kept out of training are mostly judged as their rule does."""
     pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("page_id", "url")
-    hidden = tuple(("allow" if a == "allow" else "block", h, p) for a, h, p in url_filter.RULES)
-    truth = {r.page_id: r.verdict for r in url_filter.judge(pages, hidden).filter("rule is not null").collect()}
-    masked = pages.withColumn("url", F.when(F.col("page_id") % 4 == 0, F.regexp_replace("url", r"\.(org|com)/", ".masked/")).otherwise(F.col("url")))
-    got = [(truth[r.page_id], r.verdict) for r in url_filter.judge(masked, hidden).collect() if r.page_id in truth and r.page_id % 4 == 0]
-    assert all(v in ("allow", "block") for _, v in got) and len(got) > 100
-    kept = [(truth[r.page_id], r.verdict) for r in url_filter.judge(pages, hidden[:1] + hidden[3:]).filter("rule is null").collect() if r.page_id in truth]
-    assert len({v for _, v in kept}) == 2 or kept
+    held = url_filter.judge(pages, train_on="page_id % 4 <> 0").filter("rule is not null and page_id % 4 = 0").collect()
+    common = Counter(r.verdict for r in held).most_common(1)[0][1]
+    right = sum(r.method == r.verdict for r in held)
+    assert len(held) > 200 and right > common, (right, common, len(held))
 
 
 def test_token_counts(spark, texts):
