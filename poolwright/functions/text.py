@@ -112,12 +112,14 @@ def score(paragraph: Column, terms: Column) -> Column:
     return F.size(F.filter(terms, lambda t: F.contains(lower, t)))
 
 
+# Fixed value: what tells a page of a proxy from a plain message.
+PROXY_PAGE = r"(?i)^<|<!doctype|<html|<head|<body|cloudflare|error code\s*\d"
+
+
 def error_kind(c: Column | str) -> Column:
     """What an error body is: ``empty``, a ``proxy`` page, or a plain ``message``."""
     t = trim_space(c)
-    markup = t.startswith("<") | t.rlike(
-        "(?i)<!doctype|<html|<head|<body|cloudflare|error code\\s*[0-9]"
-    )
+    markup = t.rlike(PROXY_PAGE)
     return F.when(t == "", "empty").when(markup, "proxy").otherwise("message")
 
 

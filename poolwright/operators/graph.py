@@ -249,9 +249,9 @@ def source_keys(docs: DataFrame, most: int = KEY_BYTES) -> DataFrame:
 def stale(docs: DataFrame, graphs: DataFrame) -> DataFrame:
     """Pools whose documents changed since their graph was derived.
 
-    ``graphs``: pool_id, digest: the digest at that time.
+    ``graphs``: pool_id, digest, n: digest and number of entries at that time. Equal entries cancel in
+    the digest, so the number counts too.
     """
-    now = source_keys(docs).select("pool_id", F.col("digest").alias("_now"))
-    return graphs.join(now, "pool_id", "left").select(
-        "pool_id", (~F.col("digest").eqNullSafe(F.col("_now"))).alias("stale")
-    )
+    now = source_keys(docs).select("pool_id", F.col("digest").alias("_now"), F.col("n").alias("_n_now"))
+    same = F.col("digest").eqNullSafe(F.col("_now")) & F.col("n").eqNullSafe(F.col("_n_now"))
+    return graphs.join(now, "pool_id", "left").select("pool_id", (~same).alias("stale"))

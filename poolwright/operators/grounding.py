@@ -32,7 +32,7 @@ from poolwright.operators.retrieval import (
 from poolwright.session import materialize
 
 BUDGET = 24 << 20
-ROUND_UNITS = 64
+ROUND_UNITS = 1024
 NOTE_PATH = "grounding-note"
 NOTE_TYPE = "text/markdown"
 IMAGE_TYPE = "image/jpeg"
@@ -227,9 +227,16 @@ def _walk_rounds(
 ) -> DataFrame | None:
     """Walk the open units per question; (question_id, pool_id, pos, decision, sent, chosen).
 
-    Every round takes the next ``round_units`` units of each pool that could still fit for
-    some question. The rounds end when no pool has such a unit left; nothing is cut off.
+    The texts of all units that can be cut are split and matched once, before the rounds. Every
+    round takes the next ``round_units`` units of each pool that could still fit for some
+    question; pools without such a unit are out. The rounds end when none is left; nothing is
+    cut off.
     """
+    cut = docs.select("pool_id", "doc_id", "text").join(
+        unsure.filter("can_split").select("pool_id", "doc_id").distinct(), ["pool_id", "doc_id"], "left_semi"
+    )
+    feats = leading_features(cut, delimiter) if questions is None else paragraph_features(cut, questions, delimiter)
+    feats = materialize(feats.withColumn("can_split", F.lit(True)))
     if questions is None:
         asked = unsure.select("pool_id").distinct().select(
             F.lit(None).cast("long").alias("question_id"), "pool_id", F.array().cast("array<string>").alias("terms")
@@ -254,7 +261,7 @@ def _walk_rounds(
         )
         if batch.isEmpty():
             break
-        step = materialize(_walk(batch, docs, questions, state, delimiter))
+        step = materialize(_walk(batch, feats, state))
         rounds.append(
             step.select("question_id", "pool_id", F.explode("log").alias("d")).select(
                 "question_id", "pool_id", F.col("d.at").alias("pos"), "d.decision", "d.sent", "d.chosen"
@@ -269,15 +276,8 @@ def _walk_rounds(
     return out
 
 
-def _walk(
-    batch: DataFrame, docs: DataFrame, questions: DataFrame | None, state: DataFrame, delimiter: str
-) -> DataFrame:
+def _walk(batch: DataFrame, feats: DataFrame, state: DataFrame) -> DataFrame:
     """One bounded walk per question over the units of its pool in this round."""
-    cut = docs.select("pool_id", "doc_id", "text").join(
-        batch.filter("can_split").select("pool_id", "doc_id"), ["pool_id", "doc_id"], "left_semi"
-    )
-    feats = leading_features(cut, delimiter) if questions is None else paragraph_features(cut, questions, delimiter)
-    feats = feats.withColumn("can_split", F.lit(True))
     units = batch.join(feats, ["pool_id", "doc_id", "can_split"], "left")
     per_question = (
         units.join(state, "pool_id")

@@ -17,18 +17,19 @@ def judge_uploads(parts: DataFrame, most_files: int = MOST_FILES, most_bytes: in
     kind, size. The place needs only the ``most_files``-th part of each batch, which is found
     without bringing a batch together.
     """
-    slim = parts.select("batch", "ord")
-    last = first_rows(slim, ["batch"], ["ord"], most_files).groupBy("batch").agg(F.max("ord").alias("_last"))
+    # What the bytes tell is read off in the scan; no file travels.
     name = clean_name("name")
-    judged = parts.join(last, "batch").select(
+    seen = parts.select(
         "batch",
         "ord",
         name.alias("name"),
         F.col("size").cast("long").alias("size"),
-        (F.col("ord") > F.col("_last")).alias("_over"),
         (F.octet_length("data") == 0).alias("_empty"),
         upload_kind(name, "data").alias("_kind"),
     )
+    slim = parts.select("batch", "ord")
+    last = first_rows(slim, ["batch"], ["ord"], most_files).groupBy("batch").agg(F.max("ord").alias("_last"))
+    judged = seen.join(last, "batch").withColumn("_over", F.col("ord") > F.col("_last"))
     reason = (
         F.when(F.col("_over"), f"skipped — at most {most_files} files per upload")
         .when(F.col("_empty"), "the file is empty")

@@ -1,10 +1,9 @@
 """Positions and running sums inside groups of any size.
 
-A window over a group puts the whole group into one task. That is right while
-groups are small, and wrong when one key holds a third of the rows. ``running``
-measures the largest group first and takes the window only below a bound.
-Beyond it the rows are range-partitioned by key *and* order, so a hot key spans
-many partitions, and each partition's share is shifted by what lies before it.
+A window over a group puts the whole group into one task. That is wrong when one key
+holds a third of the rows, so rows are range-partitioned by key *and* order: a hot key
+spans many partitions, and each partition's share is shifted by what lies before it.
+The ordered rows are stored, so whoever reads them again does not sort again.
 """
 
 from __future__ import annotations
@@ -13,14 +12,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from poolwright.session import materialize
 
-GROUP_ROWS = 2_000_000
-
-
-def largest_group(df: DataFrame, keys: list[str]) -> int:
-    """Rows of the largest group. Counts combine before the shuffle."""
-    row = df.groupBy(*keys).count().agg(F.max("count").alias("n")).first()
-    return row["n"] or 0
-
 
 def running(
     df: DataFrame,
@@ -28,7 +19,6 @@ def running(
     order: list[Column | str],
     position: str = "pos",
     sums: dict[str, Column] | None = None,
-    group_rows: int = GROUP_ROWS,
 ) -> DataFrame:
     """Add the 1-based position of each row in its group and inclusive running sums.
 
@@ -36,17 +26,6 @@ def running(
     """
     sums = sums or {}
     order = [F.col(o) if isinstance(o, str) else o for o in order]
-    if largest_group(df, keys) <= group_rows:
-        w = Window.partitionBy(*keys).orderBy(*order)
-        rows = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        out = df.withColumn(position, F.row_number().over(w).cast("long"))
-        return out.withColumns({n: F.sum(c).over(rows) for n, c in sums.items()})
-    return _running_by_range(df, keys, order, position, sums)
-
-
-def _running_by_range(
-    df: DataFrame, keys: list[str], order: list[Column], position: str, sums: dict[str, Column]
-) -> DataFrame:
     # Written out once: the range bounds are drawn from a sample, and a second
     # evaluation could place rows differently.
     placed = materialize(

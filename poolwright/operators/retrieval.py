@@ -4,11 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from poolwright.functions.text import byte_len, paragraphs, query_terms, words as text_words
-from poolwright.operators.ordering import largest_group
+from poolwright.functions.text import byte_len, paragraphs, query_terms
 
 SEPARATOR = "\n\n"
-MANY_TERMS = 1_000
 
 
 def split_paragraphs(docs: DataFrame, delimiter: str = "\n\n", text: str = "text") -> DataFrame:
@@ -23,41 +21,8 @@ def question_terms(questions: DataFrame, text: str = "text") -> DataFrame:
     return questions.select(*rest, query_terms(text).alias("terms"))
 
 
-def _grams(word: Column) -> Column:
-    """Distinct three-byte pieces of an ASCII word, cut on bytes so that long junk stays cheap."""
-    raw = word.cast("binary")
-    starts = F.sequence(F.lit(1), F.length(word) - 2)
-    return F.array_distinct(F.transform(starts, lambda i: F.substr(raw, i, F.lit(3)).cast("string")))
-
-
-def matched_terms(paras: DataFrame, terms: DataFrame, keys: list[str]) -> DataFrame:
-    """Which ``terms`` (distinct, column ``term``) occur in which paragraphs, as (keys, term).
-
-    A term has only ``a-z0-9``, so it is a substring of the lower-cased paragraph
-    exactly when it is one of a word of that paragraph. Terms are therefore matched
-    against the distinct words, once each. A word that holds a term also holds the
-    term's first three characters: an equality join on three characters finds every
-    candidate, and ``contains`` keeps the true ones. A second equality join brings
-    the matches back to the paragraphs; its frequent words are split by AQE.
-    """
-    words = paras.select(*keys, F.explode(text_words("para")).alias("word"))
-    pieces = words.select("word").distinct().select("word", F.explode(_grams(F.col("word"))).alias("gram"))
-    heads = terms.select("term", F.substring("term", 1, 3).alias("gram"))
-    found = (
-        pieces.join(heads, "gram")
-        .filter(F.contains("word", "term"))
-        .groupBy("word")
-        .agg(F.collect_set("term").alias("terms"))
-    )
-    return words.join(found, "word").select(*keys, F.explode("terms").alias("term"))
-
-
 def request_features(
-    docs: DataFrame,
-    questions: DataFrame,
-    requests: DataFrame,
-    delimiter: str = "\n\n",
-    many_terms: int = MANY_TERMS,
+    docs: DataFrame, questions: DataFrame, requests: DataFrame, delimiter: str = "\n\n"
 ) -> DataFrame:
     """The paragraphs of each requested document, scored for the question: question_id, doc_id, paras.
 
@@ -65,34 +30,40 @@ def request_features(
     pairs to work on. ``paras`` is ``array<struct<neg, idx, bytes>>`` in rank order: score
     descending (``neg`` is the score below zero), then reading order.
 
-    A question has few words, so its terms are looked for inside the scan of the document.
-    The longest question is measured first; beyond ``many_terms`` the word join takes over.
+    The questions about a document meet it in one row: its text is shuffled, split and
+    lower-cased once, however many there are, and each is scored in that pass.
     """
     asked = question_terms(questions.select("question_id", "text"))
-    longest = asked.agg(F.max(F.size("terms")).alias("n")).first()["n"] or 0
-    if longest > many_terms:
-        one = docs.select(F.lit("").alias("pool_id"), "doc_id", "text").join(
-            requests.select("doc_id").distinct(), "doc_id", "left_semi"
-        )
-        words = asked.select(F.explode("terms").alias("term")).distinct()
-        feats = _features_by_word(one, words, delimiter).join(requests, "doc_id").join(asked, "question_id")
-        return feats.select("question_id", "doc_id", ranked(F.col("paras"), F.col("terms")).alias("paras"))
+    pairs = requests.select("question_id", "doc_id").join(asked, "question_id")
+    per_doc = pairs.groupBy("doc_id").agg(F.collect_list(F.struct("question_id", "terms")).alias("_asked"))
     pieces = F.transform(
         paragraphs("text", delimiter),
         lambda p: F.struct(byte_len(p).alias("bytes"), F.lower(p).alias("lower")),
     )
-    scored = F.transform(
-        pieces,
-        lambda p, i: F.struct(
-            (-F.size(F.filter("terms", lambda t: F.contains(p["lower"], t)))).alias("neg"),
-            i.cast("int").alias("idx"),
-            p["bytes"].alias("bytes"),
+
+    def scored(paras: Column, terms: Column) -> Column:
+        return F.sort_array(
+            F.transform(
+                paras,
+                lambda p, i: F.struct(
+                    (-F.size(F.filter(terms, lambda t: F.contains(p["lower"], t)))).alias("neg"),
+                    i.cast("int").alias("idx"),
+                    p["bytes"].alias("bytes"),
+                ),
+            )
+        )
+
+    # An array of one element binds the paragraphs, so that they are made once and not for each question.
+    each = F.transform(
+        F.array(pieces),
+        lambda paras: F.transform(
+            F.col("_asked"),
+            lambda q: F.struct(q["question_id"].alias("question_id"), scored(paras, q["terms"]).alias("paras")),
         ),
     )
-    pairs = requests.select("question_id", "doc_id").join(asked, "question_id")
-    return docs.select("doc_id", "text").join(pairs, "doc_id").select(
-        "question_id", "doc_id", F.sort_array(scored).alias("paras")
-    )
+    met = docs.select("doc_id", "text").hint("shuffle_hash").join(per_doc.hint("shuffle_hash"), "doc_id")
+    rows = met.select("doc_id", F.explode_outer(F.element_at(each, 1)).alias("_q"))
+    return rows.filter("_q is not null").select("_q.question_id", "doc_id", "_q.paras")
 
 
 def _each(feats: DataFrame, value: Column) -> DataFrame:
@@ -119,21 +90,17 @@ def rank_paragraphs(
 
 
 def paragraph_features(
-    docs: DataFrame, questions: DataFrame, delimiter: str = "\n\n", many_terms: int = MANY_TERMS
+    docs: DataFrame, questions: DataFrame, delimiter: str = "\n\n"
 ) -> DataFrame:
     """Per document its paragraphs as ``paras: array<struct<idx, bytes, terms>>``, without text.
 
     ``terms`` are those of any question of the pool that the paragraph contains;
     matching them once per document keeps the work independent of the number of
-    questions. The array is bounded by the one text it describes.
-
-    A pool with few distinct terms is matched inside the scan, with no shuffle. The
-    number of terms is counted first; beyond ``many_terms`` in one pool the word
-    join takes over.
+    questions. The array is bounded by the one text it describes. A pool's terms are
+    its distinct words of three letters or more: they grow with its vocabulary, not with
+    the number of its questions.
     """
     asked = questions.select("pool_id", F.explode(query_terms("text")).alias("term"))
-    if largest_group(asked.distinct(), ["pool_id"]) > many_terms:
-        return _features_by_word(docs, asked.select("term").distinct(), delimiter)
     wanted = asked.groupBy("pool_id").agg(F.collect_set("term").alias("_terms"))
     pieces = F.transform(
         paragraphs("text", delimiter),
@@ -155,23 +122,6 @@ def paragraph_features(
     )
 
 
-def _features_by_word(docs: DataFrame, terms: DataFrame, delimiter: str) -> DataFrame:
-    keys = ["pool_id", "doc_id", "idx"]
-    paras = split_paragraphs(docs.select("pool_id", "doc_id", "text"), delimiter)
-    no_term, no_size = F.lit(None).cast("string"), F.lit(None).cast("long")
-    sizes = paras.select(*keys, byte_len("para").alias("bytes"), no_term.alias("term"))
-    hits = matched_terms(paras, terms, keys).select(*keys, no_size.alias("bytes"), "term")
-    # Both groupings run on the one shuffle by document.
-    return (
-        sizes.unionByName(hits)
-        .repartition("doc_id")
-        .groupBy("doc_id", "pool_id", "idx")
-        .agg(F.max("bytes").alias("bytes"), F.collect_set("term").alias("terms"))
-        .groupBy("doc_id", "pool_id")
-        .agg(F.sort_array(F.collect_list(F.struct("idx", "bytes", "terms"))).alias("paras"))
-    )
-
-
 def leading_features(docs: DataFrame, delimiter: str = "\n\n") -> DataFrame:
     """``paragraph_features`` when there is no question: sizes only, no shuffle."""
     paras = F.transform(

@@ -24,19 +24,9 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return reader.parquet(f"{folder}/{name}.parquet")
 
 
-def texts(spark: SparkSession, folder: str, name: str, key: str) -> DataFrame:
-    """A table of long texts, spread over the cores when it is read as fewer parts than there are.
-
-    Only a small table has so few parts; a large one is read as it lies, without a shuffle.
-    """
-    df = table(spark, folder, name)
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
-
-
 def pool_docs(spark: SparkSession, folder: str) -> DataFrame:
     """Documents by source: read, failed, pending and never-read files, and text documents."""
-    docs, labels = texts(spark, folder, "documents", "doc_id"), table(spark, folder, "labels")
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
     quality, lang = F.col("quality"), F.col("lang")
     kind = F.when(quality.isNotNull() | lang.isin("fr", "es"), "file").otherwise("text")
     state = (
@@ -56,7 +46,7 @@ def pool_docs(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def pool_texts(spark: SparkSession, folder: str) -> DataFrame:
-    docs = texts(spark, folder, "documents", "doc_id")
+    docs = table(spark, folder, "documents")
     return docs.select(F.col("source").alias("pool_id"), "doc_id", "text")
 
 
@@ -82,7 +72,7 @@ def questions(spark: SparkSession, folder: str) -> DataFrame:
 def requests(spark: SparkSession, folder: str) -> DataFrame:
     """One question about every document, the questions taken in turn."""
     n = table(spark, folder, "benchmark").count()
-    docs = texts(spark, folder, "documents", "doc_id")
+    docs = table(spark, folder, "documents")
     return docs.select((F.col("doc_id") % n).alias("question_id"), "doc_id")
 
 
@@ -242,9 +232,9 @@ def graph_of_supplier(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def graph_nodes(spark: SparkSession, folder: str) -> DataFrame:
-    """A nation's suppliers, then the small parts its suppliers ship."""
+    """A nation's suppliers, then the parts its suppliers ship."""
     sup = graph_of_supplier(spark, folder)
-    parts = table(spark, folder, "part").filter(F.col("p_size") <= 25)
+    parts = table(spark, folder, "part")
     shipped = (
         table(spark, folder, "lineitem").select("l_suppkey", "l_partkey")
         .join(sup.select("graph_id", F.col("s_suppkey").alias("l_suppkey")), "l_suppkey")
@@ -347,7 +337,7 @@ def messages(spark: SparkSession, folder: str) -> DataFrame:
 
 def uploads(spark: SparkSession, folder: str) -> DataFrame:
     """Pages as uploaded files, with the leading bytes of every kind of file in turn."""
-    p = texts(spark, folder, "pages", "page_id")
+    p = table(spark, folder, "pages")
     case = F.col("page_id") % 6
     head = (
         F.when(case == 1, F.unhex(F.lit("89504E470D0A1A0A")))

@@ -271,7 +271,7 @@ node0 as (
   select distinct graph_id, p_partkey + 1000000,
     case p_partkey % 10 when 0 then '' when 1 then 'p1' else 'p' || p_partkey end, p_name, p_type,
     case when p_size = 7 then 'NaN'::double else p_retailprice * 15 end, p_size - 5.0
-  from sup join lineitem on l_suppkey = s_suppkey join part on p_partkey = l_partkey where p_size <= 25),
+  from sup join lineitem on l_suppkey = s_suppkey join part on p_partkey = l_partkey),
 node as (
   select graph_id, id, ord, left("name", 120) "name", trim(left(trim(symbol), 16)) symbol0, symbol,
     case when isnan(x) then 0.0 else least(greatest(x, 0), 20000) end x, least(greatest(y, 0), 20000) y

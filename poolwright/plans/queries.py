@@ -92,7 +92,7 @@ def clean_name(s: SparkSession, d: str) -> DataFrame:
 
 
 def clip_bytes(s: SparkSession, d: str) -> DataFrame:
-    return i.texts(s, d, "documents", "doc_id").select("doc_id", ft.clip("text", 200).alias("clipped"))
+    return i.table(s, d, "documents").select("doc_id", ft.clip("text", 200).alias("clipped"))
 
 
 def with_ending(s: SparkSession, d: str) -> DataFrame:
@@ -113,7 +113,7 @@ def coherent(s: SparkSession, d: str) -> DataFrame:
 
 def squeeze_blank_lines(s: SparkSession, d: str) -> DataFrame:
     spread = F.replace("text", F.lit(". "), F.lit(". \n\t\n \n"))
-    return i.texts(s, d, "documents", "doc_id").select("doc_id", F.md5(ft.squeeze_blank_lines(spread)).alias("digest"))
+    return i.table(s, d, "documents").select("doc_id", F.md5(ft.squeeze_blank_lines(spread)).alias("digest"))
 
 
 def strip_bom(s: SparkSession, d: str) -> DataFrame:
@@ -629,7 +629,7 @@ def stream_new_files(s: SparkSession, d: str) -> DataFrame:
 def stream_section_progress(s: SparkSession, d: str) -> DataFrame:
     kind = F.col("event_type")
     ev = _events(s, d).select(
-        F.col("user_id").alias("doc_id"), (F.get_json_object("props", "$.k").cast("int") % 20).alias("idx"), F.col("ts").cast("timestamp").alias("t"),
+        F.col("user_id").alias("doc_id"), (F.get_json_object("props", "$.k").cast("int") % 20).alias("idx"), F.col("ts").cast("timestamp").alias("t"), "event_id",
         F.when(kind.isin("view", "signup"), "start").when(kind == "error", "error").otherwise("read").alias("kind"),
     )
     before = s.conf.get(jobs.ROCKSDB[0])

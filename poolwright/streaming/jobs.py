@@ -11,6 +11,7 @@ from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulP
 from poolwright.operators.extraction import STATES, state_columns
 from poolwright.operators.graph import graph_columns, graph_view
 from poolwright.functions.files import clean_name, upload_kind
+from poolwright.operators.pool import latest
 
 
 def extract_state(events: DataFrame, order: tuple[str, ...] = ("t", "event_id")) -> DataFrame:
@@ -36,19 +37,20 @@ def new_files(files: DataFrame, delay: str = "1 hour") -> DataFrame:
 
     ``files``: path, modificationTime, length, content, as the binaryFile stream gives them.
     """
-    once = files.withWatermark("modificationTime", delay).dropDuplicatesWithinWatermark(["path"])
     name = clean_name(F.regexp_extract("path", "([^/]*)$", 1))
     kind = upload_kind(name, "content")
-    return once.select(
+    # Judged before the rows meet: the bytes do not travel.
+    judged = files.select(
         "path", name.alias("name"), F.col("length").alias("size"), "modificationTime", kind.alias("_k")
     ).select("path", "name", "size", "modificationTime", "_k.mime", "_k.reason")
+    return judged.withWatermark("modificationTime", delay).dropDuplicatesWithinWatermark(["path"])
 
 
 def upsert_into(stream: DataFrame, path: str, checkpoint: str, key: str = "path") -> DataStreamWriter:
-    """Write each micro-batch to its own folder of ``path``.
+    """Write each micro-batch to its own folder of ``path``; ``upserted`` reads the table.
 
     A batch that is run again after a failure overwrites its own folder only, so the table
-    holds every row once.
+    holds every row once; a key that comes again is a later row of the same key.
     """
 
     def write(batch: DataFrame, epoch: int) -> None:
@@ -57,6 +59,11 @@ def upsert_into(stream: DataFrame, path: str, checkpoint: str, key: str = "path"
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 
 
+def upserted(spark: SparkSession, path: str, key: str = "path") -> DataFrame:
+    """The table that ``upsert_into`` has written: the latest row of each key."""
+    return latest(spark.read.parquet(path), [key], ["batch"]).drop("batch")
+
+
 ROCKSDB = (
     "spark.sql.streaming.stateStore.providerClass",
     "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -67,7 +74,8 @@ PROGRESS = "doc_id long, idx int, outcome string, attempts int"
 class SectionDeadline(StatefulProcessor):
     """One section's attempts under a deadline that doubles on the second try.
 
-    Input rows: doc_id, idx, t (event time), kind (``start``, ``read``, ``error``, ``outage``). A start arms a timer; a deadline that passes before a result is a time-out,
+    Input rows: doc_id, idx, t (event time), event_id (orders events of one time), kind (``start``,
+    ``read``, ``error``, ``outage``). A start arms a timer; a deadline that passes before a result is a time-out,
     whether the timer fires or a later event shows it. After the second time-out the
     section is too slow. Rows behind the watermark never reach the
     state: Spark drops them and counts them in the query progress.
@@ -88,7 +96,9 @@ class SectionDeadline(StatefulProcessor):
             self.handle.deleteTimer(deadline)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        events = pd.concat(list(rows)).sort_values("t", kind="stable")
+        events = pd.concat(list(rows))
+        order = ["t", "event_id"] if "event_id" in events else ["t"]
+        events = events.sort_values(order, kind="stable")
         out = []
         for kind, t in zip(events["kind"], events["t"]):
             timed_out, deadline, ended = self._get()

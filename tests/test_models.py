@@ -15,9 +15,8 @@ def text(rng, paras, longest=12):
     return "\n\n".join(" ".join(rng.choices(WORDS, k=rng.randint(0, longest))) for _ in range(rng.randint(0, paras)))
 
 
-@pytest.mark.parametrize("many_terms", [1000, 0])
-def test_select_paragraphs(spark, many_terms, monkeypatch):
-    """Both ways of matching terms, over several partition counts."""
+def test_select_paragraphs(spark):
+    """Several questions about each document, over several partition counts."""
     rng = random.Random(1)
     docs = [(k, text(rng, 9)) for k in range(60)]
     asked = [(1, "Which projector lamp?"), (2, ""), (3, "hdmi CABLE port of")]
@@ -25,7 +24,6 @@ def test_select_paragraphs(spark, many_terms, monkeypatch):
     q = spark.createDataFrame(asked, "question_id long, text string")
     pairs = [(n, k) for n, _ in asked for k in range(60) if (n + k) % 4]
     requests = spark.createDataFrame(pairs, "question_id long, doc_id long")
-    monkeypatch.setattr(retrieval.request_features, "__defaults__", ("\n\n", many_terms))
     for parts in (1, 8):
         rows = retrieval.select_paragraphs(d.repartition(parts), q, requests, 90).collect()
         got = {(r.question_id, r.doc_id): (r.chosen, r.used) for r in rows}
@@ -61,10 +59,9 @@ def pool_of(rng, n, ids):
     return out
 
 
-@pytest.mark.parametrize("round_units, many_terms", [(2, 1000), (64, 0)])
-def test_pack_pool(spark, round_units, many_terms, monkeypatch):
-    """Whole pools, many questions, rounds so small that several are needed, both ways of matching."""
-    monkeypatch.setattr(retrieval.paragraph_features, "__defaults__", ("\n\n", many_terms))
+@pytest.mark.parametrize("round_units", [2, 64])
+def test_pack_pool(spark, round_units):
+    """Whole pools, many questions, rounds so small that several are needed."""
     rng = random.Random(3)
     ids = iter(range(10_000))
     pools = {f"p{k}": pool_of(rng, rng.randint(1, 14), ids) for k in range(12)}

@@ -3,29 +3,28 @@
 import random
 
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from poolwright.operators.ordering import first_rows, running
 from poolwright.session import scratch_folder
 
 
 @pytest.mark.parametrize("parts", [1, 8, 40])
-def test_range_path_equals_window(spark, parts):
-    """One key holds most rows; both paths give the same places and sums."""
+def test_places_equal_a_window(spark, parts):
+    """One key holds most rows; places and sums are those of a window."""
     rng = random.Random(8)
     rows = [(("hot" if rng.random() < 0.7 else f"k{rng.randint(0, 30)}"), rng.randint(0, 10**6), n, rng.randint(0, 9)) for n in range(4000)]
     df = spark.createDataFrame(rows, "k string, a long, b long, v long").repartition(parts)
-    args = (["k"], ["a", F.col("b").desc()], "pos", {"upto": F.col("v")})
-    window = running(df, *args)
-    ranged = running(df, *args, group_rows=10)
-    assert sorted(window.collect()) == sorted(ranged.collect())
+    w = Window.partitionBy("k").orderBy("a", F.col("b").desc())
+    want = df.select("*", F.row_number().over(w).cast("long"), F.sum("v").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    got = running(df, ["k"], ["a", F.col("b").desc()], "pos", {"upto": F.col("v")})
+    assert sorted(got.collect()) == sorted(want.collect())
 
 
-def test_range_path_splits_a_hot_key(spark):
+def test_a_hot_key_is_split(spark):
     df = spark.range(20_000).select(F.lit("hot").alias("k"), "id")
-    plan = running(df, ["k"], ["id"], group_rows=10)._jdf.queryExecution().optimizedPlan().toString()
-    assert "_part" in plan
-    out = running(df, ["k"], ["id"], group_rows=10)
+    out = running(df, ["k"], ["id"])
+    assert "_part" in out._jdf.queryExecution().optimizedPlan().toString()
     assert out.filter("pos <> id + 1").count() == 0
 
 
