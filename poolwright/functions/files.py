@@ -81,6 +81,7 @@ def upload_kind(name: Column | str, data: Column | str) -> Column:
     mime = F.when(sniff.isin(*ACCEPTED), sniff).when(
         sniff.startswith("text/") | looks_like_text(data), text_type(name)
     )
+    # The pieces of the sentence.
     reason = F.concat(
         F.lit("files of type "),
         sniff,

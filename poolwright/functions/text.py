@@ -40,26 +40,29 @@ def byte_len(c: Column | str) -> Column:
     return F.octet_length(_col(c)).cast("long")
 
 
-def _first_bytes(c: Column, n: int) -> Column:
-    return F.substring(c.cast("binary"), 1, n).cast("string")
-
-
 def cut_bytes(c: Column | str, n: int) -> Column:
     """At most ``n`` bytes of ``c``, never ending inside a character.
 
-    A UTF-8 character has at most four bytes, so one of the cuts at n, n-1, n-2
-    and n-3 falls on a boundary.
+    The bytes after the cut tell how far back the last whole character ends: bytes that
+    continue a character have their two leading bits 10, and there are three at most.
     """
     c = _col(c)
-    cuts = [F.try_validate_utf8(_first_bytes(c, n - k)) for k in range(min(4, n + 1))]
-    return F.when(F.octet_length(c) <= n, c).otherwise(
-        F.coalesce(*cuts, F.make_valid_utf8(_first_bytes(c, n)))
-    )
+    # what is cut off starts inside a character as long as it starts with a continuing byte
+    inside = lambda k: F.hex(F.substring(c.cast("binary"), n - k + 1, 1)).rlike("^[89AB]")
+    back = F.lit(min(3, n))
+    for k in range(min(3, n) - 1, -1, -1):
+        back = F.when(~inside(k), F.lit(k)).otherwise(back)
+    cut = F.substring(c.cast("binary"), F.lit(1), F.lit(n) - back).cast("string")
+    return F.when(F.octet_length(c) <= n, c).otherwise(cut)
 
 
 def clip(c: Column | str, n: int) -> Column:
-    """Trim, then cut to ``n`` bytes."""
-    return cut_bytes(trim_space(c), n)
+    """Trim, then cut to ``n`` bytes.
+
+    An array of one element holds the trimmed text, so that it is made once and generated
+    code stays small however many columns are clipped.
+    """
+    return F.element_at(F.transform(F.array(trim_space(c)), lambda t: cut_bytes(t, n)), 1)
 
 
 def strip_bom(c: Column | str) -> Column:

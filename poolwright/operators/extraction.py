@@ -29,6 +29,7 @@ ASK_FAILURES = {
     "unavailable": "No AI engine is available — an admin can connect one",
 }
 ASK_FAILURE = "The assistant could not answer"
+# Fixed value: the error of a section that ran out of attempts.
 TOO_SLOW = "it kept exceeding the read time limit even after the deadline was stretched"
 
 
@@ -48,6 +49,7 @@ def ask_failure(code: Column) -> Column:
 
 
 def interruption(done: Column, total: Column, code: Column) -> Column:
+    # The pieces of the sentence.
     return F.concat(
         F.lit("The read was interrupted after section "),
         done.cast("string"),
@@ -507,6 +509,7 @@ def section_piece() -> Column:
     text, page = F.coalesce("text", F.lit("")), F.coalesce("page", F.lit(0))
     body = F.rtrim(text, F.lit("\n"))
     name = section_name(F.col("label"))
+    # The heading of a picture and the sentences for gaps.
     headed = F.concat(F.lit("Image on page "), page.cast("string"), F.lit(":\n"), body)
     return (
         F.when(_given("note"), F.concat(F.lit("["), F.col("note"), F.lit("]")))

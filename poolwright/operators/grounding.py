@@ -47,6 +47,7 @@ NOTE_SENTENCES = {
     "not_read": "These uploaded files have not been read yet, so their text is NOT available to you: ",
     "unread": "These uploaded files could not be read, so their text is NOT available to you: ",
 }
+# Fixed value: the note when no engine sees pictures.
 NO_VISION_NOTE = (
     "The room includes pictures (photographs, scans, nameplates) that could NOT be shown to the "
     "available AI engine, which cannot see images. Answer from the text below and say plainly that "

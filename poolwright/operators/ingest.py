@@ -30,6 +30,7 @@ def judge_uploads(parts: DataFrame, most_files: int = MOST_FILES, most_bytes: in
     slim = parts.select("batch", "ord")
     last = first_rows(slim, ["batch"], ["ord"], most_files).groupBy("batch").agg(F.max("ord").alias("_last"))
     judged = seen.join(last, "batch").withColumn("_over", F.col("ord") > F.col("_last"))
+    # Why a part is refused.
     reason = (
         F.when(F.col("_over"), f"skipped — at most {most_files} files per upload")
         .when(F.col("_empty"), "the file is empty")

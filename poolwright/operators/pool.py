@@ -79,6 +79,7 @@ def author_text(posts: DataFrame) -> DataFrame:
     ``posts``: post_id, title, content, description, author, created.
     """
     title, content = trim_space("title"), trim_space("content")
+    # Why a text is refused.
     reason = (
         F.when(title == "", "A title is required")
         .when(content == "", "The document must not be empty")
