@@ -23,8 +23,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 from poolwright.functions.text import byte_len, display_path, image_path, paragraphs, trim_space
 from poolwright.operators.ordering import first_rows, joined_in_order, running
 from poolwright.operators.retrieval import (
+    SEPARATOR,
     leading_features,
     paragraph_features,
+    pick,
     question_terms,
     ranked,
     take_greedily,
@@ -81,7 +83,10 @@ def context_units(
         .when((kind == "file") & (state == "ready"), "extract")
         .when((kind == "file") & ~state.isin("pending", "reading", "failed"), "raw")
     )
-    size = F.when(F.col("part") == "raw", byte_len("text")).otherwise(byte_len(t))
+    raw = byte_len("text")
+    if "data" in docs.columns:  # a file that is no text counts by its bytes, however it is sent
+        raw = F.coalesce(raw, F.octet_length("data").cast("long"))
+    size = F.when(F.col("part") == "raw", F.coalesce(raw, F.lit(0))).otherwise(byte_len(t))
     smallest = F.array_min(F.transform(paragraphs("text", delimiter), byte_len))
     texts = (
         docs.withColumn("part", part)
@@ -468,6 +473,43 @@ def context_parts(packed: DataFrame, questions: DataFrame) -> DataFrame:
     return sent.filter(F.col("question_id").isNotNull()).unionByName(shared)
 
 
+def with_content(
+    parts: DataFrame, docs: DataFrame, images: DataFrame | None = None, delimiter: str = "\n\n"
+) -> DataFrame:
+    """Parts with what is sent as ``content``; joined last, and only for what is sent.
+
+    A text whole is trimmed; a part of one is its chosen paragraphs joined by a blank line. A file
+    never read is its text, or its bytes (column ``data``) as text or base64 by media type. A picture
+    is base64. A reference has no content.
+    """
+    extra = ["data"] if "data" in docs.columns else []
+    cut = F.array_join(pick(paragraphs("text", delimiter), F.col("chosen")), SEPARATOR)
+    raw = F.coalesce("text", F.lit(""))
+    if extra:
+        raw = F.coalesce("text", _sent_bytes(), F.lit(""))
+    content = (
+        F.when(F.col("decision") == "ref", "")
+        .when(F.col("decision") == "partial", cut)
+        .when(F.col("part") == "raw", raw)
+        .otherwise(trim_space("text"))
+    )
+    texts = parts.filter("part <> 'image'").join(docs.select("doc_id", "text", *extra), "doc_id")
+    out = texts.withColumn("content", content).select(*parts.columns, "content")
+    if images is None:
+        return out
+    pictures = parts.filter("part = 'image'").join(images.select("doc_id", F.col("idx").cast("int").alias("idx"), "data"), ["doc_id", "idx"])
+    shown = F.when(F.col("decision") == "ref", "").otherwise(_base64("data"))
+    return out.unionByName(pictures.withColumn("content", shown).select(*parts.columns, "content"))
+
+
+def _base64(data: str) -> Column:
+    return F.replace(F.base64(F.col(data)), F.lit("\r\n"), F.lit(""))
+
+
+def _sent_bytes() -> Column:
+    return F.when(F.col("media_type").startswith("text/"), F.make_valid_utf8(F.col("data").cast("string"))).otherwise(_base64("data"))
+
+
 def text_only(parts: DataFrame, note: str = NO_VISION_NOTE) -> DataFrame:
     """Parts without their images, led by a note: question_id, ord, path, media_type, content."""
     head = parts.select("question_id").distinct().select(

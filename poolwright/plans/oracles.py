@@ -158,6 +158,12 @@ gap_each as (
 
 
 SHARED = "with recursive " + packing(True, False)
+CONTENT = f"""content as (
+  select s.question_id, s.seq, s.sub, s.path, s.media_type,
+    case when part = 'image' then to_base64(encode(repeat('x', (n_chars % 400 + 30 * idx + 1)::int)))
+      when decision = 'partial' then array_to_string(list_transform(list_sort(chosen), lambda k: ({paragraphs('d.text')})[k + 1]), chr(10) || chr(10))
+      when part = 'raw' then d.text else {trim('d.text')} end c
+  from sent s join documents d on d.doc_id = s.doc_id)"""
 NO_QUESTION = "with recursive " + packing(False, False)
 REFS = "with recursive " + packing(True, True)
 REFS_NO_QUESTION = "with recursive " + packing(False, True)
@@ -430,9 +436,12 @@ select question_id, pool_id, gap, piece, string_agg(path, ', ' order by seq, sub
     "context_counts__o41": SHARED + """ select question_id, count(*) filter (where media_type not like 'image/%') docs,
   count(*) filter (where media_type like 'image/%') images, sum(sent)::bigint bytes
 from decided where decision in ('whole', 'partial', 'ref') group by 1""",
+    "context_content__o38": SHARED + f""",
+sent as (select * from decided where decision in ('whole', 'partial')), {CONTENT}
+select question_id, (seq * 1000 + sub)::bigint ord, path, media_type, strlen(c)::bigint bytes, md5(c) digest from content""",
     "text_only__o42": SHARED + f""",
-sent as (select * from decided where decision in ('whole', 'partial'))
-select question_id, (seq * 1000 + sub)::bigint ord, path, media_type, md5('') digest from sent where media_type not like 'image/%'
+sent as (select * from decided where decision in ('whole', 'partial')), {CONTENT}
+select question_id, (seq * 1000 + sub)::bigint ord, path, media_type, md5(c) digest from content where media_type not like 'image/%'
 union all select distinct question_id, -2::bigint, 'grounding-note', 'text/markdown', md5({q(gr.NO_VISION_NOTE)}) from sent""",
     "pack_with_refs__o43a": REFS_NO_QUESTION + " select pool_id, doc_id, idx::bigint idx, decision, sent, coalesce(ref, '') \"ref\" from packed",
     "uses_refs__o43a": REFS + " select question_id, coalesce(bool_or(decision = 'ref'), false) retry_due from question left join (select question_id, decision from decided) using (question_id) group by 1",
@@ -500,10 +509,11 @@ select ord doc_id, case when noted or size > 9000 or size % 7 = 0 then '' else '
   case when noted then '' when size > 9000 then 'too large to read in one request' when size % 7 = 0 then 'unreadable' else '' end err,
   case when noted or size > 9000 or size % 7 = 0 then '' else 'model' end model from s""",
     "answer_questions__o54": SHARED + f""",
-n as (select question_id, count(*) n, count(*) filter (where media_type like 'image/%') pics from decided where decision in ('whole', 'partial') group by 1),
-b as (select item_id question_id, len({trim('text')}) len, coalesce(n, 0) n, coalesce(pics, 0) pics from benchmark left join n on n.question_id = item_id),
+n as (select question_id, count(*) n, count(*) filter (where media_type like 'image/%') pics, sum(sent) size,
+    coalesce(sum(sent) filter (where media_type not like 'image/%'), 0) + strlen({q(gr.NO_VISION_NOTE)}) seen from decided where decision in ('whole', 'partial') group by 1),
+b as (select item_id question_id, len({trim('text')}) len, coalesce(n, 0) n, coalesce(pics, 0) pics, coalesce(size, 0)::bigint size, seen::bigint seen from benchmark left join n on n.question_id = item_id),
 r as (select *, pics > 0 and len % 2 = 1 blind from b)
-select question_id, case when len % 5 = 0 then '' else len || ':' || (case when blind then n - pics + 1 else n end) end "output",
+select question_id, case when len % 5 = 0 then '' else len || ':' || (case when blind then (n - pics + 1) || ':' || seen else n || ':' || size end) end "output",
   case when len % 5 = 0 then 'unavailable' else '' end error, (case when len % 5 = 0 or n = 0 then 0 else 1 end)::bigint refs from r""",
     "author_text__o55": f"""select doc_id post_id, case when doc_id % 7 = 0 then '' else 'doc ' || doc_id end title, 'text' kind, 'text/markdown' mime, lang description,
   md5(case when doc_id % 11 = 0 then '' else {trim('text')} end) "content", (case when doc_id % 11 = 0 then 0 else strlen({trim('text')}) end)::bigint size, source author, {NOW}::bigint created,

@@ -371,8 +371,16 @@ def _parts(s: SparkSession, d: str) -> DataFrame:
     return grounding.context_parts(_packed(s, d), i.questions(s, d)).withColumn("ord", F.col("seq") * 1000 + F.col("sub"))
 
 
+def _content(s: SparkSession, d: str) -> DataFrame:
+    return grounding.with_content(_parts(s, d), i.pool_docs(s, d), i.pool_images(s, d), DELIMITER)
+
+
+def context_content(s: SparkSession, d: str) -> DataFrame:
+    return _content(s, d).select("question_id", "ord", "path", "media_type", ft.byte_len("content").alias("bytes"), F.md5("content").alias("digest"))
+
+
 def text_only(s: SparkSession, d: str) -> DataFrame:
-    parts = _parts(s, d).withColumn("content", F.lit(""))
+    parts = _content(s, d)
     return grounding.text_only(parts).select("question_id", "ord", "path", "media_type", F.md5("content").alias("digest"))
 
 
@@ -568,14 +576,15 @@ def _model() -> Callable:
             raise ValueError("no vision engine")
         if len(prompt) % 5 == 0:
             raise ValueError("unavailable")
-        return f"{len(prompt)}:{len(parts)}", "model", "engine", {p["path"]: "r" for p in parts[:1]}
+        size = sum(len(p["content"].encode()) for p in parts)
+        return f"{len(prompt)}:{len(parts)}:{size}", "model", "engine", {p["path"]: "r" for p in parts[:1]}
 
     return ask
 
 
 def answer_questions(s: SparkSession, d: str) -> DataFrame:
     asked = i.questions(s, d)
-    parts = _parts(s, d).withColumns({"content": F.lit(""), "ref": F.coalesce("ref", F.lit(""))})
+    parts = _content(s, d).withColumn("ref", F.coalesce("ref", F.lit("")))
     prompts = asked.select("question_id", F.col("text").alias("prompt"))
     out = recognise.answer(parts, prompts, _model)
     return out.select("question_id", "output", "error", F.size("refs").cast("long").alias("refs"))
@@ -685,6 +694,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "disclosure_notes__o40": disclosure_notes,
     "note_pieces__o40": note_pieces,
     "context_counts__o41": context_counts,
+    "context_content__o38": context_content,
     "text_only__o42": text_only,
     "pack_with_refs__o43a": pack_with_refs,
     "uses_refs__o43a": uses_refs,

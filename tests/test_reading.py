@@ -148,3 +148,46 @@ def test_scratch_tables_go(spark):
     assert not os.path.exists(gone)
     with pytest.raises(Exception):
         other.count()
+
+
+def test_content_of_what_is_sent(spark):
+    """Whole texts, chosen paragraphs, pictures, and files that were never read: as text or base64."""
+    import base64
+
+    from poolwright.operators import grounding
+
+    schema = "pool_id string, seq long, doc_id long, title string, kind string, state string, text string, mime string, data binary"
+    rows = [
+        ("p", 0, 1, "note", "text", "", " hello \n", "text/markdown", None),
+        ("p", 1, 2, "scan", "file", "ready", "aa\n\nbbbb\n\ncc", "application/pdf", None),
+        ("p", 2, 3, "legacy png", "file", "", None, "image/png", bytes(range(256))),
+        ("p", 3, 4, "legacy txt", "file", "", None, "text/plain", "grüße".encode()),
+        ("p", 4, 5, "pending", "file", "pending", "x", "text/plain", None),
+    ]
+    docs = spark.createDataFrame(rows, schema)
+    pictures = spark.createDataFrame([(2, 0, 1, b"\x00\xffpicture")], "doc_id long, idx int, page int, data binary")
+    asked = spark.createDataFrame([(7, "p", "bbbb")], "question_id long, pool_id string, text string")
+    units = grounding.context_units(docs, pictures)
+
+    def sent(budget):
+        packed = grounding.pack_pool(units, docs, asked, budget)
+        parts = grounding.context_parts(packed, asked)
+        return {(r.doc_id, r.part): r.content for r in grounding.with_content(parts, docs, pictures).collect()}
+
+    assert sent(10_000) == {
+        (1, "text"): "hello", (2, "text"): "aa\n\nbbbb\n\ncc", (2, "image"): base64.b64encode(b"\x00\xffpicture").decode(),
+        (3, "raw"): base64.b64encode(bytes(range(256))).decode(), (4, "raw"): "grüße",
+    }
+    few = sent(16)  # the second text is cut to what answers, then in order; nothing else fits
+    assert few == {(1, "text"): "hello", (2, "text"): "aa\n\nbbbb"}
+    gaps = grounding.gap_rows(grounding.pack_pool(units, docs, asked, 16), docs)
+    assert {"legacy png", "legacy txt", "scan (image on page 1).jpg"} <= {r.path for r in gaps.collect()}
+
+
+def test_no_bytes_of_files_in_an_exchange(spark):
+    from poolwright.operators import ingest
+
+    parts = spark.createDataFrame([(1, 0, "a.png", b"\x89PNG\r\n\x1a\n", 8)], "batch long, ord long, name string, data binary, size long")
+    plan = ingest.judge_uploads(parts)._jdf.queryExecution().optimizedPlan().toString()
+    below = plan[plan.index("Join") :].split("\n")
+    assert not any("data#" in line and line.strip(" :+-").startswith(("Join", "Window", "Aggregate")) for line in below)
