@@ -542,6 +542,14 @@ select doc_id, case when c in ('local', 'done', 'usable') then 'ready' when c =
   c not in ('nothing_read', 'too_big', 'too_slow') keep_images, c in ('nothing', 'no_ai', 'too_large', 'usable', 'stopped', 'reading') keep_results from c""",
     "stream_extract_state__s1": f"with {STATE} select * from folded",
     "stream_graph_state__s2": GRAPHS,
+    "failure_sentences__o23": f"""with e as (
+  select event_id, {K} k, ['no_ai', 'too_large', 'unavailable', 'no_bytes', 'disabled', 'outage', 'timeout', 'other'][{K} % 8 + 1] c from events)
+select event_id,
+  case c when 'no_ai' then {q(ex.READ_FAILURES['no_ai'])} when 'too_large' then {q(ex.READ_FAILURES['too_large'])} when 'unavailable' then {q(ex.READ_FAILURES['unavailable'])}
+    when 'no_bytes' then {q(ex.READ_FAILURES['no_bytes'])} else {q(ex.READ_FAILURE)} end "read",
+  case c when 'disabled' then {q(ex.ASK_FAILURES['disabled'])} when 'unavailable' then {q(ex.ASK_FAILURES['unavailable'])} else {q(ex.ASK_FAILURE)} end asked,
+  'The read was interrupted after section ' || (k % 5) || ' of 5 (' || (case c when 'outage' then 'no AI engine was available' when 'timeout' then 'a section took too long'
+    else 'the read was cancelled' end) || '). Retry to continue from where it stopped.' stopped from e""",
     "stream_section_progress__s3": f"""with recursive ev as (
   select user_id doc_id, {K} % 20 idx, epoch_ms(ts) t, row_number() over (partition by user_id, {K} % 20 order by ts, event_id) n,
     case when event_type in ('view', 'signup') then 'start' when event_type = 'error' then 'error' else 'read' end kind from events),

@@ -15,7 +15,8 @@ from poolwright.functions import files as ff
 from poolwright.functions import text as ft
 from poolwright.operators import chat, extraction, graph, grounding, ingest, pool, recognise, retrieval
 from poolwright.plans import inputs as i
-from poolwright.session import scratch_folder
+from poolwright.session import run_folder, scratch_folder
+from poolwright.sources import tables
 from poolwright.streaming import jobs
 
 DELIMITER = "\n"
@@ -33,7 +34,18 @@ def _ids(c: str | Column) -> Column:
 
 
 def load_pool_documents(s: SparkSession, d: str) -> DataFrame:
-    return i.pool_docs(s, d).select("pool_id", "seq", "doc_id", "title", "kind", "state", ft.byte_len("text").alias("size"))
+    """The derived pool, written by pool to the shared folder and loaded from there."""
+    path = f"{run_folder(s)}/{uuid.uuid4().hex}"
+    docs = i.pool_docs(s, d)
+    tables.write_pool(
+        docs.select(
+            "pool_id", "seq", "doc_id", "title", "kind", "mime", F.col("state").alias("description"), F.col("text").alias("content"),
+            ft.byte_len("text").alias("size"), F.lit(None).cast("string").alias("author"), F.col("created").cast("long").alias("created"),
+        ),
+        path,
+    )
+    loaded = tables.read_pool(s, path)
+    return loaded.select("pool_id", "seq", "doc_id", "title", "kind", F.col("description").alias("state"), ft.byte_len("content").alias("size"))
 
 
 def read_uploaded_files(s: SparkSession, d: str) -> DataFrame:
@@ -149,6 +161,19 @@ def failure_reasons(s: SparkSession, d: str) -> DataFrame:
     return extraction.no_text_reason(lines)
 
 
+def failure_sentences(s: SparkSession, d: str) -> DataFrame:
+    """What a failed read, a failed turn and an interruption are reported as."""
+    k = F.get_json_object("props", "$.k").cast("int")
+    code = F.element_at(F.array(*[F.lit(c) for c in ("no_ai", "too_large", "unavailable", "no_bytes", "disabled", "outage", "timeout", "other")]), k % 8 + 1)
+    events = i.table(s, d, "events").select("event_id", k.alias("k"), code.alias("code"))
+    return events.select(
+        "event_id",
+        extraction.read_failure(F.col("code")).alias("read"),
+        extraction.ask_failure(F.col("code")).alias("asked"),
+        extraction.interruption(F.col("k") % 5, F.lit(5), F.col("code")).alias("stopped"),
+    )
+
+
 def author_text(s: SparkSession, d: str) -> DataFrame:
     k = F.col("doc_id")
     posts = i.table(s, d, "documents").select(
@@ -668,6 +693,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "permitted__o22": permitted,
     "own_rows__o22": own_rows,
     "failure_reasons__o23": failure_reasons,
+    "failure_sentences__o23": failure_sentences,
     "fold_events__o24": fold_events,
     "to_resume__o25": to_resume,
     "last_text__o24": last_text,
