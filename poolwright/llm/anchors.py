@@ -13,7 +13,7 @@ import numpy as np
 from poolwright.llm.shingles import mix
 
 PLACES = 20  # bits of a place inside a block
-BLOCK = 1 << 19
+BLOCK = 1 << 18
 
 _U = np.uint64
 _BASE = _U(0xD6E8FEB86659FD93)

@@ -20,6 +20,20 @@ def row_key(doc_id: str, text: str) -> Column:
     return F.concat_ws(":", F.coalesce(F.col(doc_id).cast("string"), F.lit("null")), F.xxhash64(text).cast("string"))
 
 
+def small_batches(spark: SparkSession, rows: int = 1_000) -> None:
+    """Send at most ``rows`` rows to Python at once: texts are long, and the default of 10,000 would need tens of megabytes a task."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))
+
+
+def give_back() -> None:
+    """At the end of a task: return freed Arrow memory, which idle workers would keep."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+
+
 def parts_for(rows: int, each: int, least: int = 1) -> int:
     """How many parts ``rows`` rows make at ``each`` rows a part."""
     return max(least, -(-rows // each))

@@ -36,12 +36,12 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from poolwright.llm.anchors import BLOCK, _SECOND, anchor_runs, hashes, prefix_sums
-from poolwright.llm.common import parts_for, row_key, table
+from poolwright.llm.anchors import BLOCK, _BYTE, _SECOND, anchor_runs, hashes, prefix_sums
+from poolwright.llm.common import give_back, parts_for, row_key, small_batches, table
 from poolwright.llm.shingles import mix
-from poolwright.session import materialize
+from poolwright.session import drop, materialize
 
 _U = np.uint64
 
@@ -287,6 +287,7 @@ def _make_runs(s: Settings, bounds: np.ndarray):
                     place = {}
         if held:
             yield flush()
+        give_back()
 
     return run
 
@@ -361,28 +362,38 @@ def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-CONTEXTS = "g1 bigint, g2 bigint, c1 bigint, c2 bigint, times bigint, lead int, context binary"
+CONTEXTS = "g1 bigint, g2 bigint, c1 bigint, c2 bigint, times bigint, context binary"
 PLACES = "_d bigint, _at int, c1 bigint, c2 bigint"
+_PAIR = (_BYTE, _SECOND)
 
 
-def _ambiguous(batch: pa.RecordBatch, s: Settings) -> Iterator[tuple[int, int, int, int, np.ndarray]]:
-    """(row, lo, hi, anchor, bytes) of the contexts that have to be compared."""
-    raw, ends = _buffers(batch["_text"])
-    for i in range(batch.num_rows):
-        if not batch["_lo"][i].is_valid:
-            continue
-        many = batch["_many"][i].values.to_numpy(zero_copy_only=False)
-        lo, hi, p = (batch[c][i].values.to_numpy()[many].tolist() for c in ("_lo", "_hi", "_p"))
-        text = raw[ends[i] : ends[i + 1]]
-        for a, b, q in zip(lo, hi, p, strict=True):
-            yield i, a, b, q, text[a : b + s.width]
+def _named(sums: list[np.ndarray], at: np.ndarray, length: np.ndarray | int, lead: np.ndarray | int = 0) -> list[np.ndarray]:
+    """128 bits that name pieces, and the place of the anchor in them."""
+    extra = (np.asarray(lead, np.uint64) * _U(1_000_003)) + np.asarray(length, np.uint64)
+    return [mix(hashes(x, at, length) + extra).view(np.int64) for x in sums]
 
 
-def _name(piece: np.ndarray, lead: int) -> tuple[int, int]:
-    """128 bits that name a context and the place of its anchor."""
-    zero, n = np.array([0]), len(piece)
-    pair = [int(mix(hashes(prefix_sums(piece, t), zero, n) + _U(lead * 1_000_003 + n))[0]) for t in (prefix_sums.__defaults__[0], _SECOND)]
-    return pair[0] - (1 << 63), pair[1] - (1 << 63)
+def _ambiguous(batch: pa.RecordBatch, s: Settings) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]]:
+    """The contexts that have to be compared, block by block: (row, lo in its text, bytes of the block, start, length, lead, hash sums)."""
+    raw, ends = _buffers(batch["_text"])
+    starts = [batch[c].offsets.to_numpy() for c in ("_lo",)][0]
+    lo, hi, p = (batch[c].values.to_numpy() for c in ("_lo", "_hi", "_p"))
+    many = batch["_many"].values.to_numpy(zero_copy_only=False)
+    count = np.diff(starts) * batch["_lo"].is_valid().to_numpy(zero_copy_only=False)
+    row = np.repeat(np.arange(batch.num_rows), count)
+    if not len(row):
+        return
+    place = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(starts[:-1], count)
+    keep = many[place]
+    row, place = row[keep], place[keep]
+    lo, hi, p = lo[place].astype(np.int64), hi[place].astype(np.int64), p[place].astype(np.int64)
+    first, last = ends[row] + lo, ends[row] + hi + s.width
+    i = 0
+    while i < len(row):  # contexts of a batch lie in order; a block holds those that end within it
+        j = max(i + 1, int(np.searchsorted(last, first[i] + BLOCK, "right")))
+        block = raw[first[i] : last[j - 1]]
+        yield row[i:j], lo[i:j], block, first[i:j] - first[i], last[i:j] - first[i:j], p[i:j] - lo[i:j], [prefix_sums(block, t) for t in _PAIR]
+        i = j
 
 
 def _contexts(s: Settings):
@@ -392,26 +403,28 @@ def _contexts(s: Settings):
         held: dict[tuple[int, int], list] = {}
 
         def flush():
-            values = list(held.items())
-            columns = [[v[0][0] for _, v in values], [v[0][1] for _, v in values], [k[0] for k, _ in values], [k[1] for k, _ in values]]
+            keys, values = list(held), list(held.values())
+            columns = [[v[0] for v in values], [v[1] for v in values], [k[0] for k in keys], [k[1] for k in keys], [v[2] for v in values]]
             return pa.RecordBatch.from_arrays(
-                [pa.array(c, pa.int64()) for c in columns]
-                + [pa.array([v[1] for _, v in values], pa.int64()), pa.array([v[2] for _, v in values], pa.int32()), pa.array([v[3] for _, v in values], pa.binary())],
-                ["g1", "g2", "c1", "c2", "times", "lead", "context"],
+                [pa.array(c, pa.int64()) for c in columns] + [pa.array([v[3] for v in values], pa.binary())],
+                ["g1", "g2", "c1", "c2", "times", "context"],
             )
 
         for batch in batches:
-            for _, a, _b, q, piece in _ambiguous(batch, s):
-                lead = q - a
-                key = _name(piece, lead)
-                got = held.get(key)
-                if got is None:
-                    held[key] = [_name(piece[lead : lead + s.gram], 0), 1, lead, piece.tobytes()]
-                    if len(held) >= 50_000:
-                        yield flush()
-                        held = {}
-                else:
-                    got[1] += 1
+            for _, _, block, at, length, lead, sums in _ambiguous(batch, s):
+                c1, c2 = _named(sums, at, length, lead)
+                g1, g2 = _named(sums, at + lead, s.gram)
+                _, once, times = np.unique(c1, return_index=True, return_counts=True)
+                for k, n in zip(once.tolist(), times.tolist(), strict=True):
+                    key = (int(c1[k]), int(c2[k]))
+                    got = held.get(key)
+                    if got is None:
+                        held[key] = [int(g1[k]), int(g2[k]), n, block[at[k] : at[k] + length[k]].tobytes()]
+                    else:
+                        got[2] += n
+                if len(held) >= 30_000:
+                    yield flush()
+                    held = {}
         if held:
             yield flush()
 
@@ -421,12 +434,12 @@ def _contexts(s: Settings):
 def _places(s: Settings):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch["_d"].to_pylist()
-            rows = [(ids[i], a, *_name(piece, q - a)) for i, a, _b, q, piece in _ambiguous(batch, s)]
-            of = np.array(rows, np.int64).reshape(-1, 4)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(of[:, 0]), pa.array(of[:, 1].astype(np.int32)), pa.array(of[:, 2]), pa.array(of[:, 3])], ["_d", "_at", "c1", "c2"]
-            )
+            ids = batch["_d"].to_numpy(zero_copy_only=False)
+            for row, lo, _, at, length, lead, sums in _ambiguous(batch, s):
+                c1, c2 = _named(sums, at, length, lead)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ids[row].astype(np.int64)), pa.array(lo.astype(np.int32)), pa.array(c1), pa.array(c2)], ["_d", "_at", "c1", "c2"]
+                )
 
     return run
 
@@ -442,34 +455,41 @@ def _resolve(s: Settings):
     one stay open, and one of each that is not speaks to the other slices.
     """
 
-    def settle(rows: list, whole: bool) -> list[tuple]:
-        pieces = [np.frombuffer(r[4], np.uint8) for r in rows]
-        numbers = [len(x) - s.width + 1 for x in pieces]
-        first, second = [], []
-        for x, n in zip(pieces, numbers, strict=True):
-            at = np.arange(n)
-            first.append(hashes(prefix_sums(x), at, s.width))
-            if not whole:
-                second.append(hashes(prefix_sums(x, _SECOND), at, s.width))
-        heads = np.cumsum([0, *numbers])
-        names = np.concatenate(first)
-        _, once, inverse = np.unique(names, return_index=True, return_inverse=True)
+    def settle(rows: list, closed: list[bool]) -> list[tuple]:
+        """rows: c1, c2, times, bytes; closed: whether all contexts of the suffix are here."""
+        numbers = np.array([len(r[3]) - s.width + 1 for r in rows])
+        names: list[list[np.ndarray]] = [[], []]
+        i = 0
+        while i < len(rows):  # contexts side by side, as many as hash sums reach
+            j, size = i, 0
+            while j < len(rows) and (j == i or size + len(rows[j][3]) <= BLOCK):
+                size += len(rows[j][3])
+                j += 1
+            block = np.frombuffer(b"".join(r[3] for r in rows[i:j]), np.uint8)
+            n = numbers[i:j]
+            heads = np.cumsum([0, *(len(r[3]) for r in rows[i : j - 1])])
+            at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(heads, n)
+            for out, t in zip(names, _PAIR, strict=True):
+                out.append(hashes(prefix_sums(block, t), at, s.width))
+            i = j
+        first, second = (np.concatenate(x).view(np.int64) for x in names)
+        # Strings of different suffixes differ, so they need not be kept apart.
+        _, once, inverse = np.unique(first, return_index=True, return_inverse=True)
         often = np.bincount(inverse, weights=np.repeat([r[2] for r in rows], numbers))[inverse] > 1
         speaks = ~often  # to the other slices; of strings that are settled here, one speaks
         speaks[once] = True
+        speaks &= ~np.repeat(closed, numbers)
+        heads = np.cumsum([0, *numbers])
         out = []
-        for i, r in enumerate(rows):
+        for i in np.flatnonzero(np.add.reduceat(often | speaks, heads[:-1])).tolist():
             a, b = heads[i], heads[i + 1]
-            hits = np.flatnonzero(often[a:b])
-            alone = [] if whole else np.flatnonzero(speaks[a:b]).tolist()
-            if len(hits) or alone:
-                half = names[a:b].view(np.int64)
-                other = None if whole else second[i].view(np.int64)
-                out.append((r[0], r[1], hits.tolist(), [{"at": k, "w1": int(half[k]), "w2": int(other[k])} for k in alone]))
+            alone = np.flatnonzero(speaks[a:b]).tolist()
+            opened = [{"at": k, "w1": int(first[a + k]), "w2": int(second[a + k])} for k in alone]
+            out.append((rows[i][0], rows[i][1], np.flatnonzero(often[a:b]).tolist(), opened))
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        suffix, rows, sliced, out = None, [], False, []
+        suffix, rows, closed, begin, out = None, [], [], 0, []
 
         def emit():
             kinds = [pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.struct([("at", pa.int32()), ("w1", pa.int64()), ("w2", pa.int64())]))]
@@ -478,32 +498,41 @@ def _resolve(s: Settings):
         for batch in batches:
             for g1, g2, c1, c2, times, piece in zip(*(batch[c].to_pylist() for c in ("g1", "g2", "c1", "c2", "times", "context")), strict=True):
                 if (g1, g2) != suffix:
-                    if rows:
-                        out += settle(rows, not sliced)
-                    suffix, rows, sliced = (g1, g2), [], False
-                if rows and rows[-1][0] == c1 and rows[-1][1] == c2:
+                    suffix, begin, sliced = (g1, g2), len(rows), False
+                    if len(rows) >= s.slice_contexts:  # suffixes that are complete go together
+                        out += settle(rows, closed)
+                        rows, closed, begin = [], [], 0
+                elif rows and rows[-1][0] == c1 and rows[-1][1] == c2:
                     rows[-1][2] += times
                     continue
-                if len(rows) >= s.slice_contexts:
+                elif len(rows) - begin >= s.slice_contexts:
                     sliced = True
-                    out += settle(rows, False)
-                    rows = []
-                rows.append([c1, c2, times, None, piece])
+                    closed[begin:] = [False] * (len(rows) - begin)
+                    out += settle(rows, closed)
+                    rows, closed, begin = [], [], 0
+                rows.append([c1, c2, times, piece])
+                closed.append(not sliced)
             if len(out) > 5_000:
                 yield emit()
                 out = []
         if rows:
-            out += settle(rows, not sliced)
+            out += settle(rows, closed)
         if out:
             yield emit()
 
     return run
 
 
-CLEANED = "n_removed bigint, spans array<struct<start:int,end:int>>, kept binary"
+_CLEANED = T.StructType(
+    [
+        T.StructField("n_removed", T.LongType()),
+        T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))),
+        T.StructField("kept", T.BinaryType()),
+    ]
+)
 
 
-def _remove(s: Settings, columns: list[str], schema):
+def _remove(s: Settings):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, ends = _buffers(batch["_text"])
@@ -525,7 +554,7 @@ def _remove(s: Settings, columns: list[str], schema):
                 spans.append([{"start": a, "end": b} for a, b in zip(edges[::2], edges[1::2], strict=True)])
                 kept.append(text[~gone].tobytes() if removed[-1] else text.tobytes())
             extra = [pa.array(removed, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), pa.array(kept, pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch[c] for c in columns] + extra, [*columns, "n_removed", "spans", "kept"])
+            yield pa.RecordBatch.from_arrays([batch["_in"], batch["_text"], *extra], ["_in", "_text", "n_removed", "spans", "kept"])
 
     return run
 
@@ -554,38 +583,44 @@ def _bounds(texts: DataFrame, s: Settings) -> np.ndarray:
 def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", settings: Settings = Settings()) -> DataFrame:
     """``docs`` with n_removed, spans (removed byte ranges) and kept (the bytes that remain) as _n_removed, _spans, _kept."""
     s = settings
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    texts = docs.select(F.struct(*columns).alias("_in"), row_key(doc_id, text).alias("_row"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    small_batches(docs.sparkSession)
+    others = [c for c in docs.columns if c != text]
+    rest = F.struct(F.lit(True).alias("_"), *[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(others)])
+    texts = docs.select(rest.alias("_in"), row_key(doc_id, text).alias("_row"), F.col(text).alias("_text"))
     bounds = _bounds(texts.select("_row", "_text"), s)
     stored = materialize(texts.select("_row", "_text").mapInArrow(_make_runs(s, bounds), STORED))
     blocks = stored.filter("kind = 0").select("run", "part", "data")
     parts = blocks.groupBy("part").applyInArrow(_merge_part(s.gram), "run bigint, found binary")
     results = parts.groupBy("run").agg(F.collect_list("found").alias("found"))  # no more entries than the run has
     runs = stored.filter("kind = 1").select("run", "data", "rows").hint("merge").join(results, "run")
-    flagged = materialize(runs.mapInArrow(_spread, FLAGGED).dropDuplicates(["_row"]))
+    flagged = materialize(runs.mapInArrow(_spread, FLAGGED))
+    drop(stored)
 
-    # One exchange of the texts serves the comparison of contexts and the removal: both read ``met``.
-    met = texts.hint("merge").join(flagged, "_row", "left")
-    part = met.select("_text", "_lo", "_hi", "_p", "_many")
+    # One plan from here on. The comparison of contexts, their places and the removal read ``met`` with
+    # the same columns, so Spark shuffles the texts once and uses that exchange three times.
+    met = texts.hint("merge").join(flagged.dropDuplicates(["_row"]), "_row", "left").select("_in", "_row", "_text", "_d", "_lo", "_hi", "_p", "_many")
     suffix = ["g1", "g2"]
-    sorted_ = part.mapInArrow(_contexts(s), CONTEXTS).repartition(*suffix).sortWithinPartitions(*suffix, "c1", "c2")
-    resolved = materialize(sorted_.mapInArrow(_resolve(s), RESOLVED))
-    opened = resolved.select("c1", "c2", F.explode("open").alias("_o")).select("c1", "c2", "_o.*")
-    again = opened.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("w1", "w2")
-    late = opened.join(again, ["w1", "w2"]).select("c1", "c2", F.array("at").alias("hits"))
-    hits = resolved.filter("size(hits) > 0").select("c1", "c2", "hits").unionByName(late)
-    places = met.filter("_lo is not null").select("_d", "_text", "_lo", "_hi", "_p", "_many").mapInArrow(_places(s), PLACES)
+    sorted_ = met.mapInArrow(_contexts(s), CONTEXTS).repartition(*suffix).sortWithinPartitions(*suffix, "c1", "c2")
+    resolved = sorted_.mapInArrow(_resolve(s), RESOLVED)
+    # Settled strings count as they are; open ones if their hash comes twice.
+    sure = F.struct(F.lit(True).alias("sure"), F.col("c1").alias("k1"), F.col("c2").alias("k2"), F.col("hits").alias("hits"))
+    asked = F.transform("open", lambda o: F.struct(F.lit(False).alias("sure"), o["w1"].alias("k1"), o["w2"].alias("k2"), F.array(o["at"]).alias("hits")))
+    rows = resolved.select("c1", "c2", F.explode(F.concat(F.array(sure), asked)).alias("_o")).select("c1", "c2", "_o.*")
+    twice = F.count(F.lit(1)).over(Window.partitionBy("sure", "k1", "k2")) > 1
+    hits = rows.withColumn("_twice", twice).filter("(sure or _twice) and size(hits) > 0").select("c1", "c2", "hits")
+    places = met.mapInArrow(_places(s), PLACES)
     per_text = (
-        places.distinct().hint("merge").join(hits.hint("merge"), ["c1", "c2"])
+        places.hint("merge").join(hits.hint("merge"), ["c1", "c2"])
         .groupBy("_d").agg(F.collect_list(F.struct("_at", "hits")).alias("_hits"))
     )
-    ready = met.join(per_text.hint("merge"), "_d", "left")
-    names = [f"_c{k}" for k in range(len(docs.columns))]
-    wide = ready.select(*[F.col("_in")[c].alias(k) for c, k in zip(docs.columns, names, strict=True)], "_text", "_lo", "_hi", "_many", "_hits")
-    schema = ", ".join([*(f"{k} {docs.schema[c].dataType.simpleString()}" for c, k in zip(docs.columns, names, strict=True)), CLEANED])
-    done = wide.mapInArrow(_remove(s, names, schema), schema)
+    # back to the key of the texts, so that they stay where they are
+    per_row = flagged.select("_row", "_d").dropDuplicates(["_row"]).hint("merge").join(per_text.hint("merge"), "_d").select("_row", "_hits")
+    ready = met.join(per_row.hint("merge"), "_row", "left").select("_in", "_text", "_d", "_lo", "_hi", "_p", "_many", "_hits")
+    schema = T.StructType([texts.schema["_in"], T.StructField("_text", T.StringType()), *_CLEANED.fields])
+    done = ready.mapInArrow(_remove(s), schema)
+    own = {c: F.col("_in").getField(f"c{k}") for k, c in enumerate(others)} | {text: F.col("_text")}
     return done.select(
-        *[F.col(k).alias(c) for c, k in zip(docs.columns, names, strict=True)],
+        *[own[c].alias(c) for c in docs.columns],
         F.col("n_removed").alias("_n_removed"), F.col("spans").alias("_spans"), F.col("kept").alias("_kept"),
     )
 
