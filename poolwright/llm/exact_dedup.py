@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from poolwright.llm.common import SPACE, may_hold, row_key, table, without
+from poolwright.llm.common import SPACE, may_hold, row_key, small_batches, table, without
 from poolwright.session import materialize
 
 CHUNK = 16_384
@@ -133,6 +133,7 @@ def groups(
     chunk: int = CHUNK, primes: tuple[int, int] = PRIMES, bases: tuple[int, int] = BASES,
 ) -> DataFrame:
     """One row per document: _id, _row, keep_id, group_size, kept, text_sha256."""
+    small_batches(docs.sparkSession)
     marks = materialize(fingerprints(docs, doc_id, text, chunk, primes, bases))
     shared = materialize(marks.groupBy(*FP).agg(*_keeper()))
 

@@ -34,7 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from poolwright.llm.common import may_hold, row_key, table, without
+from poolwright.llm.common import give_back, may_hold, row_key, small_batches, table, without
 from poolwright.llm.components import components
 from poolwright.llm.shingles import WIDTH, mix, shingle_sets
 from poolwright.session import drop, materialize
@@ -118,6 +118,7 @@ def _marks(s: Settings):
                     ],
                     ["_id", "_row", "_n", "_node", "_bands", "_sketch"],
                 )
+        give_back()
 
     return run
 
@@ -129,6 +130,7 @@ def _sets(width: int):
                 batch = whole.slice(at, 512)
                 sets = pa.array([x.view(np.int64) for x in shingle_sets(batch["_text"], width)], pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([batch["_c"], sets], ["_c", "_set"])
+        give_back()
 
     return run
 
@@ -233,6 +235,7 @@ def _candidates(members: DataFrame, s: Settings, nearest: bool) -> DataFrame:
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", settings: Settings = Settings()) -> DataFrame:
     """One row per document: _id, _row, _n (set size), component_id, keep_row (the row of its component that stays)."""
     s = settings
+    small_batches(docs.sparkSession)
     source = docs.select(F.col(doc_id).cast("long").alias("_id"), row_key(doc_id, text).alias("_row"), F.col(text).alias("_text"))
     marks = materialize(source.mapInArrow(_marks(s), MARKS).withColumn("_d", F.monotonically_increasing_id()))
 

@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from poolwright.llm.common import parts_for, table
+from poolwright.llm.common import give_back, parts_for, small_batches, table
 from poolwright.llm.tokens import encoder
 from poolwright.session import materialize
 
@@ -47,6 +47,7 @@ def pieces(
     doc_id: str = "doc_id", text: str = "text", with_ids: bool = False,
 ) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, and the ids if asked for."""
+    small_batches(docs.sparkSession)
     schema = T.StructType(
         [T.StructField("doc_id", docs.schema[doc_id].dataType)]
         + [T.StructField(c, T.LongType() if c != "piece" else T.IntegerType()) for c in ("piece", "start", "length", "ids_crc32")]
@@ -74,6 +75,7 @@ def pieces(
                 if with_ids:
                     columns.append(pa.array(ids, pa.binary()))
                 yield pa.RecordBatch.from_arrays(columns, schema.names)
+        give_back()
 
     return docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).mapInArrow(run, schema)
 

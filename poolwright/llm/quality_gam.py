@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from poolwright.llm.common import packed, table, unpacked
+from poolwright.llm.common import packed, small_batches, table, unpacked
 from poolwright.llm.shingles import texts_and_words
 
 TRAIN_ROWS = 20_000
@@ -224,6 +224,7 @@ def sampled(doc_id: str, labels: DataFrame, rows: int) -> tuple[DataFrame, Colum
 
 
 def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", train_rows: int = TRAIN_ROWS) -> Additive:
+    small_batches(docs.sparkSession)
     chosen, test = sampled(doc_id, labels, train_rows)
 
     @F.arrow_udf("array<double>")

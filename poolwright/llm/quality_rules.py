@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from poolwright.llm.common import packed, table, unpacked
+from poolwright.llm.common import packed, small_batches, table, unpacked
 from poolwright.llm.quality_gam import sampled
 from poolwright.llm.shingles import mix, texts_and_words
 
@@ -199,6 +199,7 @@ def _calibrate(raw: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", train_rows: int = TRAIN_ROWS) -> Calibrated:
+    small_batches(docs.sparkSession)
     chosen, test = sampled(doc_id, labels, train_rows)
 
     @F.arrow_udf("binary")

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 WIDTH = 5
-BLOCK = 1 << 20  # bytes of text hashed at once
+BLOCK = 1 << 18  # bytes of text hashed at once; working arrays take some sixty times as much
 
 _U = np.uint64
 _SPACE = np.zeros(256, bool)

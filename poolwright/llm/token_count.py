@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from poolwright.llm.common import table
+from poolwright.llm.common import small_batches, table
 
 MARK = "▁"
 PENALTY = 10.0
@@ -127,6 +127,7 @@ def token_counts(text: Column, vocabulary_path: str) -> Column:
 def op9(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
+    small_batches(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = docs.withColumn("_found", token_counts(F.col("text"), public_tokenizers.path("piece_bpe_32k.model")))
     size = F.octet_length(F.coalesce("text", F.lit(""))).cast("long")

@@ -11,11 +11,12 @@ to the tokenizer itself.
 from __future__ import annotations
 
 import base64
+import json
 import re
 
 import numpy as np
 
-REMEMBERED = 400_000  # cuts held by one worker: about 80 MB
+REMEMBERED = 200_000  # cuts held by one worker: about 40 MB
 LONGEST = 64  # longer cuts are not remembered
 
 #: A space that is not between two non-space characters.
@@ -48,13 +49,13 @@ class Encoder:
     def __init__(self, tokenizer_path: str, ranks_path: str):
         import public_tokenizers
         import tiktoken
-        from tokenizers import Tokenizer
 
         with open(ranks_path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         plain = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.whole = Tokenizer.from_file(tokenizer_path)
-        self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
+        with open(tokenizer_path, "rb") as f:
+            self.special = [t["content"] for t in json.load(f)["added_tokens"]]
+        self.path, self.whole = tokenizer_path, None
         self.first = _Cuts(plain.encode_ordinary, "")
         self.later = _Cuts(plain.encode_ordinary, " ")
 
@@ -62,10 +63,17 @@ class Encoder:
         if not text:
             return b""
         if any(s in text for s in self.special):
-            return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+            return self._by_tokenizer(text)
         cuts = _SAFE_CUT.split(text) if _UNSAFE.search(text) else text.split(" ")
         return self.first[cuts[0]] + b"".join(map(self.later.__getitem__, cuts[1:]))
 
+    def _by_tokenizer(self, text: str) -> bytes:
+        if self.whole is None:  # rarely needed, and large
+            from tokenizers import Tokenizer
+
+            self.whole = Tokenizer.from_file(self.path)
+        return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
 
 _loaded: dict[tuple[str, str], Encoder] = {}
 
