@@ -593,12 +593,13 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", se
     parts = blocks.groupBy("part").applyInArrow(_merge_part(s.gram), "run bigint, found binary")
     results = parts.groupBy("run").agg(F.collect_list("found").alias("found"))  # no more entries than the run has
     runs = stored.filter("kind = 1").select("run", "data", "rows").hint("merge").join(results, "run")
-    flagged = materialize(runs.mapInArrow(_spread, FLAGGED))
+    # One row and one _d for each text, decided here once: whatever reads them later reads the same.
+    flagged = materialize(runs.mapInArrow(_spread, FLAGGED).dropDuplicates(["_row"]))
     drop(stored)
 
     # One plan from here on. The comparison of contexts, their places and the removal read ``met`` with
     # the same columns, so Spark shuffles the texts once and uses that exchange three times.
-    met = texts.hint("merge").join(flagged.dropDuplicates(["_row"]), "_row", "left").select("_in", "_row", "_text", "_d", "_lo", "_hi", "_p", "_many")
+    met = texts.hint("merge").join(flagged, "_row", "left").select("_in", "_row", "_text", "_d", "_lo", "_hi", "_p", "_many")
     suffix = ["g1", "g2"]
     sorted_ = met.mapInArrow(_contexts(s), CONTEXTS).repartition(*suffix).sortWithinPartitions(*suffix, "c1", "c2")
     resolved = sorted_.mapInArrow(_resolve(s), RESOLVED)
@@ -614,7 +615,7 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", se
         .groupBy("_d").agg(F.collect_list(F.struct("_at", "hits")).alias("_hits"))
     )
     # back to the key of the texts, so that they stay where they are
-    per_row = flagged.select("_row", "_d").dropDuplicates(["_row"]).hint("merge").join(per_text.hint("merge"), "_d").select("_row", "_hits")
+    per_row = flagged.select("_row", "_d").hint("merge").join(per_text.hint("merge"), "_d").select("_row", "_hits")
     ready = met.join(per_row.hint("merge"), "_row", "left").select("_in", "_text", "_d", "_lo", "_hi", "_p", "_many", "_hits")
     schema = T.StructType([texts.schema["_in"], T.StructField("_text", T.StringType()), *_CLEANED.fields])
     done = ready.mapInArrow(_remove(s), schema)

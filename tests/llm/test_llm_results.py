@@ -161,6 +161,19 @@ def test_suffix_dedup(spark, slice_contexts):
     assert got == Counter((i, *w) for (i, _), w in zip(rows, want, strict=True))
 
 
+def test_texts_get_one_place_that_is_stored(spark, monkeypatch):
+    """Copies of one row in several runs: the stored table decides once which _d the text has."""
+    stored = []
+    monkeypatch.setattr(suffix_dedup, "materialize", lambda df: stored.append(materialize(df)) or stored[-1])
+    rng = random.Random(9)
+    text = "".join(rng.choice("abcdefgh") for _ in range(400))
+    settings = suffix_dedup.Settings(width=24, gram=8, run_entries=20, part_bytes=500, least_parts=5)
+    docs = spark.createDataFrame([(1, text)] * 6, "doc_id long, text string").repartition(3)
+    assert [r["_n_removed"] for r in suffix_dedup.deduplicated(docs, settings=settings).collect()] == [400] * 6
+    flagged = next(t for t in stored if "_d" in t.columns)
+    assert flagged.count() == flagged.select("_row").distinct().count() == 1
+
+
 def test_suffix_dedup_query(spark, texts):
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.op4(spark, SMALL).collect()}
     assert got == dict(zip(texts, removed([r.text.encode() for r in texts.values()], 200), strict=True))
