@@ -336,11 +336,15 @@ def _merge_part(width: int):
     return run
 
 
-FLAGGED = "_row string, _d bigint, _lo array<int>, _hi array<int>, _p array<int>, _many array<boolean>"
+FLAGGED = "_row string, _block int, _lo array<int>, _hi array<int>, _p array<int>, _many array<boolean>"
 
 
 def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From runs with their results to documents: the string runs that may be repeated."""
+    """From runs with their results to documents: the string runs that may be repeated.
+
+    A text larger than a block may lie in several runs, but each of its blocks lies in one.
+    So a row holds one block of a text, and rows of copies of a text are equal.
+    """
     for batch in batches:
         for i in range(batch.num_rows):
             of, lo, hi, p, entry = unsqueeze(batch["data"][i].as_py(), *[np.int32] * 5)
@@ -350,16 +354,21 @@ def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 state[entries] = 1 + many
             hit = np.flatnonzero(state[entry])
             hit = hit[np.lexsort((lo[hit], of[hit]))]
-            own = of[hit]
-            heads = np.flatnonzero(np.r_[True, own[1:] != own[:-1]]) if len(own) else np.zeros(0, int)
+            own, block = of[hit], lo[hit] // BLOCK
+            new = (own[1:] != own[:-1]) | (block[1:] != block[:-1])
+            heads = np.flatnonzero(np.r_[True, new]) if len(own) else np.zeros(0, int)
             ends = pa.array(np.r_[heads, len(own)].astype(np.int32))
             rows = batch["rows"][i].values.take(pa.array(own[heads]))
-            name = batch["run"][i].as_py()
             many = pa.array(state[entry[hit]] == 2)
             lists = [pa.ListArray.from_arrays(ends, pa.array(x[hit])) for x in (lo, hi, p)] + [pa.ListArray.from_arrays(ends, many)]
-            yield pa.RecordBatch.from_arrays(
-                [rows, pa.array(name * (1 << 20) + own[heads].astype(np.int64)), *lists], ["_row", "_d", "_lo", "_hi", "_p", "_many"]
-            )
+            yield pa.RecordBatch.from_arrays([rows, pa.array(block[heads].astype(np.int32)), *lists], ["_row", "_block", "_lo", "_hi", "_p", "_many"])
+
+
+def _whole(flagged: DataFrame) -> DataFrame:
+    """The blocks of each text side by side. Copies add nothing, so a row is no larger than its text needs."""
+    lists = ["_lo", "_hi", "_p", "_many"]
+    blocks = flagged.groupBy("_row").agg(F.sort_array(F.collect_set(F.struct("_block", *lists))).alias("_blocks"))
+    return blocks.select("_row", F.monotonically_increasing_id().alias("_d"), *[F.flatten(F.col("_blocks")[c]).alias(c) for c in lists])
 
 
 CONTEXTS = "g1 bigint, g2 bigint, c1 bigint, c2 bigint, times bigint, context binary"
@@ -594,7 +603,7 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", se
     results = parts.groupBy("run").agg(F.collect_list("found").alias("found"))  # no more entries than the run has
     runs = stored.filter("kind = 1").select("run", "data", "rows").hint("merge").join(results, "run")
     # One row and one _d for each text, decided here once: whatever reads them later reads the same.
-    flagged = materialize(runs.mapInArrow(_spread, FLAGGED).dropDuplicates(["_row"]))
+    flagged = materialize(_whole(runs.mapInArrow(_spread, FLAGGED)))
     drop(stored)
 
     # One plan from here on. The comparison of contexts, their places and the removal read ``met`` with

@@ -161,6 +161,21 @@ def test_suffix_dedup(spark, slice_contexts):
     assert got == Counter((i, *w) for (i, _), w in zip(rows, want, strict=True))
 
 
+def test_suffix_dedup_of_texts_in_several_runs(spark):
+    """Texts of several blocks, each in a run of its own: what is repeated in any of them goes."""
+    rng = np.random.default_rng(8)
+    long, twice = (rng.integers(97, 123, n, dtype=np.uint8).tobytes().decode() for n in (5 * suffix_dedup.BLOCK // 2, suffix_dedup.BLOCK + 5_000))
+    places = [7, suffix_dedup.BLOCK - 50, suffix_dedup.BLOCK + 90_000, 2 * suffix_dedup.BLOCK - 3, 2 * suffix_dedup.BLOCK + 60_000]
+    rows = [(1, long), (2, twice), (2, twice)]
+    rows += [(10 + k, f"-{k}-" * 9 + long[a : a + 100] + f"+{k}+" * 9 + long[a + 300 : a + 340]) for k, a in enumerate(places)]
+    settings = suffix_dedup.Settings(width=24, gram=8, run_entries=200, part_bytes=200_000, least_parts=5)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    out = suffix_dedup.deduplicated(docs, settings=settings).select("*", F.sha2("_kept", 256).alias("sha"))
+    got = Counter((r.doc_id, len(r.text), r["_n_removed"], len(r["_spans"]), r.sha) for r in out.collect())
+    want = removed([t.encode() for _, t in rows], 24)
+    assert got == Counter((i, *w) for (i, _), w in zip(rows, want, strict=True))
+
+
 def test_texts_get_one_place_that_is_stored(spark, monkeypatch):
     """Copies of one row in several runs: the stored table decides once which _d the text has."""
     stored = []
