@@ -7,8 +7,9 @@ parameter counts, and suffix statistics: how the labelled urls with the same las
 host label, and the same file ending, were judged. Everything is DataFrame functions
 and Spark's own boosted trees; there is no Python code on the executors.
 
-The trees are fitted on a bounded sample of labelled urls (``train_rows``); the
-suffix statistics count all of them, and every url is judged.
+The trees are fitted on a bounded sample of labelled urls (``train_rows``), in which each
+label has a share of its own, so that a rare one is never left out; weights give the labels
+the frequency they have. The suffix statistics count all of them, and every url is judged.
 
 Defined cases: a null url, or one without "://", has an empty host and path and fits no
 rule; without labelled urls of both kinds the method gives the one label there is, else
@@ -125,8 +126,10 @@ def judge(
     rule, verdict = decided(rules)
     found = lexical(found.withColumn("rule", rule).withColumn("_verdict", verdict), "_url")
     found = found.withColumn("_label", (F.col("_verdict") == "allow").cast("double"))
+    found = found.withColumn("_draw", F.xxhash64("_url", F.lit(7)))
     labelled = found.filter("_verdict is not null and _train")
-    total = labelled.agg(F.count(F.lit(1)).alias("n"), F.sum("_label").alias("allowed")).first()
+    least = [F.min(F.when(F.col("_label") == v, F.col("_draw"))).alias(f"least{v}") for v in (0, 1)]
+    total = labelled.agg(F.count(F.lit(1)).alias("n"), F.sum("_label").alias("allowed"), *least).first()
     out = [*[F.col("_row")[c].alias(c) for c in pages.columns], "host", "path", "rule"]
     if not total["n"] or total["allowed"] in (0, total["n"]):
         only = default if not total["n"] else "allow" if total["allowed"] else "block"
@@ -136,14 +139,18 @@ def judge(
         found = found.join(_statistics(labelled, column, name), F.col(column) == F.col(f"{name}_of"), "left")
         found = found.withColumn(name, F.coalesce(name, F.lit(0.5)))
     vectors = VectorAssembler(inputCols=FEATURES, outputCol="_features", handleInvalid="keep")
-    share = min(1.0, train_rows / total["n"])
-    few = found.filter("_verdict is not null and _train").filter(
-        F.pmod(F.xxhash64("_url", F.lit(7)), F.lit(1 << 20)) < int(share * (1 << 20))
-    )
-    train = materialize(few.select("_label", *FEATURES))
-    if train.select("_label").distinct().count() < 2:
-        return found.select(*out, F.coalesce("_verdict", F.lit(default)).alias("verdict"), F.lit(default).alias("method"))
-    boosted = GBTClassifier(labelCol="_label", featuresCol="_features", maxIter=trees, maxDepth=depth, seed=1, cacheNodeIds=False)
+    rows = {1: int(total["allowed"]), 0: total["n"] - int(total["allowed"])}
+    drawn = F.lit(False)
+    for v, n in rows.items():  # the url drawn first is always taken: no label is missing
+        share = min(1.0, max(train_rows // 2, train_rows - rows[1 - v]) / n)
+        some = (F.pmod("_draw", F.lit(1 << 20)) < int(share * (1 << 20))) | (F.col("_draw") == total[f"least{v}"])
+        drawn = drawn | ((F.col("_label") == v) & some)
+    few = found.filter("_verdict is not null and _train").filter(drawn)
+    train = materialize(few.groupBy("_label", *FEATURES).agg(F.count(F.lit(1)).alias("_times")))  # a repeated url is one row
+    taken = {int(r["_label"]): r["n"] for r in train.groupBy("_label").agg(F.sum("_times").alias("n")).collect()}
+    weight = F.col("_times") * F.when(F.col("_label") == 1, rows[1] / taken[1]).otherwise(rows[0] / taken[0])
+    train = train.withColumn("_weight", weight)
+    boosted = GBTClassifier(labelCol="_label", featuresCol="_features", weightCol="_weight", maxIter=trees, maxDepth=depth, seed=1, cacheNodeIds=False)
     model = boosted.fit(vectors.transform(train))
     judged = model.transform(vectors.transform(found))
     method = F.when(F.col("prediction") == 1, "allow").otherwise("block")

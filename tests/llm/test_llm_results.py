@@ -276,6 +276,17 @@ def test_url_filter(spark):
         assert r.verdict == best[2] if best else r.verdict in ("allow", "block")
 
 
+@pytest.mark.parametrize("copies", [3, 900])
+def test_rare_labels_reach_the_trees(spark, copies):
+    """One label is a single url, rare or repeated; the bounded sample holds both labels all the same."""
+    rows = [(i, f"http://a{i % 7}.com/fr/p{i}") for i in range(900)]
+    rows += [(1000, "http://b.com/de/12345678901234567890123456789012345?a=1&b=2")] * copies + [(2000, "http://c.net/de/1234567890123456789012345678901234?a=1&b=2")]
+    out = url_filter.judge(spark.createDataFrame(rows, "page_id long, url string"), train_rows=20).select("page_id", "method", "verdict").distinct()
+    got = {r.page_id: (r.method, r.verdict) for r in out.collect()}
+    assert got[1000] == got[2000] == ("block", "block")
+    assert all(got[i] == ("allow", "allow") for i in range(900))
+
+
 def test_trees_on_held_out_urls(spark):
     """Labelled urls that were kept out of training are mostly judged as their rule does."""
     pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("page_id", "url")
