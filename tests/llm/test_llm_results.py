@@ -363,6 +363,19 @@ def test_near_duplicates(spark, unit_rows):
     assert {r["_id"]: (r["_n"], r["component_id"]) for r in out.collect()} == near_components(rows)
 
 
+def test_small_sets_meet_whatever_the_bands(spark):
+    """Every union of up to 11 shingles, with two bands only: all similar pairs are found."""
+    rows, pairs = [], {}
+    for k in range(40):
+        for n, m in ((3, 4), (4, 5), (5, 6), (6, 7), (6, 8), (7, 9), (8, 10), (9, 11)):
+            words = [f"k{k}n{n}w{i}m{m}" for i in range(m + 4)]
+            pairs[len(rows)] = len(rows) + 1
+            rows += [(len(rows), " ".join(words[: n + 4])), (len(rows) + 1, " ".join(words))]
+    settings = minmax_dedup.Settings(permutations=5)
+    found = {r["_id"]: r["component_id"] for r in minmax_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), settings=settings).collect()}
+    assert found == {b: a for a, b in pairs.items()} | {a: a for a in pairs}
+
+
 def test_parity_sketches_never_hide_a_link():
     rng = np.random.default_rng(12)
     for _ in range(300):
