@@ -5,6 +5,7 @@ from poolwright.llm import (
     minmax_dedup,
     mixing,
     packing,
+    prefix_trie,
     quality_gam,
     quality_rules,
     sharding,
@@ -24,9 +25,11 @@ QUERIES = {
     "op8_quality_rules": quality_rules.op8,
     "op9_token_count": token_count.op9,
     "op10_minmax_dedup": minmax_dedup.op10,
+    "op11_prefix_trie": prefix_trie.op11,
 }
 ORACLES = {
     "op2_exact_dedup": exact_dedup.SQL,
     "op6_mixing": mixing.SQL,
     "op10_minmax_dedup": minmax_dedup.SQL,
+    "op11_prefix_trie": prefix_trie.SQL,
 }
