@@ -9,6 +9,7 @@ from poolwright.llm import (
     quality_gam,
     quality_rules,
     sharding,
+    spelling,
     suffix_dedup,
     token_count,
     url_filter,
@@ -26,10 +27,12 @@ QUERIES = {
     "op9_token_count": token_count.op9,
     "op10_minmax_dedup": minmax_dedup.op10,
     "op11_prefix_trie": prefix_trie.op11,
+    "op12_spelling": spelling.op12,
 }
 ORACLES = {
     "op2_exact_dedup": exact_dedup.SQL,
     "op6_mixing": mixing.SQL,
     "op10_minmax_dedup": minmax_dedup.SQL,
     "op11_prefix_trie": prefix_trie.SQL,
+    "op12_spelling": spelling.SQL,
 }
