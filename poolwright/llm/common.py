@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from poolwright.session import materialize
@@ -52,6 +54,36 @@ def unpacked(found: DataFrame, columns: list[str], *more: Column | str) -> DataF
     return found.select(*[F.col("_in").getField(c).alias(c) for c in columns if c not in taken], *extra)
 
 
+FOLDS = 5
+
+
+def held_out(doc_id: str) -> Column:
+    """True for the documents that no model learns from."""
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % FOLDS == 0, F.lit(False))
+
+
+def sampled(labels: DataFrame, label: str, rows: int) -> tuple[DataFrame, float]:
+    """Labels to learn from: stored (_of, _label), about ``rows`` at most, and how much the sample shifts log-odds.
+
+    Of several labels of one doc_id the largest counts. Each label has half of the rows, and what
+    the other leaves; the id that is drawn first is always taken, so a label that occurs is learned
+    from however rare it is. A model of the sample subtracts the shift from its log-odds.
+    """
+    draw = F.xxhash64(F.col("_of"), F.lit(17)).bitwiseAND(F.lit((1 << 62) - 1))
+    usable = labels.select(F.col("doc_id").alias("_of"), F.col(label).cast("int").alias("_label"))
+    usable = usable.filter(F.col("_label").isNotNull() & F.col("_of").isNotNull() & ~held_out("_of"))
+    usable = usable.groupBy("_of").agg(F.max("_label").alias("_label")).withColumn("_draw", draw)
+    found = {r["_label"]: r for r in usable.groupBy("_label").agg(F.count(F.lit(1)).alias("n"), F.min("_draw").alias("least")).collect()}
+    count = {k: found[k]["n"] if k in found else 0 for k in (0, 1)}
+    share = {k: min(1.0, max(rows // 2, rows - count[1 - k]) / max(1, count[k])) for k in (0, 1)}
+    taken = F.lit(False)
+    for k in found.keys() & share.keys():
+        drawn = (F.col("_draw") < int(share[k] * (1 << 62))) | (F.col("_draw") == found[k]["least"]) | F.lit(share[k] >= 1)
+        taken = taken | ((F.col("_label") == k) & drawn)
+    shift = math.log(share[1] / share[0]) if all(count.values()) else 0.0
+    return materialize(usable.filter(taken).select(F.col("_of").cast("long").alias("_of"), "_label")), shift
+
+
 BITS = 1 << 24
 
 

@@ -12,6 +12,7 @@ from poolwright.llm import (
     spelling,
     suffix_dedup,
     token_count,
+    toxicity,
     url_filter,
 )
 
@@ -28,6 +29,7 @@ QUERIES = {
     "op10_minmax_dedup": minmax_dedup.op10,
     "op11_prefix_trie": prefix_trie.op11,
     "op12_spelling": spelling.op12,
+    "op13_toxicity": toxicity.op13,
 }
 ORACLES = {
     "op2_exact_dedup": exact_dedup.SQL,
