@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from poolwright.llm.common import SPACE, may_hold, row_key, small_batches, table, without
+from poolwright.llm.common import SPACE, may_hold, packed, row_key, small_batches, table, without
 from poolwright.session import materialize
 
 CHUNK = 16_384
@@ -141,9 +141,9 @@ def groups(
     suspects = marks.join(shared.filter("group_size > 1").select(*FP), FP, "left_semi").select("_row", *FP).distinct()
     texts = docs.select(row_key(doc_id, text).alias("_row"), normalised(text).alias("_text"))
     suspects = materialize(suspects)
-    asked = may_hold(docs.withColumn("_row", row_key(doc_id, text)), "_row", suspects).filter("_may")
+    asked = may_hold(packed(docs, _row=row_key(doc_id, text), _text=text).drop("_in"), "_row", suspects).filter("_may")
     pieces = (
-        asked.select("_row", normalised(text).alias("_text")).join(suspects.hint("merge"), "_row")
+        asked.select("_row", normalised("_text").alias("_text")).join(suspects.hint("merge"), "_row")
         .withColumn("_data", F.col("_text").cast("binary"))
         .select(*FP, F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), (F.col("n") - 1).cast("int")), F.lit(chunk))).alias("_at"), "_data")
         .select(*FP, "_at", F.substring("_data", F.col("_at") + 1, F.lit(chunk)).alias("_piece"))

@@ -16,6 +16,7 @@ read; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import itertools
 import zlib
 from collections.abc import Iterator
 
@@ -31,7 +32,6 @@ CAPACITY = 2048
 END = 0
 ROWS_EACH = 8_192
 GIVE_UP = 4  # sequences given up for each one of the gap
-ROUNDS = 6
 
 
 def cut_pieces(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -152,17 +152,23 @@ def _pack_group(capacity: int, release: bool):
     return run
 
 
-def pack(found: DataFrame, capacity: int = CAPACITY, rows_each: int = ROWS_EACH, rounds: int = ROUNDS) -> DataFrame:
-    """Pieces (any columns, among them length) with sequence_id and offset."""
+def pack(found: DataFrame, capacity: int = CAPACITY, rows_each: int = ROWS_EACH) -> DataFrame:
+    """Pieces (any columns, among them length) with sequence_id and offset.
+
+    Rounds go on until the pieces that were given up fit into one group, or a round leaves as many open as it got.
+    """
     columns = found.columns
     stored = materialize(found.withColumn("_p", F.monotonically_increasing_id()))
     placed = [stored.filter(F.col("length") == capacity).select(*columns, (-1 - F.col("_p")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))]
     todo = stored.filter(F.col("length") < capacity).withColumn("_sequence", F.lit(-1).cast("long")).withColumn("_offset", F.lit(0).cast("long"))
     schema = T.StructType([*stored.schema.fields, T.StructField("_sequence", T.LongType()), T.StructField("_offset", T.LongType()), T.StructField("_open", T.BooleanType())])
     key = F.xxhash64("_p")
-    for number in range(1, rounds + 1):
-        groups = parts_for(todo.count(), rows_each)
-        last = groups == 1 or number == rounds
+    before = None
+    for number in itertools.count(1):
+        rows = todo.count()
+        groups = parts_for(rows, rows_each)
+        last = groups == 1 or rows == before
+        before = rows
         dealt = todo.withColumn("_g", F.pmod(key, F.lit(groups)).cast("long")).withColumn("_round", F.lit(number).cast("long"))
         result = materialize(dealt.groupBy("_g").applyInArrow(_pack_group(capacity, not last), schema))
         placed.append(result.filter("not _open").select(*columns, F.col("_sequence").alias("sequence_id"), F.col("_offset").alias("offset")))

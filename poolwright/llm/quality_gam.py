@@ -23,11 +23,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from poolwright.llm.common import packed, small_batches, table, unpacked
+from poolwright.llm.common import held_out, packed, sampled, small_batches, table, unpacked
 from poolwright.llm.shingles import texts_and_words
 
 TRAIN_ROWS = 20_000
-FOLDS = 5
 THRESHOLD = 0.3
 FEATURES = (
     "log_words", "word_length", "upper", "digits", "symbols", "marks", "stops", "wide",
@@ -208,35 +207,22 @@ def fit(
     return model
 
 
-def held_out(doc_id: str) -> Column:
-    return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % FOLDS == 0, F.lit(False))
-
-
-def sampled(doc_id: str, labels: DataFrame, rows: int) -> tuple[DataFrame, Column]:
-    """Labels of the training folds, thinned to about ``rows`` by a hash of the id, and the same test for documents."""
-    usable = (
-        labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id"))
-        .groupBy("doc_id").agg(F.max("quality").alias("_label"))
-    )
-    share = min(1.0, rows / max(1, usable.count()))
-    test = lambda c: F.pmod(F.xxhash64(F.col(c).cast("long"), F.lit(17)), F.lit(1 << 20)) < int(share * (1 << 20))
-    return usable.filter(test("doc_id")).withColumnRenamed("doc_id", "_of"), test(doc_id) & ~held_out(doc_id)
-
-
 def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", train_rows: int = TRAIN_ROWS) -> Additive:
     small_batches(docs.sparkSession)
-    chosen, test = sampled(doc_id, labels, train_rows)
+    chosen, shift = sampled(labels, "quality", train_rows)
 
     @F.arrow_udf("array<double>")
     def described(texts: pa.Array) -> pa.Array:
         x = features(texts)
         return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * len(FEATURES), pa.int32()), pa.array(x.ravel()))
 
-    rows = docs.filter(test).select(F.col(doc_id).cast("long").alias("_id"), described(F.col(text)).alias("_x"))
-    got = rows.join(chosen, F.col("_id") == F.col("_of")).orderBy("_id", "_x").select("_x", "_label").toArrow()
+    rows = packed(docs, _id=F.col(doc_id).cast("long"), _text=text).join(F.broadcast(chosen), F.col("_id") == F.col("_of"))
+    got = rows.select("_id", "_label", described(F.col("_text")).alias("_x")).orderBy("_id", "_x").select("_x", "_label").toArrow()
     y = got["_label"].to_numpy().astype(float)
     x = np.array(got["_x"].to_pylist(), float).reshape(len(y), len(FEATURES))
-    return fit(x, y)
+    model = fit(x, y)
+    model.start -= shift
+    return model
 
 
 def score(model: Additive, text: Column) -> Column:

@@ -23,8 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from poolwright.llm.common import packed, small_batches, table, unpacked
-from poolwright.llm.quality_gam import sampled
+from poolwright.llm.common import packed, sampled, small_batches, table, unpacked
 from poolwright.llm.shingles import mix, texts_and_words
 
 TRAIN_ROWS = 6_000
@@ -109,32 +108,28 @@ class Calibrated:
 
 
 def sparse(data: np.ndarray, words: np.ndarray) -> bytes:
-    """The slots of a text and how often each occurs, kind after kind: four lengths, slots, counts (at most 65,535)."""
-    slots, often = [], []
-    for kind in range(KINDS):
-        count = np.zeros(SLOTS, np.int64)
-        for of, found in grams(data, words):
-            if of == kind:
-                count += np.bincount(found, minlength=SLOTS)
-        at = np.flatnonzero(count)
-        slots.append(at.astype("<u2"))
-        often.append(np.minimum(count[at], 65_535).astype("<u2"))
+    """The slots of a text and how often each occurs, kind after kind: four lengths, slots, counts."""
+    count = np.zeros((KINDS, SLOTS), np.int64)
+    for kind, found in grams(data, words):
+        count[kind] += np.bincount(found, minlength=SLOTS)
+    slots = [np.flatnonzero(row) for row in count]
     lengths = np.array([len(x) for x in slots], "<u4")
-    return lengths.tobytes() + np.concatenate(slots).tobytes() + np.concatenate(often).tobytes()
+    often = [row[at] for row, at in zip(count, slots, strict=True)]
+    return lengths.tobytes() + np.concatenate(slots).astype("<u2").tobytes() + np.concatenate(often).astype("<u4").tobytes()
 
 
 class Rows:
     """Sparse rows, one after the other: place of each value in the weights, relative frequency, first value of each row."""
 
     def __init__(self, packed: list[bytes]):
-        self.heads = np.cumsum([0, *((len(r) - 16) // 4 for r in packed)])
+        self.heads = np.cumsum([0, *((len(r) - 16) // 6 for r in packed)])
         self.slots = np.empty(self.heads[-1], np.int32)
         self.values = np.empty(self.heads[-1], np.float32)
         for r, a, b in zip(packed, self.heads, self.heads[1:]):  # noqa: B905
             lengths = np.frombuffer(r, "<u4", KINDS).astype(int)
             ends = np.cumsum([0, *lengths])
             self.slots[a:b] = np.frombuffer(r, "<u2", b - a, 16)
-            self.values[a:b] = np.frombuffer(r, "<u2", b - a, 16 + 2 * int(b - a))
+            self.values[a:b] = np.frombuffer(r[16 + 2 * int(b - a) :], "<u4", b - a)
             for kind in range(KINDS):
                 part = slice(a + ends[kind], a + ends[kind + 1])
                 self.slots[part] += kind * SLOTS
@@ -200,19 +195,22 @@ def _calibrate(raw: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", train_rows: int = TRAIN_ROWS) -> Calibrated:
     small_batches(docs.sparkSession)
-    chosen, test = sampled(doc_id, labels, train_rows)
+    chosen, shift = sampled(labels, "quality", train_rows)
 
     @F.arrow_udf("binary")
     def hashed(texts: pa.Array) -> pa.Array:
         return pa.array([sparse(d, w) for d, w in texts_and_words(texts, fold=False)], pa.binary())
 
-    rows = docs.filter(test).select(F.col(doc_id).cast("long").alias("_id"), hashed(F.col(text)).alias("_x"))
-    got = rows.join(chosen, F.col("_id") == F.col("_of")).select("_id", F.xxhash64("_x").alias("_tie"), "_x", "_label").toArrow()
+    rows = packed(docs, _id=F.col(doc_id).cast("long"), _text=text).join(F.broadcast(chosen), F.col("_id") == F.col("_of"))
+    rows = rows.select("_id", "_label", hashed(F.col("_text")).alias("_x"))
+    got = rows.select("_id", F.xxhash64("_x").alias("_tie"), "_x", "_label").toArrow()
     order = np.lexsort((got["_tie"].to_numpy(), got["_id"].to_numpy()))
     label = got["_label"].to_numpy().astype(float)[order]
     packed_rows = got["_x"].take(pa.array(order)).to_pylist()
     del got
-    return fit(Rows(packed_rows), label)
+    model = fit(Rows(packed_rows), label)
+    model.bias -= shift / model.slope
+    return model
 
 
 COLUMNS = "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, probability double"

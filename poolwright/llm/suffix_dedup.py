@@ -630,7 +630,7 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", se
     done = ready.mapInArrow(_remove(s), schema)
     own = {c: F.col("_in").getField(f"c{k}") for k, c in enumerate(others)} | {text: F.col("_text")}
     return done.select(
-        *[own[c].alias(c) for c in docs.columns],
+        *[own[c].alias(c) for c in docs.columns if c not in ("_n_removed", "_spans", "_kept")],
         F.col("n_removed").alias("_n_removed"), F.col("spans").alias("_spans"), F.col("kept").alias("_kept"),
     )
 

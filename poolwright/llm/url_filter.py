@@ -130,7 +130,7 @@ def judge(
     labelled = found.filter("_verdict is not null and _train")
     least = [F.min(F.when(F.col("_label") == v, F.col("_draw"))).alias(f"least{v}") for v in (0, 1)]
     total = labelled.agg(F.count(F.lit(1)).alias("n"), F.sum("_label").alias("allowed"), *least).first()
-    out = [*[F.col("_row")[c].alias(c) for c in pages.columns], "host", "path", "rule"]
+    out = [*[F.col("_row")[c].alias(c) for c in pages.columns if c not in ("host", "path", "rule", "verdict", "method")], "host", "path", "rule"]
     if not total["n"] or total["allowed"] in (0, total["n"]):
         only = default if not total["n"] else "allow" if total["allowed"] else "block"
         return found.select(*out, F.coalesce("_verdict", F.lit(only)).alias("verdict"), F.lit(only).alias("method"))

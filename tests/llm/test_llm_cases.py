@@ -165,3 +165,38 @@ def test_stages(spark, docs, none, labels, tmp_path):
             kept = spark.read.parquet(f"{tmp_path}/{re.sub(' ', '_', name)}{start is docs}")
         packed = corpus_pipeline.STAGES[-1][1](spark, kept, str(tmp_path))
         assert Counter(r.doc_id for r in packed.filter("piece = 0").collect()) == Counter(r.doc_id for r in kept.collect())
+
+
+#: Names that operators give their results or use inside.
+TAKEN = (
+    "_row _bucket _bits _slot _b _p _byte _may _id _text _in _key _n _times _n_removed _spans _kept _size _source_size _target _copies _copy _shard"
+    " _score _predicted _judged _place _rank _digest _stratum _tie _of _label _third host path rule verdict method kept keep_id group_size n h1 h2"
+    " word _run _doc _w conv pos depth chars k1 k2 p1 p2 ends own role turn _d _lo _hi _at _node _comp _sha a b u v component_id piece start length ids"
+).split()
+
+
+def test_every_name_is_taken(spark, labels):
+    from poolwright.llm import prefix_trie, spelling, toxicity
+
+    rows = spark.createDataFrame([(i, t, s) for i, t, s in ROWS if i != 6], "doc_id long, text string, source string")
+    docs = rows.select("*", *[F.lit("x").alias(c) for c in TAKEN])
+    n = docs.count()
+
+    def whole(out, *added, rows=n):
+        assert out.columns == [c for c in docs.columns if c not in added] + list(added)
+        assert len(out.collect()) == rows
+
+    whole(sharding.assign_shards(docs, 4), "_shard", "_slot")
+    assert len(exact_dedup.groups(docs).collect()) == n and len(minmax_dedup.near_duplicates(docs).collect()) == n
+    whole(exact_dedup.unique(docs), rows=9)
+    whole(minmax_dedup.unique(docs), rows=10)
+    whole(mixing.mix(docs), "_size", "_source_size", "_target", "_copies")
+    assert mixing.repeated(docs).columns == docs.columns
+    assert packing.pack_documents(docs).filter("piece = 0").count() == n
+    whole(suffix_dedup.deduplicated(docs), "_n_removed", "_spans", "_kept")
+    whole(quality_gam.rate(docs, labels), "_score", "_predicted")
+    whole(quality_rules.judge(docs, labels), "_judged")
+    whole(toxicity.rate(docs, labels), "_score", "_predicted")
+    whole(url_filter.judge(docs.withColumn("url", F.concat(F.lit("http://a."), F.col("source"), F.lit("/fr/"))), url="url").drop("url"), "host", "path", "rule", "verdict", "method")
+    assert spelling.spellings(docs).count() == 1
+    assert prefix_trie.conversation_trie(docs.withColumn("conv_id", F.col("doc_id"))).count() > 5

@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -460,3 +461,21 @@ def test_pipeline(spark, texts, tmp_path):
         assert Counter(map(tuple, corpus_pipeline.run(spark, SMALL).drop("sequence_id", "offset").collect())) == Counter(
             map(tuple, steps[5].drop("sequence_id", "offset").collect())
         )
+
+
+def test_counts_of_a_long_training_text_are_whole():
+    from poolwright.llm import quality_rules
+    from poolwright.llm.shingles import texts_and_words
+
+    ((data, words),) = texts_and_words(pa.array([" ".join(["same"] * 70_000 + ["other"] * 7_000)]), fold=False)
+    row = quality_rules.Rows([quality_rules.sparse(data, words)])
+    first = row.values[row.slots < quality_rules.SLOTS]
+    assert sorted(round(float(v), 6) for v in first) == [round(7 / 77, 6), round(70 / 77, 6)]
+
+
+def test_packing_goes_on_until_no_gap_is_left_to_exchange(spark):
+    found = spark.range(6000).selectExpr("id doc_id", "0 piece", "0L start", "cast(pmod(xxhash64(id), 90) + 10 as long) length")
+    packed = packing.pack(found, 100, rows_each=12)
+    used, needed = packing.certificate(found, packed, 100)
+    assert needed <= used <= needed + 2
+    assert packed.groupBy("sequence_id").agg(F.sum("length").alias("s")).agg(F.max("s")).first()[0] <= 100
