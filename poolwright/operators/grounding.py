@@ -424,7 +424,8 @@ def question_notes(pieces: DataFrame, questions: DataFrame) -> DataFrame:
 
 
 def with_notes(parts: DataFrame, notes: DataFrame) -> DataFrame:
-    """Parts led by the note of their question: question_id, ord, path, media_type, content, ref, decision."""
+    """Parts led by the note of their question: question_id, ord, path, media_type, content, ref, decision; key if given."""
+    more = ["key"] if "key" in parts.columns else []
     head = notes.select(
         "question_id",
         F.lit(-1).cast("long").alias("ord"),
@@ -433,6 +434,7 @@ def with_notes(parts: DataFrame, notes: DataFrame) -> DataFrame:
         F.col("note").alias("content"),
         F.lit("").alias("ref"),
         F.lit("whole").alias("decision"),
+        *[F.lit("").alias(c) for c in more],
     )
     return parts.select(*head.columns).unionByName(head)
 
@@ -511,16 +513,23 @@ def _sent_bytes() -> Column:
 
 
 def text_only(parts: DataFrame, note: str = NO_VISION_NOTE) -> DataFrame:
-    """Parts without their images, led by a note: question_id, ord, path, media_type, content."""
+    """Parts without their images, led by a note: question_id, ord, path, media_type, content; ref and decision if given.
+
+    A text that was sent as a reference stays one.
+    """
+    columns = ["question_id", "ord", "path", "media_type", "content"]
+    extra = {"ref": F.lit(""), "decision": F.lit("whole"), "key": F.lit("")}
+    more = [c for c in extra if c in parts.columns]
     head = parts.select("question_id").distinct().select(
         "question_id",
         F.lit(-2).cast("long").alias("ord"),
         F.lit(NOTE_PATH).alias("path"),
         F.lit(NOTE_TYPE).alias("media_type"),
         F.lit(note).alias("content"),
+        *[extra[c].alias(c) for c in more],
     )
     kept = parts.filter(~F.col("media_type").startswith("image/"))
-    return kept.select(*head.columns).unionByName(head)
+    return kept.select(*columns, *more).unionByName(head)
 
 
 def uses_refs(packed: DataFrame, questions: DataFrame) -> DataFrame:
@@ -541,18 +550,26 @@ def uses_refs(packed: DataFrame, questions: DataFrame) -> DataFrame:
     )
 
 
-def remember_refs(parts: DataFrame, returned: DataFrame) -> DataFrame:
+def unit_key() -> Column:
+    """Names a unit among all: document, kind, and number of the picture. Titles may collide, keys cannot."""
+    kind = F.when(F.col("part") == "image", "image").otherwise("text")
+    return F.concat_ws(":", F.col("doc_id").cast("string"), kind, F.col("idx").cast("string"))
+
+
+def remember_refs(parts: DataFrame, returned: DataFrame, keyed: bool = False) -> DataFrame:
     """File returned references under the unit they belong to: doc_id, part, idx, ref.
 
     ``parts``: question_id, ord, path, doc_id, part, idx, decision. ``returned``: question_id,
     ord, path, ref. Units are found by path; where titles collide the last one wins, and a
-    partial send is never remembered.
+    partial send is never remembered. ``keyed``: units are found by the ``key`` that ``parts``
+    and ``returned`` carry (``unit_key``) instead, so equal titles keep a reference each.
     """
+    name = "key" if keyed else "path"
     full = parts.filter(F.col("decision").isin("whole", "ref"))
-    origin = full.groupBy("question_id", "path").agg(
+    origin = full.groupBy("question_id", name).agg(
         F.max_by(F.struct("doc_id", "part", "idx"), F.col("ord")).alias("unit")
     )
-    found = returned.filter(F.col("ref") != "").join(origin, ["question_id", "path"])
+    found = returned.filter(F.col("ref") != "").join(origin, ["question_id", name])
     return (
         found.groupBy("unit.doc_id", "unit.part", "unit.idx")
         .agg(F.max_by("ref", F.struct("question_id", "ord")).alias("ref"))

@@ -6,10 +6,11 @@ may hold a client, and its errors become a column and never fail a task.
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from poolwright.functions.files import with_ending
 from poolwright.functions.text import trim_space
@@ -24,6 +25,22 @@ TOO_LARGE = "too large to read in one request"
 NO_RECOGNISER = "no recogniser is configured"
 
 
+#: Requests or sections, of up to some tens of megabytes each, that a Python worker holds at once.
+AT_ONCE = 8
+
+
+@contextlib.contextmanager
+def few_at_once(spark: SparkSession, rows: int = AT_ONCE):
+    """Within: Arrow batches of at most ``rows`` rows. What runs inside has to be stored there; the setting is put back."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def read_sections(sections: DataFrame, recogniser: Callable | None, result: str = RESULT) -> DataFrame:
     """Read each section with ``recogniser() -> read(name, mime, data) -> (text, engine, model)``.
 
@@ -70,7 +87,9 @@ def read_sections(sections: DataFrame, recogniser: Callable | None, result: str
             out["note"], out["too_big"] = "", False
             yield out[fields]
 
-    return materialize(todo.mapInPandas(run, result)).unionByName(passed)
+    with few_at_once(sections.sparkSession):
+        read = materialize(todo.mapInPandas(run, result))
+    return read.unionByName(passed)
 
 
 ANSWER = "question_id long, output string, model string, engine string, error string, refs map<string,string>"
@@ -79,21 +98,16 @@ ANSWER = "question_id long, output string, model string, engine string, error st
 def answer(parts: DataFrame, prompts: DataFrame, model: Callable) -> DataFrame:
     """Ask ``model() -> ask(prompt, parts) -> (output, model, engine, {path: ref})`` per question.
 
-    ``parts``: question_id, ord, path, media_type, content, ref, decision; ``prompts``: question_id,
-    prompt. One request is one row, bounded by the context budget. Failed questions alone
-    are asked again: without images when no engine sees them, and in full when references
-    may have gone stale.
+    ``parts``: question_id, ord, path, media_type, content, ref, decision, and key where references
+    are kept by key; ``prompts``: question_id, prompt. One request is one row, bounded by the context budget,
+    and a few requests go to Python at once. Questions that no engine can see the images of are asked again without.
     """
-    first = materialize(_ask(parts, prompts, model))  # a question is asked once, whoever reads the answer
+    first = _ask(parts, prompts, model)  # stored: a question is asked once, whoever reads the answer
     blind = first.filter(F.col("error") == "no vision engine").select("question_id")
     again = _ask(
-        text_only(parts.join(blind, "question_id", "left_semi")).withColumns(
-            {"ref": F.lit(""), "decision": F.lit("whole")}
-        ),
-        prompts.join(blind, "question_id", "left_semi"),
-        model,
+        text_only(parts.join(blind, "question_id", "left_semi")), prompts.join(blind, "question_id", "left_semi"), model
     )
-    return first.filter(F.col("error") != "no vision engine").unionByName(materialize(again))
+    return first.filter(F.col("error") != "no vision engine").unionByName(again)
 
 
 def retry_in_full(answers: DataFrame, due: DataFrame, full_parts: DataFrame, prompts: DataFrame, model: Callable) -> DataFrame:
@@ -110,7 +124,8 @@ def retry_in_full(answers: DataFrame, due: DataFrame, full_parts: DataFrame, pro
 
 
 def _ask(parts: DataFrame, prompts: DataFrame, model: Callable) -> DataFrame:
-    sent = F.sort_array(F.collect_list(F.struct("ord", "path", "media_type", "content", "ref")))
+    key = ["key"] if "key" in parts.columns else []
+    sent = F.sort_array(F.collect_list(F.struct("ord", "path", "media_type", "content", "ref", *key)))
     requests = prompts.select("question_id", trim_space("prompt").alias("prompt")).join(
         parts.groupBy("question_id").agg(sent.alias("parts")), "question_id", "left"
     )
@@ -132,4 +147,5 @@ def _ask(parts: DataFrame, prompts: DataFrame, model: Callable) -> DataFrame:
                 out[c] = [g[i] for g in got]
             yield out
 
-    return requests.mapInPandas(run, ANSWER)
+    with few_at_once(parts.sparkSession):
+        return materialize(requests.mapInPandas(run, ANSWER))

@@ -79,10 +79,10 @@ picked as (
   select {keys}, arg_max(used, place) used, list_sort(arg_max(chosen, place)) chosen from walk group by {keys})"""
 
 
-def packing(asked: bool, refs: bool) -> str:
+def packing(asked: bool, refs: bool | str) -> str:
     """Every unit's decision for every question, by walking each pool unit by unit."""
     question = QUESTIONS if asked else "question as (select distinct null::bigint question_id, source pool_id, []::varchar[] terms from documents)"
-    ref = (
+    ref = refs if isinstance(refs, str) else (
         """known as (
   select doc_id, 'text' part, -1 idx, 'ref-' || doc_id ref from labels where quality = 1 and toxic = 0
   union all select doc_id, 'image', 0, 'ref-' || doc_id from labels where toxic = 1)"""
@@ -165,6 +165,52 @@ CONTENT = f"""content as (
       when part = 'raw' then d.text else {trim('d.text')} end c
   from sent s join documents d on d.doc_id = s.doc_id)"""
 NO_QUESTION = "with recursive " + packing(False, False)
+
+
+def grounded(known: str) -> str:
+    """One row per question: counts of parts, references and bytes, its note, and the units sent in full."""
+    sent = "decision in ('whole', 'partial', 'ref')"
+    return f"""with recursive {packing(True, known)},
+listed as (
+  select question_id, gap, {GAP_ORDER} o, {GAP_TEXT} || string_agg(path, ', ' order by seq, sub) || '. ' t from gap_each group by question_id, gap),
+note as (select question_id, {q(gr.NOTE_OPENING)} || string_agg(t, '' order by o) || {q(gr.NOTE_CLOSING)} note from listed group by 1),
+total as (
+  select question_id, count(*) n, count(*) filter (where part = 'image') pics, sum(sent) size, coalesce(sum(sent) filter (where part <> 'image'), 0) tsize,
+    count(*) filter (where decision = 'ref') refs, count(*) filter (where decision = 'ref' and part <> 'image') trefs,
+    list({{'doc_id': doc_id, 'part': case when part = 'image' then 'image' else 'text' end, 'idx': idx, 'path': path}}) filter (where decision <> 'partial') units,
+    list(path) paths
+  from decided where {sent} group by 1)
+select question_id, coalesce(n, 0) n, coalesce(pics, 0) pics, coalesce(size, 0) size, coalesce(tsize, 0) tsize, coalesce(refs, 0) refs, coalesce(trefs, 0) trefs,
+  units, case when note is null then 0 else 1 end noted, coalesce(strlen(note), 0) nsize, len({trim('text')}) len
+from (select item_id question_id, text from benchmark) left join total using (question_id) left join note using (question_id)"""
+
+
+def answered(source: str) -> str:
+    """What the stand-in for a model says to each row of ``grounded``."""
+    return f"""(select *, case when seen > 0 and len % 3 = 0 then 'stale reference' when len % 5 = 0 then 'unavailable' else '' end error,
+    len || ':' || shown || ':' || bytes::bigint || ':' || seen said from (
+  select *, pics > 0 and len % 2 = 1 blind, case when blind then trefs else refs end seen,
+    case when blind then n - pics + 1 + noted else n + noted end shown,
+    case when blind then tsize + strlen({q(gr.NO_VISION_NOTE)}) + nsize else size + nsize end bytes from {source}))"""
+
+
+GAP_ORDER = "case gap when 'omitted' then 1 when 'omitted_image' then 2 when 'partial' then 3 when 'not_read' then 4 else 5 end"
+GAP_TEXT = "case gap " + " ".join(f"when '{g}' then {q(t)}" for g, t in gr.NOTE_SENTENCES.items()) + " end"
+UNITS = "select distinct u.doc_id, u.part, u.idx, 'r:' || u.path ref from (select blind, unnest(units) u from {0} where {1}) where not (blind and u.part = 'image')"
+TURNS = f"""with recursive
+g1 as materialized ({grounded("known as (select 0::bigint doc_id, 'none' part, 0 idx, '' ref where false)")}),
+a1 as {answered('g1')},
+ledger1 as materialized ({UNITS.format('a1', "error = ''")}),
+g2 as materialized ({grounded("known as (select * from ledger1)")}),
+a2 as {answered('g2')},
+stale as (select distinct u.doc_id, u.part, u.idx from (select unnest(units) u from a2 where error <> '' and refs > 0)),
+ledger2 as materialized (select * from ledger1 anti join stale using (doc_id, part, idx)),
+g3 as materialized ({grounded("known as (select * from ledger2)")}),
+a3 as {answered('g3')},
+last as (
+  select * from a2 where not (error <> '' and refs > 0)
+  union all select * from a3 where question_id in (select question_id from a2 where error <> '' and refs > 0)),
+new as (select * from (select question_id, error, said, n, pics, blind, units, 1 turn from a1 union all select question_id, error, said, n, pics, blind, units, 2 from last))"""
 REFS = "with recursive " + packing(True, True)
 REFS_NO_QUESTION = "with recursive " + packing(False, True)
 
@@ -304,8 +350,6 @@ TALK = f"""talk as (
 PART_JSON = """ans as (
   select p_partkey graph_id, p_partkey % 6 c, p_name, p_brand, p_retailprice from part)"""
 
-GAP_ORDER = "case gap when 'omitted' then 1 when 'omitted_image' then 2 when 'partial' then 3 when 'not_read' then 4 else 5 end"
-GAP_TEXT = "case gap " + " ".join(f"when '{g}' then {q(t)}" for g, t in gr.NOTE_SENTENCES.items()) + " end"
 
 GONE = "(select user_id from events where event_type = 'error')"
 
@@ -481,7 +525,7 @@ select graph_id, ord, from_node, to_node from edge e where not exists (from node
 r as (select *, row_number() over (partition by graph_id, from_node, to_node order by ord) n from edge)
 select graph_id, ord, case when ord % 2 = 1 then from_node else to_node end from_node, case when ord % 2 = 1 then to_node else from_node end to_node from r where n = 1""",
     "generation_outcomes__o48e": f"""with a as (select *, {K} k from events),
-j as (select *, case when k % 4 <> 0 then k % 8 else 0 end n from a)
+j as (select *, k % 8 n from a)
 select event_id attempt_id, user_id graph_id, case when event_type in ('click', 'view', 'purchase') and n > 0 then 'ok' when event_type = 'error' then 'failed' else 'empty' end state,
   n::bigint nodes, repeat('n', least(k * 40, 2000)) note, repeat('m', least(k * 2, 100)) model, '' engine, repeat('k', least(k * 3, 128)) source_key from j""",
     "sanitise_transcript__o49a": f'with {TALK} select "owner", turn, role, {clip("t", 200)} text, model, engine, created from talk',
@@ -497,10 +541,10 @@ from l where e not in ('error', 'purchase') or sec >= {JOBS_NOW} - 259200""",
 select batch, ord, "name", case when reason = '' then mime else '' end mime, size::bigint size, reason = '' accepted, reason from judged""",
     "batch_outcomes__o51": f"""with {judged('ord // 3', 2)},
 g as (
-  select batch, count(*) filter (where reason = '' and batch % 10 <> 9) ok, count(*) filter (where reason <> '' and batch % 10 <> 9) bad,
+  select batch, count(*) filter (where reason = '') ok, count(*) filter (where reason <> '') bad,
     arg_min("name" || ': ' || reason, ord) filter (where reason <> '') f from judged group by 1)
-select batch, ok accepted, bad rejected, case when ok > 0 then 'ok' when bad > 0 then 'rejected' else 'nothing' end outcome,
-  case when ok > 0 then '' when bad > 0 then f else 'No files were uploaded' end detail from g""",
+select batch, ok accepted, bad rejected, case when ok > 0 then 'ok' else 'rejected' end outcome, case when ok > 0 then '' else f end detail from g
+union all select -1 - batch, 0, 0, 'nothing', 'No files were uploaded' from g""",
     "newest_first__o52": f"with {POOL} select doc_id, created, title from pool order by created desc, doc_id desc limit 100",
     "read_sections__o53": f"""with {UPLOAD},
 s as (select ord, len(hx) // 2 size, ord % 11 = 0 noted from up)
@@ -515,6 +559,11 @@ b as (select item_id question_id, len({trim('text')}) len, coalesce(n, 0) n, coa
 r as (select *, pics > 0 and len % 2 = 1 blind from b)
 select question_id, case when len % 5 = 0 then '' else len || ':' || (case when blind then (n - pics + 1) || ':' || seen else n || ':' || size end) end "output",
   case when len % 5 = 0 then 'unavailable' else '' end error, (case when len % 5 = 0 or n = 0 then 0 else 1 end)::bigint refs from r""",
+    "ask_turns__o54": TURNS + """
+select turn, question_id, case when error = '' then said else '' end "output", error,
+  (case when error <> '' then 0 when blind then n - pics else n end)::bigint refs from new""",
+    "ref_ledger__o43b": TURNS + f"""
+select doc_id, part, idx::bigint idx, ref from ledger2 union {UNITS.format('last', "error = ''").replace('u.idx,', 'u.idx::bigint,')}""",
     "author_text__o55": f"""select doc_id post_id, case when doc_id % 7 = 0 then '' else 'doc ' || doc_id end title, 'text' kind, 'text/markdown' mime, lang description,
   md5(case when doc_id % 11 = 0 then '' else {trim('text')} end) "content", (case when doc_id % 11 = 0 then 0 else strlen({trim('text')}) end)::bigint size, source author, {NOW}::bigint created,
   case when doc_id % 7 = 0 then 'A title is required' when doc_id % 11 = 0 or {trim('text')} = '' then 'The document must not be empty' else '' end reason from documents""",

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from poolwright.functions import files as ff
 from poolwright.functions import text as ft
-from poolwright.operators import chat, extraction, graph, grounding, ingest, pool, recognise, retrieval
+from poolwright.operators import chat, extraction, graph, grounding, ingest, pool, recognise, retrieval, turn
 from poolwright.plans import inputs as i
 from poolwright.session import run_folder, scratch_folder
 from poolwright.sources import tables
@@ -528,7 +528,9 @@ def generation_outcomes(s: SparkSession, d: str) -> DataFrame:
         F.lit(None).cast("string").alias("engine"),
         F.repeat(F.lit("k"), k * 3).alias("source_key"),
     )
-    counts = ev.filter(k % 4 != 0).select(F.col("event_id").alias("attempt_id"), (k % 8).alias("n"))
+    # Every attempt has a count; further rows name attempts that no event has.
+    counts = ev.select(F.col("event_id").alias("attempt_id"), (k % 8).alias("n"))
+    counts = counts.unionByName(counts.select((-1 - F.col("attempt_id")).alias("attempt_id"), "n"))
     return graph.generation_outcomes(attempts, counts)
 
 
@@ -562,10 +564,11 @@ def judge_uploads(s: SparkSession, d: str) -> DataFrame:
 
 
 def batch_outcomes(s: SparkSession, d: str) -> DataFrame:
-    # Batches of three so that refused batches occur; one batch in ten has no part at all.
-    up = i.uploads(s, d).withColumn("batch", F.floor(F.col("ord") / 3))
-    parts = up.filter(F.col("batch") % 10 != 9)
-    return ingest.batch_outcomes(ingest.judge_uploads(parts, 2, 4000), up.select("batch").distinct())
+    # Batches of three so that refused batches occur; as many batches again have no part at all.
+    parts = i.uploads(s, d).withColumn("batch", F.floor(F.col("ord") / 3))
+    batches = parts.select("batch").distinct()
+    empty = batches.select((-1 - F.col("batch")).alias("batch"))
+    return ingest.batch_outcomes(ingest.judge_uploads(parts, 2, 4000), batches.unionByName(empty))
 
 
 def newest_first(s: SparkSession, d: str) -> DataFrame:
@@ -615,6 +618,38 @@ def answer_questions(s: SparkSession, d: str) -> DataFrame:
     return out.select("question_id", "output", "error", F.size("refs").cast("long").alias("refs"))
 
 
+def _forgetful() -> Callable:
+    """Sees no pictures for some questions, has lost what it held for others, and returns a reference for every part."""
+
+    def ask(prompt: str, parts: list[dict]) -> tuple[str, str, str, dict]:
+        refs = sum(p["ref"] != "" for p in parts)
+        if any(p["media_type"].startswith("image/") for p in parts) and len(prompt) % 2:
+            raise ValueError("no vision engine")
+        if refs and len(prompt) % 3 == 0:
+            raise ValueError("stale reference")
+        if len(prompt) % 5 == 0:
+            raise ValueError("unavailable")
+        size = sum(len(p["content"].encode()) for p in parts)
+        held = {p["path"]: f"r:{p['path']}" for p in parts if p["path"] != grounding.NOTE_PATH}
+        return f"{len(prompt)}:{len(parts)}:{size}:{refs}", "model", "engine", held
+
+    return ask
+
+
+def _turns(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    asked = i.questions(s, d)
+    path = f"{scratch_folder(s)}/{uuid.uuid4().hex}"
+    return turn.ask_turns(i.pool_docs(s, d), i.pool_images(s, d), [asked, asked], _forgetful, path, budget=POOL_BUDGET, delimiter=DELIMITER)
+
+
+def ask_turns(s: SparkSession, d: str) -> DataFrame:
+    return _turns(s, d)[0].select("turn", "question_id", "output", "error", F.size("refs").cast("long").alias("refs"))
+
+
+def ref_ledger(s: SparkSession, d: str) -> DataFrame:
+    return _turns(s, d)[1].select("doc_id", "part", F.col("idx").cast("long").alias("idx"), "ref")
+
+
 # Streams: the whole event table goes through, and the last state of each key is returned
 
 
@@ -747,6 +782,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "newest_first__o52": newest_first,
     "read_sections__o53": read_sections,
     "answer_questions__o54": answer_questions,
+    "ask_turns__o54": ask_turns,
+    "ref_ledger__o43b": ref_ledger,
     "author_text__o55": author_text,
     "final_state__o56": final_state,
     "stream_extract_state__s1": stream_extract_state,
