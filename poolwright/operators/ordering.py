@@ -64,8 +64,11 @@ def first_rows(df: DataFrame, keys: list[str], order: list[Column | str], most:
 
     Spark limits each map task to ``most`` rows per key before the shuffle, so a
     hot key reaches its reducer already cut down. The rule applies up to
-    ``spark.sql.optimizer.windowGroupLimitThreshold`` (1000 by default).
+    ``spark.sql.optimizer.windowGroupLimitThreshold`` (1000 by default), and more is refused.
     """
+    limit = int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold"))
+    if most > limit:
+        raise ValueError(f"{most} rows of each group: Spark cuts groups before a shuffle up to {limit} only")
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn("pos", F.row_number().over(w)).filter(F.col("pos") <= most)
 

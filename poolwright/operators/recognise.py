@@ -25,16 +25,16 @@ TOO_LARGE = "too large to read in one request"
 NO_RECOGNISER = "no recogniser is configured"
 
 
-#: Requests or sections, of up to some tens of megabytes each, that a Python worker holds at once.
-AT_ONCE = 8
+#: Bytes of requests or sections that go to a Python worker at once (one row may exceed it).
+AT_ONCE = 32 << 20
 
 
 @contextlib.contextmanager
-def few_at_once(spark: SparkSession, rows: int = AT_ONCE):
-    """Within: Arrow batches of at most ``rows`` rows. What runs inside has to be stored there; the setting is put back."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+def few_at_once(spark: SparkSession, most: int = AT_ONCE):
+    """Within: Arrow batches of about ``most`` bytes at most. What runs inside has to be stored there; the setting is put back."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
     before = spark.conf.get(name)
-    spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
+    spark.conf.set(name, str(most))
     try:
         yield
     finally:

@@ -559,6 +559,32 @@ b as (select item_id question_id, len({trim('text')}) len, coalesce(n, 0) n, coa
 r as (select *, pics > 0 and len % 2 = 1 blind from b)
 select question_id, case when len % 5 = 0 then '' else len || ':' || (case when blind then (n - pics + 1) || ':' || seen else n || ':' || size end) end "output",
   case when len % 5 = 0 then 'unavailable' else '' end error, (case when len % 5 = 0 or n = 0 then 0 else 1 end)::bigint refs from r""",
+    "read_files__o33": f"""with {LINES},
+plan as (
+  select s_suppkey doc_id, coalesce(n, 0) total, s_acctbal > 5000 has_text, s_nationkey % 2 = 0 has_ai
+  from supplier left join (select l_suppkey s_suppkey, count(*) n from lineitem group by 1) using (s_suppkey)),
+s as (
+  select doc_id, page - 1 idx, total, has_text, has_ai, l_quantity qty, p_name, page, l_linestatus = 'O' pic,
+    case when p_size = 1 then 'note' when p_size = 2 then 'too_big' when not has_ai then 'error'
+      when l_returnflag = 'R' and l_quantity <= 10 then 'too_slow' when l_returnflag = 'A' and l_quantity > 45 then 'unreadable' else 'read' end o,
+    has_ai and p_size > 2 and l_returnflag = 'R' and l_quantity <= 2 as out
+  from line join part on p_partkey = l_partkey join plan using (doc_id) where has_ai or has_text or p_size <= 2),
+piece as (
+  select doc_id, idx, case o when 'note' then '[not decoded]' when 'too_big' then '[page ' || page || ': too large to read in one request — this part was not read]'
+    when 'error' then '[page ' || page || ': could not be read: no recogniser is configured]' when 'unreadable' then '[page ' || page || ': could not be read: unreadable]'
+    when 'too_slow' then '[page ' || page || ': could not be read: {ex.TOO_SLOW}]' else (case when pic then 'Image on page ' || page || ':' || chr(10) else '' end) || p_name end t from s),
+body as (select doc_id, {trim("string_agg(t, chr(10) || chr(10) order by idx)")} t from piece group by 1),
+n as (
+  select doc_id, min(idx) filter (where out) stop, count(*) filter (where not out) read1, count(*) filter (where out) read2, bool_or(o = 'read') legible from s group by 1),
+f as (
+  select *, case when not has_ai and not has_text then 'failed' else 'ready' end state,
+    (case when has_text then 'file ' || doc_id || chr(10) || chr(10) else '' end) || coalesce(t, '') whole from plan left join n using (doc_id) left join body using (doc_id))
+select doc_id, case when state = 'failed' then 'failed' when stop is null or has_text then 'ready' else 'failed' end state1, case when state = 'failed' then 0 else coalesce(stop, 0) end::bigint done1,
+  case when state = 'failed' then {q(ex.READ_FAILURES['no_ai'])} when stop is null or has_text then '' else
+    'The read was interrupted after section ' || stop || ' of ' || total || ' ({ex.INTERRUPTIONS['outage']}). Retry to continue from where it stopped.' end reason1,
+  state, 0::bigint done, 0::bigint total, read1, read2,
+  case when state = 'failed' then null when not has_text then 'ai' when legible then 'mixed' else 'text-layer' end source,
+  case when state = 'failed' then null else strlen({trim('whole')}) end::bigint bytes from f""",
     "ask_turns__o54": TURNS + """
 select turn, question_id, case when error = '' then said else '' end "output", error,
   (case when error <> '' then 0 when blind then n - pics else n end)::bigint refs from new""",
