@@ -627,16 +627,16 @@ select event_id,
     else 'the read was cancelled' end) || '). Retry to continue from where it stopped.' stopped from e""",
     "stream_section_progress__s3": f"""with recursive ev as (
   select user_id doc_id, {K} % 20 idx, epoch_ms(ts) t, row_number() over (partition by user_id, {K} % 20 order by ts, event_id) n,
-    case when event_type in ('view', 'signup') then 'start' when event_type = 'error' then 'error' else 'read' end kind from events),
+    case event_type when 'view' then 'start' when 'signup' then 'outage' when 'error' then 'error' else 'read' end kind from events),
 walk(doc_id, idx, n, late, deadline, ended, outcome, attempts) as (
   select distinct doc_id, idx, 0::bigint, 0, 0::bigint, false, null::varchar, 0 from ev
   union all
   select w.doc_id, w.idx, w.en,
     case when w.ended or not due then w.late else w.late + 1 end,
     case when w.ended or kind <> 'start' or (due and w.late = 1) then 0 else t + 300000 * (w.late + due::int + 1) end,
-    w.ended or kind <> 'start' or (due and w.late = 1),
-    case when w.ended then w.outcome when due and w.late = 1 then 'too_slow' when kind <> 'start' then kind when due then 'timeout' else w.outcome end,
-    case when w.ended then w.attempts when due and w.late = 1 then 2 when kind <> 'start' then w.late + due::int + 1 when due then w.late + 1 else w.attempts end
+    w.ended or kind in ('read', 'error') or (due and w.late = 1),
+    case when w.ended then w.outcome when due and w.late = 1 then 'too_slow' when kind = 'outage' then 'interrupted' when kind <> 'start' then kind when due then 'timeout' else w.outcome end,
+    case when w.ended then w.attempts when due and w.late = 1 then 2 when kind = 'outage' then w.late + due::int when kind <> 'start' then w.late + due::int + 1 when due then w.late + 1 else w.attempts end
   from (select w.*, e.n en, e.t, e.kind, (w.deadline > 0 and e.t >= w.deadline) due from walk w join ev e on e.doc_id = w.doc_id and e.idx = w.idx and e.n = w.n + 1) w),
 last as (select *, row_number() over (partition by doc_id, idx order by n desc) r from walk),
 fired as (select *, not ended and deadline > 0 and deadline <= (select max(t) from ev) - 60000 due from last where r = 1)

@@ -744,12 +744,12 @@ def stream_section_progress(s: SparkSession, d: str) -> DataFrame:
     kind = F.col("event_type")
     ev = _events(s, d).select(
         F.col("user_id").alias("doc_id"), (F.get_json_object("props", "$.k").cast("int") % 20).alias("idx"), F.col("ts").cast("timestamp").alias("t"), "event_id",
-        F.when(kind.isin("view", "signup"), "start").when(kind == "error", "error").otherwise("read").alias("kind"),
+        F.when(kind == "view", "start").when(kind == "signup", "outage").when(kind == "error", "error").otherwise("read").alias("kind"),
     )
     before = s.conf.get(jobs.ROCKSDB[0])
     s.conf.set(*jobs.ROCKSDB)
     try:
-        return _drain(jobs.section_progress(ev), ["doc_id", "idx"], order=("attempts",))
+        return _drain(jobs.section_progress(ev), ["doc_id", "idx"], order=("step",)).drop("step")
     finally:
         s.conf.set(jobs.ROCKSDB[0], before)
 

@@ -68,7 +68,8 @@ ROCKSDB = (
     "spark.sql.streaming.stateStore.providerClass",
     "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 )
-PROGRESS = "doc_id long, idx int, outcome string, attempts int"
+PROGRESS = "doc_id long, idx int, outcome string, attempts int, step int"
+STATE = "timed_out int, deadline long, ended boolean, step int, late int"
 
 
 class SectionDeadline(StatefulProcessor):
@@ -77,80 +78,103 @@ class SectionDeadline(StatefulProcessor):
     Input rows: doc_id, idx, t (event time), event_id (orders events of one time), kind (``start``,
     ``read``, ``error``, ``outage``). A start arms a timer; a deadline that passes before a result is a time-out,
     whether the timer fires or a later event shows it. After the second time-out the
-    section is too slow. Rows behind the watermark never reach the
-    state: Spark drops them and counts them in the query progress.
+    section is too slow. An outage is no attempt. ``step`` numbers the outcomes of a section.
+
+    The state of a section that has ended goes ``keep_seconds`` of event time later, by a timer. Until then
+    its events are dropped and counted; with ``report_late`` the count is a row of outcome ``late`` when
+    the state goes. Rows behind the watermark never reach the state: Spark drops
+    them and counts them in the query progress.
     """
 
-    def __init__(self, first_seconds: int = 300, most: int = 2):
-        self.first_ms, self.most = first_seconds * 1000, most
+    def __init__(self, first_seconds: int = 300, most: int = 2, keep_seconds: int = 86_400, report_late: bool = False):
+        self.first_ms, self.most, self.keep_ms, self.report_late = first_seconds * 1000, most, keep_seconds * 1000, report_late
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("attempts", "timed_out int, deadline long, ended boolean")
+        self.state = handle.getValueState("attempts", STATE)
 
-    def _get(self) -> tuple[int, int, bool]:
-        return tuple(self.state.get()) if self.state.exists() else (0, 0, False)
+    def _get(self) -> tuple[int, int, bool, int, int]:
+        return tuple(self.state.get()) if self.state.exists() else (0, 0, False, 0, 0)
 
     def _disarm(self, deadline: int) -> None:
         if deadline:
             self.handle.deleteTimer(deadline)
 
+    def _end(self, at: int) -> int:
+        """The time at which the state of a section that ends at ``at`` goes."""
+        self.handle.registerTimer(at + self.keep_ms)
+        return at + self.keep_ms
+
+    @staticmethod
+    def _rows(key, out: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame([(key[0], key[1], *r) for r in out], columns=["doc_id", "idx", "outcome", "attempts", "step"])
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         events = pd.concat(list(rows))
         order = ["t", "event_id"] if "event_id" in events else ["t"]
         events = events.sort_values(order, kind="stable")
         out = []
         for kind, t in zip(events["kind"], events["t"]):
-            timed_out, deadline, ended = self._get()
+            timed_out, deadline, ended, step, late = self._get()
             if ended:
+                self.state.update((timed_out, deadline, True, step, late + 1))
                 continue
             at = int(pd.Timestamp(t).timestamp() * 1000)
             if deadline and at >= deadline:
                 # Rows are seen before timers, so a timer due by now has not fired yet.
                 self._disarm(deadline)
-                timed_out, deadline = timed_out + 1, 0
+                timed_out, deadline, step = timed_out + 1, 0, step + 1
                 ended = timed_out >= self.most
-                self.state.update((timed_out, 0, ended))
-                out.append((key[0], key[1], "too_slow" if ended else "timeout", timed_out))
+                if ended:
+                    deadline = self._end(at)
+                self.state.update((timed_out, deadline, ended, step, late + ended))
+                out.append(("too_slow" if ended else "timeout", timed_out, step))
                 if ended:
                     continue
+            self._disarm(deadline)
             if kind == "start":
-                self._disarm(deadline)
                 deadline = at + self.first_ms * (timed_out + 1)
                 self.handle.registerTimer(deadline)
-                self.state.update((timed_out, deadline, False))
+                self.state.update((timed_out, deadline, False, step, late))
+            elif kind == "outage":
+                self.state.update((timed_out, 0, False, step + 1, late))
+                out.append(("interrupted", timed_out, step + 1))
             else:
-                self._disarm(deadline)
-                self.state.update((timed_out, 0, kind != "outage"))
-                name = "interrupted" if kind == "outage" else kind
-                out.append((key[0], key[1], name, timed_out + 1))
+                self.state.update((timed_out, self._end(at), True, step + 1, late))
+                out.append((kind, timed_out + 1, step + 1))
         if out:
-            yield pd.DataFrame(out, columns=["doc_id", "idx", "outcome", "attempts"])
+            yield self._rows(key, out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        timed_out, deadline, ended = self._get()
-        if ended or not deadline:
+        timed_out, deadline, ended, step, late = self._get()
+        if not deadline:
+            return
+        if ended:
+            self.state.clear()
+            if self.report_late and late:
+                yield self._rows(key, [("late", late, step + 1)])
             return
-        timed_out += 1
-        last = timed_out >= self.most
-        self.state.update((timed_out, 0, last))
-        outcome = "too_slow" if last else "timeout"
-        yield pd.DataFrame([(key[0], key[1], outcome, timed_out)], columns=["doc_id", "idx", "outcome", "attempts"])
+        timed_out, last = timed_out + 1, timed_out + 1 >= self.most
+        self.state.update((timed_out, self._end(deadline) if last else 0, last, step + 1, late))
+        yield self._rows(key, [("too_slow" if last else "timeout", timed_out, step + 1)])
 
     def close(self) -> None:
         pass
 
 
-def section_progress(events: DataFrame, delay: str = "1 minute", first_seconds: int = 300, most: int = 2) -> DataFrame:
-    """Outcomes of sections as they are decided: doc_id, idx, outcome, attempts.
+def section_progress(
+    events: DataFrame, delay: str = "1 minute", first_seconds: int = 300, most: int = 2, keep_seconds: int = 86_400, report_late: bool = False
+) -> DataFrame:
+    """Outcomes of sections as they are decided: doc_id, idx, outcome, attempts, step.
 
     Timers need the RocksDB state store, which the session must name before the query starts.
+    ``keep_seconds`` has to exceed the time by which events of a section can follow its end.
     """
     return (
         events.withWatermark("t", delay)
         .groupBy("doc_id", "idx")
         .transformWithStateInPandas(
-            statefulProcessor=SectionDeadline(first_seconds, most),
+            statefulProcessor=SectionDeadline(first_seconds, most, keep_seconds, report_late),
             outputStructType=PROGRESS,
             outputMode="update",
             timeMode="EventTime",

@@ -62,15 +62,44 @@ def test_section_deadlines(spark, tmp_path):
     before = spark.conf.get(jobs.ROCKSDB[0])
     spark.conf.set(*jobs.ROCKSDB)
     try:
-        got = {(r.doc_id, r.idx): (r.outcome, r.attempts) for r in _drain(jobs.section_progress(stream, "1 second"), ["doc_id", "idx"], order=("attempts",)).collect()}
+        got = {(r.doc_id, r.idx): (r.outcome, r.attempts) for r in _drain(jobs.section_progress(stream, "1 second"), ["doc_id", "idx"], order=("step",)).collect()}
     finally:
         spark.conf.set(jobs.ROCKSDB[0], before)
     assert got[(1, 0)] == ("read", 1)
-    assert got[(2, 0)] == ("interrupted", 1)
+    assert got[(2, 0)] == ("interrupted", 0)  # as in section_outcomes, an outage is no attempt
     assert got[(3, 0)] == ("too_slow", 2)
     assert got[(4, 0)] == ("read", 2)
 
 
+def test_ended_sections_leave_the_state(spark, tmp_path):
+    """Events of a section that has ended are counted, and its state goes when it has been kept long enough."""
+    log = [(k, 0, 0, "start") for k in range(6)] + [(k, 0, 10 + k, "read") for k in range(6)]
+    log += [(1, 0, 20, "start"), (1, 0, 21, "read"), (9, 0, 2000, "start"), (9, 0, 4000, "start"), (9, 0, 9000, "start")]
+    home = str(tmp_path / "log")
+    for n, t in enumerate(sorted({e[2] for e in log})):
+        rows = [(d, x, at + 1000, k) for d, x, at, k in log if at == t]
+        one = spark.createDataFrame(rows, "doc_id long, idx int, s long, kind string")
+        one.select("doc_id", "idx", F.timestamp_seconds("s").alias("t"), "kind").coalesce(1).write.parquet(f"{home}/n={n:03d}")
+    stream = (
+        spark.readStream.schema("doc_id long, idx int, t timestamp, kind string").option("maxFilesPerTrigger", 4)
+        .option("recursiveFileLookup", "true").parquet(home)
+    )
+    before = spark.conf.get(jobs.ROCKSDB[0])
+    spark.conf.set(*jobs.ROCKSDB)
+    seen = []
+    try:
+        progress = jobs.section_progress(stream, "1 second", keep_seconds=600, report_late=True)
+        q = progress.writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / "mark")).foreachBatch(
+            lambda batch, epoch: seen.extend(batch.collect())
+        ).trigger(availableNow=True).start()
+        q.awaitTermination()
+        rows = [p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]]
+    finally:
+        spark.conf.set(jobs.ROCKSDB[0], before)
+    assert max(rows) >= 6 and rows[-1] < max(rows)
+    assert [(r.doc_id, r.attempts) for r in seen if r.outcome == "late"] == [(1, 2)]
+
+
 def test_new_files(spark, tmp_path):
     (tmp_path / "in").mkdir()
     for k in range(3):
