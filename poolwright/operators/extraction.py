@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from poolwright.functions.text import WHITE_SPACE, is_blank, trim_space
 from poolwright.operators.ordering import first_rows, joined_in_order, running
+from poolwright.session import materialize
 
 STATES = ("pending", "reading", "ready", "failed")
 
@@ -141,33 +142,44 @@ def resume_kept(state: DataFrame, resume: DataFrame) -> DataFrame:
     return resume.join(finished.select("doc_id"), "doc_id", "left_anti")
 
 
-def read_plan(files: DataFrame, text_layer: DataFrame, images: DataFrame) -> DataFrame:
-    """How each file is read: doc_id, local_source, track, sections.
+REQUEST_BYTES = 24 << 20
 
-    ``files``: doc_id, mime. ``text_layer``: doc_id, coherent. ``images``: doc_id, idx.
-    Track: ``none`` (text only), ``images``, ``pages`` (no text, no images), ``image``.
+
+def read_plan(files: DataFrame, text_layer: DataFrame, images: DataFrame, pages: DataFrame | None = None, budget: int = REQUEST_BYTES) -> DataFrame:
+    """How each file is read: doc_id, local_source, track, sections, too_big.
+
+    ``files``: doc_id, mime, bytes. ``text_layer``: doc_id, coherent. ``images``: doc_id, idx. ``pages``: doc_id, page,
+    bytes of the files that can be split. Track: ``none`` (text only), ``images``, ``pages`` (no text, no images), ``image``.
+    A file of the track ``pages`` is one section within ``budget``; beyond it, as many as ``pack_pages`` makes of its
+    pages, and one too big to send if it has none. A single picture cannot be split. ``too_big``: how many
+    sections cannot be sent. Only files beyond the budget meet their pages.
     """
     counts = images.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
     mime = F.col("mime")
     text, pdf, image = mime.startswith("text/"), mime == "application/pdf", mime.startswith("image/")
     has_text = F.coalesce("coherent", F.lit(False))
     n = F.coalesce("n", F.lit(0))
-    return (
-        files.join(text_layer.select("doc_id", "coherent"), "doc_id", "left")
-        .join(counts, "doc_id", "left")
-        .select(
-            "doc_id",
-            F.when(text | (pdf & has_text), "text-layer").otherwise("").alias("local_source"),
-            F.when(text, "none")
-            .when(image, "image")
-            .when(pdf & (n > 0), "images")
-            .when(pdf & has_text, "none")
-            .when(pdf, "pages")
-            .otherwise("unreadable")
-            .alias("track"),
-            F.when(image, F.lit(1)).when(pdf & (n > 0), n).otherwise(0).cast("long").alias("sections"),
-        )
+    over = F.coalesce("bytes", F.lit(0)) > budget
+    track = (
+        F.when(text, "none").when(image, "image").when(pdf & (n > 0), "images")
+        .when(pdf & has_text, "none").when(pdf, "pages").otherwise("unreadable")
+    )
+    found = (
+        files.join(text_layer.select("doc_id", "coherent"), "doc_id", "left").join(counts, "doc_id", "left")
+        .select("doc_id", F.when(text | (pdf & has_text), "text-layer").otherwise("").alias("local_source"), track.alias("track"), n.alias("n"), over.alias("_over"))
     )
+    split = F.lit(None).cast("long")
+    if pages is not None:
+        found = materialize(found)
+        large = found.filter((F.col("track") == "pages") & F.col("_over")).select("doc_id")
+        packed = pack_pages(pages.join(large, "doc_id", "left_semi").select("doc_id", "page", "bytes"), budget)
+        packed = packed.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_split"), F.count_if("too_big").alias("_big"))
+        found, split = found.join(packed, "doc_id", "left"), F.col("_split")
+    track, one = F.col("track"), F.lit(1)
+    beyond = (track == "pages") & F.col("_over")
+    sections = F.when(track == "images", F.col("n")).when(beyond, F.coalesce(split, one)).when(track.isin("image", "pages"), one).otherwise(0)
+    big = F.when(beyond & split.isNotNull(), F.col("_big") if pages is not None else one).when(beyond | ((track == "image") & F.col("_over")), one).otherwise(0)
+    return found.select("doc_id", "local_source", "track", sections.cast("long").alias("sections"), big.cast("long").alias("too_big"))
 
 
 PAGES_PER_SECTION = 12

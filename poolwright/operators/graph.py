@@ -78,11 +78,13 @@ def sanitise_edges(edges: DataFrame, ports: DataFrame, most: int = MOST_EDGES) -
 
 def renew_ids(edges: DataFrame) -> DataFrame:
     """Keep the first bearer of each id; give every other edge an id of its own."""
-    firsts = edges.filter(F.col("id") != "").groupBy("graph_id", "id").agg(F.min("ord").alias("_first"))
+    # Edges without an id match nothing: by their place they spread over the tasks of the join.
+    salt = F.when(F.col("id") == "", F.col("ord")).otherwise(-1).cast("long")
+    firsts = edges.filter(F.col("id") != "").groupBy("graph_id", "id").agg(F.min("ord").alias("_first"), F.lit(-1).cast("long").alias("_salt"))
     fresh = F.substring(F.sha2(F.concat_ws(":", "graph_id", "ord"), 256), 1, 16)
     kept = F.col("_first").isNotNull() & (F.col("ord") == F.col("_first"))
     return (
-        edges.join(firsts, ["graph_id", "id"], "left")
+        edges.withColumn("_salt", salt).join(firsts, ["graph_id", "id", "_salt"], "left")
         .withColumn("id", F.when(kept, F.col("id")).otherwise(fresh))
         .select(*edges.columns)
     )

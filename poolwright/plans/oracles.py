@@ -399,15 +399,17 @@ where state in ('pending', 'reading') or (state = 'ready' and total > 0 and done
     "last_text__o24": f"with {STATE} select doc_id, size bytes from folded where doc_id in (select user_id from events where event_type in ('click', 'purchase'))",
     "resume_kept__o24": f"""with {STATE} select distinct l_suppkey doc_id, l_linenumber::bigint idx from lineitem
 where l_suppkey not in (select doc_id from folded where state = 'ready' and done >= total)""",
-    "read_plan__o26": f"""with f as (
-  select page_id doc_id, ['text/html', 'image/png', 'application/pdf', 'application/pdf', 'image/gif', 'application/zip'][page_id % 6 + 1] mime,
+    "read_plan__o26": f"""with recursive packs as (select doc_id * 6 - 3 doc_id, count(*) k, count(*) filter (where too_big) big from ({page_packing(40)}) group by 1),
+f as (
+  select page_id doc_id, strlen(html) > 2000 as big_file, ['text/html', 'image/png', 'application/pdf', 'application/pdf', 'image/gif', 'application/zip'][page_id % 6 + 1] mime,
     page_id % 5 < 3 and len({trim('html')}) >= 16 and len(regexp_extract_all({trim('html')}, '[\\x00-\\x08\\x0B-\\x1F\\x{{FFFD}}]')) <= 0.15 * len({trim('html')}) good from pages),
 n as (select l_suppkey * 2 doc_id, count(*) n from lineitem group by 1),
-j as (select f.*, coalesce(n, 0) n from f left join n using (doc_id))
+j as (select f.*, coalesce(n, 0) n, k, big, mime = 'application/pdf' and not good and n is null as paged from f left join n using (doc_id) left join packs using (doc_id))
 select doc_id, case when mime = 'text/html' or (mime = 'application/pdf' and good) then 'text-layer' else '' end local_source,
   case when mime = 'text/html' then 'none' when mime like 'image/%' then 'image' when mime = 'application/zip' then 'unreadable'
     when n > 0 then 'images' when good then 'none' else 'pages' end track,
-  (case when mime like 'image/%' then 1 when mime = 'application/pdf' then n else 0 end)::bigint sections from j""",
+  (case when mime like 'image/%' then 1 when paged then case when big_file then coalesce(k, 1) else 1 end when mime = 'application/pdf' then n else 0 end)::bigint sections,
+  (case when mime like 'image/%' and big_file then 1 when paged and big_file then coalesce(big, 1) else 0 end)::bigint too_big from j""",
     "pack_pages__o27": page_packing(200),
     "pack_long_files__o27": page_packing(45),
     "distinct_images__o29": f'with {IMAGES} select doc_id, "object", page, place from image',
@@ -615,7 +617,7 @@ select doc_id, case when c in ('local', 'done', 'usable') then 'ready' when c =
   (case when c in ('usable', 'stopped', 'reading') then done when c in ('nothing_read', 'too_big', 'too_slow') then total else 0 end)::bigint done,
   (case when c in ('usable', 'stopped', 'reading', 'nothing_read', 'too_big', 'too_slow') then total else 0 end)::bigint total,
   c not in ('nothing_read', 'too_big', 'too_slow') keep_images, c in ('nothing', 'no_ai', 'too_large', 'usable', 'stopped', 'reading') keep_results from c""",
-    "stream_extract_state__s1": f"with {STATE} select * from folded",
+    "stream_extract_state__s1": f"with {STATE} select * from folded where doc_id in (select doc_id from documents)",
     "stream_graph_state__s2": GRAPHS,
     "failure_sentences__o23": f"""with e as (
   select event_id, {K} k, ['no_ai', 'too_large', 'unavailable', 'no_bytes', 'disabled', 'outage', 'timeout', 'other'][{K} % 8 + 1] c from events)

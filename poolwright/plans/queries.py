@@ -225,10 +225,12 @@ def read_plan(s: SparkSession, d: str) -> DataFrame:
         F.array(*[F.lit(m) for m in ("text/html", "image/png", "application/pdf", "application/pdf", "image/gif", "application/zip")]),
         (F.col("page_id") % 6 + 1).cast("int"),
     )
-    files = p.select(F.col("page_id").alias("doc_id"), mime.alias("mime"))
+    files = p.select(F.col("page_id").alias("doc_id"), mime.alias("mime"), F.octet_length("html").alias("bytes"))
     layer = p.select(F.col("page_id").alias("doc_id"), (ft.coherent("html") & (F.col("page_id") % 5 < 3)).alias("coherent"))
     images = i.table(s, d, "lineitem").select((F.col("l_suppkey") * 2).alias("doc_id"), F.col("l_partkey").alias("idx"))
-    return extraction.read_plan(files, layer, images)
+    # A supplier's order lines are the pages of one file without text and pictures of its own.
+    pages = i.pages_of_files(s, d).select((F.col("doc_id") * 6 - 3).alias("doc_id"), "page", (F.col("bytes") * 50).alias("bytes"))
+    return extraction.read_plan(files, layer, images, pages, 2000)
 
 
 def pack_pages(s: SparkSession, d: str) -> DataFrame:
@@ -724,7 +726,7 @@ def _events(s: SparkSession, d: str) -> DataFrame:
 
 
 def stream_extract_state(s: SparkSession, d: str) -> DataFrame:
-    return _state(_drain(jobs.extract_state(i.extract_events(_events(s, d))), ["doc_id"]))
+    return _state(_drain(jobs.extract_state(i.extract_events(_events(s, d)), docs=i.table(s, d, "documents")), ["doc_id"]))
 
 
 def stream_graph_state(s: SparkSession, d: str) -> DataFrame:

@@ -14,8 +14,13 @@ from poolwright.functions.files import clean_name, upload_kind
 from poolwright.operators.pool import latest
 
 
-def extract_state(events: DataFrame, order: tuple[str, ...] = ("t", "event_id")) -> DataFrame:
-    """Document state, updated as events arrive. Use output mode ``update``."""
+def extract_state(events: DataFrame, order: tuple[str, ...] = ("t", "event_id"), docs: DataFrame | None = None) -> DataFrame:
+    """Document state, updated as events arrive. Use output mode ``update``.
+
+    With ``docs`` (doc_id) events of unknown documents change nothing, as in ``fold_events``.
+    """
+    if docs is not None:
+        events = events.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
     return events.filter(F.col("state").isin(*STATES)).groupBy("doc_id").agg(*state_columns(order))
 
 

@@ -191,3 +191,21 @@ def test_no_bytes_of_files_in_an_exchange(spark):
     plan = ingest.judge_uploads(parts)._jdf.queryExecution().optimizedPlan().toString()
     below = plan[plan.index("Join") :].split("\n")
     assert not any("data#" in line and line.strip(" :+-").startswith(("Join", "Window", "Aggregate")) for line in below)
+
+
+def test_plan_with_sizes(spark):
+    pdf = "application/pdf"
+    files = spark.createDataFrame(
+        [(1, "text/plain", 10**9), (2, "image/png", 100), (3, "image/png", 101), (4, pdf, 100), (5, pdf, 1000), (6, pdf, 101), (7, pdf, 10**9), (8, pdf, 10**9), (9, "x/y", 1), (10, pdf, 101)],
+        "doc_id long, mime string, bytes long",
+    )
+    layer = spark.createDataFrame([(7, True), (8, False)], "doc_id long, coherent boolean")
+    images = spark.createDataFrame([(8, 0), (8, 1)], "doc_id long, idx int")
+    pages = spark.createDataFrame([(5, 1, 60), (5, 2, 40), (5, 3, 500), (5, 4, 1), (4, 1, 100), (10, 1, 101), (1, 1, 5)], "doc_id long, page long, bytes long")
+    got = {r.doc_id: tuple(r)[1:] for r in extraction.read_plan(files, layer, images, pages, 100).collect()}
+    assert got == {
+        1: ("text-layer", "none", 0, 0), 2: ("", "image", 1, 0), 3: ("", "image", 1, 1), 4: ("", "pages", 1, 0), 5: ("", "pages", 3, 1),
+        6: ("", "pages", 1, 1), 7: ("text-layer", "none", 0, 0), 8: ("", "images", 2, 0), 9: ("", "unreadable", 0, 0), 10: ("", "pages", 1, 1),
+    }
+    plain = {r.doc_id: (r.sections, r.too_big) for r in extraction.read_plan(files, layer, images, budget=100).collect()}
+    assert plain[5] == (1, 1) and plain[4] == (1, 0)
