@@ -181,7 +181,7 @@ def test_another_plan_starts_anew_and_a_pass_can_be_repeated(spark, tmp_path):
 
 
 def test_first_rows_refuses_what_spark_would_not_cut(spark):
-    rows = spark.range(10).withColumn("k", F.col("id") % 2)
+    rows = spark.range(50_000).withColumn("k", F.col("id") % 2)  # more rows than the limit, else Spark has no need to cut
     with pytest.raises(ValueError):
         first_rows(rows, ["k"], ["id"], 1001)
     plan = first_rows(rows, ["k"], ["id"], grounding.ROUND_UNITS)._jdf.queryExecution().executedPlan().toString()
