@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import Window, functions as F
 
-from poolwright.operators.ordering import first_rows, running
+from poolwright.operators.ordering import HOT, first_rows, joined_by_share, running
 from poolwright.session import scratch_folder
 
 
@@ -34,6 +34,18 @@ def test_first_rows_are_cut_before_the_shuffle(spark):
     assert "WindowGroupLimit" in plan and "Partial" in plan
 
 
+def test_rows_learn_of_large_and_small_groups(spark):
+    """A third of the rows has one key, most keys have one row; no key of the shuffled side has a large share."""
+    rows = spark.range(6000).select(F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id")).alias("k"), "id")
+    groups = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
+    out = joined_by_share(rows, groups, ["k"], "n")
+    want = rows.join(groups, "k").select("k", "id", "n", "first")
+    assert sorted(out.select("k", "id", "n", "first").collect()) == sorted(want.collect())
+    assert groups.filter(F.col("n") * HOT > 6000).count() == 1
+    assert "BroadcastHashJoin" in out._jdf.queryExecution().executedPlan().toString()
+    assert joined_by_share(rows.limit(0), groups.limit(0), ["k"], "n").count() == 0
+
+
 def test_scratch_folder_follows_the_session(spark):
     class Session:
         class conf:
