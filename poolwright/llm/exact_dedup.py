@@ -3,13 +3,17 @@
 A text is cut into chunks. Each chunk has a hash (two polynomials modulo primes
 below 2^31) and a shift (the base to the power of its length), and the hash of two
 neighbours is ``left * shift(right) + right``. The rule is associative, so chunks of
-a huge document can be hashed apart, in any grouping, and combined in order.
+a huge document can be hashed apart, in any grouping, and combined in order: a text
+of more than ``SPREAD`` chunks is cut into blocks of so many, the blocks of all such
+texts are dealt over tasks and hashed there, and ``FAN`` neighbours at a time are
+combined until one is left. What one row sees of a text is its normalising and SHA-256.
 
 Equal fingerprints are no proof. Documents that share one are compared chunk by
 chunk: the smallest and the largest chunk at each place of a fingerprint must be
 the same bytes. These two combine in each map task, so a group that holds a third
 of all rows reaches the shuffle as one row per task and place. Fingerprints that
-fail are grouped by the texts themselves.
+fail are grouped by the texts themselves. Rows learn of their group by
+``joined_by_share``, so that a large group is not one task's either.
 
 Defined cases: a null text counts as empty; of equal texts the smallest doc_id
 stays, a null doc_id only if there is no other; of repeated rows with one doc_id
@@ -24,10 +28,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from poolwright.operators.ordering import joined_by_share
 from poolwright.llm.common import SPACE, may_hold, packed, row_key, small_batches, table, without
 from poolwright.session import materialize
 
 CHUNK = 16_384
+SPREAD = 4
+FAN = 256
+#: No string of Spark has more bytes, so the number of levels of ``FAN`` is known.
+LONGEST = 1 << 31
+FP = ["n", "h1", "h2"]
 PRIMES = (2_147_483_647, 2_147_483_629)
 BASES = (1_000_003, 777_767_777)
 CHUNK_TYPE = "array<struct<n:bigint,h1:bigint,s1:bigint,h2:bigint,s2:bigint>>"
@@ -98,29 +108,65 @@ def chunk_hashes(text: Column, chunk: int = CHUNK, primes=PRIMES, bases=BASES) -
 
 
 def combined(chunks: Column, primes=PRIMES) -> Column:
-    """The fingerprint (n, h1, h2) of chunks in order: shift what is there, add the next."""
-    start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("h1"), F.lit(0).cast("long").alias("h2"))
+    """Chunks in order as one (n, h1, s1, h2, s2): shift what is there, add the next."""
+    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+    start = F.struct(zero.alias("n"), zero.alias("h1"), one.alias("s1"), zero.alias("h2"), one.alias("s2"))
 
     def append(a, c):
         return F.struct(
             (a["n"] + c["n"]).alias("n"),
             ((a["h1"] * c["s1"] + c["h1"]) % primes[0]).alias("h1"),
+            (a["s1"] * c["s1"] % primes[0]).alias("s1"),
             ((a["h2"] * c["s2"] + c["h2"]) % primes[1]).alias("h2"),
+            (a["s2"] * c["s2"] % primes[1]).alias("s2"),
         )
 
     return F.aggregate(chunks, start, append)
 
 
-def fingerprints(docs: DataFrame, doc_id: str, text: str, chunk: int, primes, bases) -> DataFrame:
-    """One narrow row per document: _id, _row, _sha, n, h1, h2."""
-    return (
-        docs.select(F.col(doc_id).alias("_id"), row_key(doc_id, text).alias("_row"), normalised(text).alias("_text"))
-        .select("_id", "_row", F.sha2("_text", 256).alias("_sha"), combined(chunk_hashes(F.col("_text"), chunk, primes, bases), primes).alias("_f"))
-        .select("_id", "_row", "_sha", "_f.*")
+def blocks_hashed(texts: DataFrame, chunk: int = CHUNK, primes=PRIMES, bases=BASES, spread: int = SPREAD) -> DataFrame:
+    """The blocks of texts (_row, _text), hashed wherever they fall: _row, _at (from 0), _f.
+
+    Rows that share a _row are equal in text; each of their blocks comes once.
+    """
+    size = spread * chunk
+    data = texts.select("_row", F.col("_text").cast("binary").alias("_data"))
+    last = F.greatest(F.lit(0), F.floor((F.length("_data") - 1) / size).cast("int"))
+    blocks = (
+        data.select("_row", F.explode(F.sequence(F.lit(0), last)).alias("_at"), "_data")
+        .select("_row", "_at", F.substring("_data", F.col("_at") * size + 1, F.lit(size)).alias("_block"))
+        .repartition("_row", "_at")
     )
+    hashed = blocks.select("_row", "_at", combined(chunk_hashes(F.col("_block"), chunk, primes, bases), primes).alias("_f"))
+    return hashed.groupBy("_row", "_at").agg(F.min("_f").alias("_f"))
 
 
-FP = ["n", "h1", "h2"]
+def folded(blocks: DataFrame, primes=PRIMES, size: int = SPREAD * CHUNK, fan: int = FAN) -> DataFrame:
+    """Blocks (_row, _at, _f) as one _f per _row: ``fan`` neighbours become one, level by level."""
+    left = -(-LONGEST // size)
+    while left > 1:
+        near = F.transform(F.sort_array(F.collect_list(F.struct("_at", "_f"))), lambda b: b["_f"])  # at most ``fan``
+        blocks = blocks.groupBy("_row", F.expr(f"_at div {fan}").cast("int").alias("_to")).agg(combined(near, primes).alias("_f"))
+        blocks = blocks.withColumnRenamed("_to", "_at")
+        left = -(-left // fan)
+    return blocks.select("_row", "_f")
+
+
+def fingerprints(docs: DataFrame, doc_id: str, text: str, chunk: int, primes, bases, spread: int = SPREAD) -> DataFrame:
+    """One narrow row per document: _id, _row, _sha, n, h1, h2."""
+    # Normalising never makes a text longer, so its own length tells where blocks are needed.
+    long = F.coalesce(F.octet_length(text) > spread * chunk, F.lit(False))
+    key = row_key(doc_id, text).alias("_row")
+    near = F.when(F.col("_long"), F.lit("")).otherwise(F.col("_text"))
+    marks = materialize(
+        docs.select(F.col(doc_id).alias("_id"), key, normalised(text).alias("_text"), long.alias("_long"))
+        .select("_id", "_row", "_long", F.sha2("_text", 256).alias("_sha"), combined(chunk_hashes(near, chunk, primes, bases), primes).alias("_f"))
+    )
+    asked = docs.filter(long).select(key, normalised(text).alias("_text"))
+    far = materialize(folded(blocks_hashed(asked, chunk, primes, bases, spread), primes, spread * chunk))
+    columns = ["_id", "_row", "_sha", *[F.col("_f")[c].alias(c) for c in FP]]
+    spread_out = marks.filter("_long").drop("_f").join(far, "_row")
+    return marks.filter("not _long").select(columns).unionByName(spread_out.select(columns))
 
 
 def _keeper() -> list[Column]:
@@ -130,17 +176,17 @@ def _keeper() -> list[Column]:
 
 def groups(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
-    chunk: int = CHUNK, primes: tuple[int, int] = PRIMES, bases: tuple[int, int] = BASES,
+    chunk: int = CHUNK, primes: tuple[int, int] = PRIMES, bases: tuple[int, int] = BASES, spread: int = SPREAD,
 ) -> DataFrame:
     """One row per document: _id, _row, keep_id, group_size, kept, text_sha256."""
     small_batches(docs.sparkSession)
-    marks = materialize(fingerprints(docs, doc_id, text, chunk, primes, bases))
+    marks = materialize(fingerprints(docs, doc_id, text, chunk, primes, bases, spread))
     shared = materialize(marks.groupBy(*FP).agg(*_keeper()))
+    known = materialize(joined_by_share(marks, shared, FP, "group_size"))
 
     # The texts that share a fingerprint, met by row and not by fingerprint: even parts.
-    suspects = marks.join(shared.filter("group_size > 1").select(*FP), FP, "left_semi").select("_row", *FP).distinct()
+    suspects = materialize(known.filter("group_size > 1").select("_row", *FP).distinct())
     texts = docs.select(row_key(doc_id, text).alias("_row"), normalised(text).alias("_text"))
-    suspects = materialize(suspects)
     asked = may_hold(packed(docs, _row=row_key(doc_id, text), _text=text).drop("_in"), "_row", suspects).filter("_may")
     pieces = (
         asked.select("_row", normalised("_text").alias("_text")).join(suspects.hint("merge"), "_row")
@@ -153,14 +199,14 @@ def groups(
         .filter("_a <> _b").select(*FP).distinct()
     )
     if differ.isEmpty():  # no two texts under one fingerprint
-        named = marks.join(shared, FP).withColumn("_part", F.lit(""))
+        named = known
     else:
         split = materialize(
             texts.join(marks.select("_row", "_id", *FP).join(differ, FP), "_row")
         )
         owners = split.groupBy(*FP, "_text").agg(*_keeper())
         exact = split.join(owners, [*FP, "_text"]).select("_id", "_row", "keep_id", "group_size").distinct()
-        clean = marks.join(differ, FP, "left_anti").join(shared, FP)
+        clean = known.join(differ, FP, "left_anti")
         torn = marks.join(differ, FP, "left_semi").join(exact.drop("_id"), "_row")
         columns = ["_id", "_row", "_sha", *FP, "keep_id", "group_size"]
         named = clean.select(columns).unionByName(torn.select(columns))

@@ -1,12 +1,13 @@
 """Sharding by proportional stratified interleaving.
 
 The rows of each source are ranked in the order of a seeded digest. A row of rank r
-among n has the place (r - 1/2) / n; sorting all rows by place interleaves the
-sources in proportion, and equal cuts of that order give shards whose sizes differ
-by at most one row and which all match the mixture.
+among n has the place (r - u) / n, where u between 0 and 1 comes from its digest;
+sorting all rows by place interleaves the sources in proportion, and equal cuts of
+that order give shards whose sizes differ by at most one row and which all match the
+mixture. With u sources of few rows lie anywhere, not all in the middle.
 
 Both orders are laid out in buckets: the first by a digest, the second by place,
-which is uniform by construction. Buckets hold about ``rows_each`` rows however
+which is uniform for large and for small sources. Buckets hold about ``rows_each`` rows however
 large a source is, counts of buckets give where each starts, and only a bucket is
 sorted in one task. Only narrow rows move.
 
@@ -55,9 +56,11 @@ def assign_shards(
         .withColumn("_bucket", F.floor(F.conv(F.substring("_digest", 1, 8), 16, 10).cast("double") * F.lit(buckets / 2.0**32)).cast("int"))
     )
     ranked = _ranked(rows, ["_stratum"], "_bucket", ["_digest", "_tie"], "_rank")
-    placed = ranked.withColumn("_place", (F.col("_rank") - 0.5) / F.col("_n"))
+    # bits of the digest that had no part in the order of buckets
+    inside = (F.conv(F.substring("_digest", 9, 8), 16, 10).cast("double") + 0.5) / F.lit(2.0**32)
+    placed = ranked.withColumn("_place", (F.col("_rank") - inside) / F.col("_n"))
     placed = materialize(
-        placed.withColumn("_bucket", F.floor(F.col("_place") * buckets).cast("int")).drop("_n", "_rank").withColumn("_all", F.lit(0))
+        placed.withColumn("_bucket", F.least(F.lit(buckets - 1), F.floor(F.col("_place") * buckets).cast("int"))).drop("_n", "_rank").withColumn("_all", F.lit(0))
     )
     ordered = _ranked(placed, ["_all"], "_bucket", ["_place", "_stratum", "_digest", "_tie"], "_at")
     at = F.col("_at") - 1

@@ -56,6 +56,46 @@ def test_fingerprints_compose():
     assert exact_dedup.fingerprint_of(b"\0") != exact_dedup.fingerprint_of(b"\0\0")
 
 
+def test_blocks_of_one_text_are_hashed_in_many_tasks(spark):
+    """A long text's blocks lie in several tasks, and together they give the fingerprint of the whole."""
+    rng = random.Random(4)
+    long = "".join(rng.choice("abc é") for _ in range(4000))
+    rows = [(1, long), (2, long), (2, long), (3, long[:-1]), (4, "short"), (None, long), (5, ""), (6, None), (7, " " * 900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    texts = docs.select(exact_dedup.row_key("doc_id", "text").alias("_row"), exact_dedup.normalised("text").alias("_text"))
+    blocks = exact_dedup.blocks_hashed(texts.filter("_row like '1:%'"), 8, spread=4)
+    n_bytes = len(re.sub(r"[\x20\x09-\x0D]+", " ", long).encode())
+    assert blocks.count() == -(-n_bytes // 32)
+    merging = "spark.sql.adaptive.coalescePartitions.enabled"  # would make one task of so few bytes
+    before = spark.conf.get(merging)
+    spark.conf.set(merging, "false")
+    try:
+        tasks = exact_dedup.blocks_hashed(texts.filter("_row like '1:%'"), 8, spread=4).withColumn("_task", F.spark_partition_id())
+        assert tasks.select("_task").distinct().count() > 1
+    finally:
+        spark.conf.set(merging, before)
+    for size, fan in ((32, 2), (32, 3), (32, 256)):
+        f = exact_dedup.folded(blocks, size=size, fan=fan).collect()[0]["_f"]
+        assert (f["n"], f["h1"], f["h2"]) == exact_dedup.fingerprint_of(re.sub(r"[\x20\x09-\x0D]+", " ", long).encode(), chunk=8)
+    got = exact_dedup.fingerprints(docs, "doc_id", "text", 8, exact_dedup.PRIMES, exact_dedup.BASES, 4).collect()
+    want = [(i, exact_dedup.fingerprint_of(re.sub(r"[\x20\x09-\x0D]+", " ", t or "").encode(), chunk=8)) for i, t in rows]
+    order = lambda x: (x[0] is None, x)
+    assert sorted(((r["_id"], (r["n"], r["h1"], r["h2"])) for r in got), key=order) == sorted(want, key=order)
+    sizes = {r["_id"]: (r["keep_id"], r["group_size"]) for r in exact_dedup.groups(docs, chunk=8, spread=4).collect()}
+    assert sizes[1] == sizes[2] == sizes[None] == (1, 4) and sizes[3] == (3, 1) and sizes[5] == (5, 2)
+
+
+def test_many_small_sources_spread_over_places(spark):
+    """Sources of one row do not all lie in the middle of the order."""
+    docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 1000, "big").otherwise(F.col("id").cast("string")).alias("source"))
+    rows = sharding.assign_shards(docs, 8, least_buckets=16).collect()
+    per = Counter(r["_shard"] for r in rows)
+    small = Counter(r["_shard"] for r in rows if r["source"] != "big")
+    big = Counter(r["_shard"] for r in rows if r["source"] == "big")
+    assert set(per.values()) == {500}
+    assert all(330 < small[s] < 420 and 80 < big[s] < 170 for s in range(8))
+
+
 def test_colliding_fingerprints(spark):
     rng = random.Random(2)
     rows = [(i, "".join(rng.choice("ab ") for _ in range(rng.randrange(0, 8)))) for i in range(200)] + [(7, "ab"), (500, None)]
