@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from poolwright.functions.text import byte_len, paragraphs, query_terms
+from poolwright.operators.ordering import joined_by_share
+from poolwright.session import materialize
 
 SEPARATOR = "\n\n"
+#: Questions that meet a document's text in one row.
+ASKED_AT_ONCE = 1_000
 
 
 def split_paragraphs(docs: DataFrame, delimiter: str = "\n\n", text: str = "text") -> DataFrame:
@@ -22,7 +26,7 @@ def question_terms(questions: DataFrame, text: str = "text") -> DataFrame:
 
 
 def request_features(
-    docs: DataFrame, questions: DataFrame, requests: DataFrame, delimiter: str = "\n\n"
+    docs: DataFrame, questions: DataFrame, requests: DataFrame, delimiter: str = "\n\n", at_once: int = ASKED_AT_ONCE
 ) -> DataFrame:
     """The paragraphs of each requested document, scored for the question: question_id, doc_id, paras.
 
@@ -30,12 +34,20 @@ def request_features(
     pairs to work on. ``paras`` is ``array<struct<neg, idx, bytes>>`` in rank order: score
     descending (``neg`` is the score below zero), then reading order.
 
-    The questions about a document meet it in one row: its text is shuffled, split and
-    lower-cased once, however many there are, and each is scored in that pass.
+    About ``at_once`` questions meet a document in one row: its text is split and lower-cased once
+    for them, and each is scored in that pass. A document that more ask about has a row for each
+    chunk of questions (a hash of the question says which), and its rows are dealt over tasks. A
+    request that is repeated is scored once and returned as often as it was made; one without a
+    document finds none.
     """
     asked = question_terms(questions.select("question_id", "text"))
-    pairs = requests.select("question_id", "doc_id").join(asked, "question_id")
-    per_doc = pairs.groupBy("doc_id").agg(F.collect_list(F.struct("question_id", "terms")).alias("_asked"))
+    wanted = requests.filter(F.col("doc_id").isNotNull()).groupBy("question_id", "doc_id")
+    pairs = materialize(wanted.agg(F.count(F.lit(1)).cast("int").alias("_times")))
+    sizes = materialize(pairs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).withColumn("_k", F.ceil(F.col("_n") / at_once)))
+    chunk = F.pmod(F.xxhash64("question_id"), F.col("_k")).alias("_c")
+    known = joined_by_share(pairs, sizes, ["doc_id"], "_n").join(asked, "question_id")
+    per_chunk = known.groupBy("doc_id", "_k", chunk).agg(F.collect_list(F.struct("question_id", "terms", "_times")).alias("_asked"))
+    per_chunk = materialize(per_chunk)
     pieces = F.transform(
         paragraphs("text", delimiter),
         lambda p: F.struct(byte_len(p).alias("bytes"), F.lower(p).alias("lower")),
@@ -58,12 +70,18 @@ def request_features(
         F.array(pieces),
         lambda paras: F.transform(
             F.col("_asked"),
-            lambda q: F.struct(q["question_id"].alias("question_id"), scored(paras, q["terms"]).alias("paras")),
+            lambda q: F.struct(q["question_id"].alias("question_id"), q["_times"].alias("_times"), scored(paras, q["terms"]).alias("paras")),
         ),
     )
-    met = docs.select("doc_id", "text").hint("shuffle_hash").join(per_doc.hint("shuffle_hash"), "doc_id")
-    rows = met.select("doc_id", F.explode_outer(F.element_at(each, 1)).alias("_q"))
-    return rows.filter("_q is not null").select("_q.question_id", "doc_id", "_q.paras")
+    text = docs.select("doc_id", "text")
+    once = text.join(per_chunk.filter("_k = 1").select("doc_id", "_asked"), "doc_id")
+    dealt = text.join(sizes.filter("_k > 1").select("doc_id", "_k"), "doc_id").select("doc_id", "text", F.explode(F.expr("sequence(0L, _k - 1)")).alias("_c"))
+    often = dealt.join(per_chunk.filter("_k > 1").select("doc_id", "_c", "_asked"), ["doc_id", "_c"]).drop("_c")
+    met = once.unionByName(often)
+    rows = met.select("doc_id", F.explode_outer(F.element_at(each, 1)).alias("_q")).filter("_q is not null")
+    repeats = F.array_repeat(F.lit(0), F.col("_q._times") - 1)
+    first = rows.select("_q.question_id", "doc_id", "_q.paras", repeats.alias("_more"))
+    return first.select("question_id", "doc_id", "paras", F.explode(F.concat(F.array(F.lit(0)), "_more"))).drop("col")
 
 
 def _each(feats: DataFrame, value: Column) -> DataFrame:

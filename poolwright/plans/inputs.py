@@ -71,7 +71,7 @@ def questions(spark: SparkSession, folder: str) -> DataFrame:
 
 def requests(spark: SparkSession, folder: str) -> DataFrame:
     """One question about every document, the questions taken in turn."""
-    n = table(spark, folder, "benchmark").count()
+    n = max(1, table(spark, folder, "benchmark").count())
     docs = table(spark, folder, "documents")
     return docs.select((F.col("doc_id") % n).alias("question_id"), "doc_id")
 

@@ -645,6 +645,6 @@ fired as (select *, not ended and deadline > 0 and deadline <= (select max(t) fr
 select doc_id, idx::int idx, case when due then (case when late = 1 then 'too_slow' else 'timeout' end) else outcome end outcome,
   (case when due then late + 1 else attempts end)::int attempts from fired where due or outcome is not null""",
     "stream_new_files__s5": """select url path, "name", case when lower("name") like '%.md' or lower("name") like '%.markdown' then 'text/markdown'
-  when lower("name") like '%.csv' then 'text/csv' else 'text/plain; charset=utf-8' end mime
-from (select distinct url, case when regexp_extract(url, '([^/]*)$', 1) = '' then 'file' else regexp_extract(url, '([^/]*)$', 1) end "name" from pages)""",
+  when lower("name") like '%.csv' then 'text/csv' else 'text/plain; charset=utf-8' end mime, size
+from (select url, arg_max(strlen(html), page_id)::bigint size, case when regexp_extract(url, '([^/]*)$', 1) = '' then 'file' else regexp_extract(url, '([^/]*)$', 1) end "name" from pages group by url)""",
 }

@@ -77,7 +77,10 @@ def replace_by_owner(s: SparkSession, d: str) -> DataFrame:
     base = i.messages(s, d).select("owner", "turn", "role", "text")
     owners = base.filter(F.col("role") == "system").select("owner")
     new = base.filter(F.col("role") == "user").withColumn("text", F.concat(F.lit("new "), "text"))
-    return chat.replace_by_owner(base, new, owners)
+    path = f"{run_folder(s)}/{uuid.uuid4().hex}"
+    tables.write_owned(base, path)
+    tables.replace_owned(s, path, new, owners)
+    return tables.read_owned(s, path)
 
 
 def cascade_delete(s: SparkSession, d: str) -> DataFrame:
@@ -739,7 +742,10 @@ def stream_new_files(s: SparkSession, d: str) -> DataFrame:
         F.col("url").alias("path"), F.timestamp_seconds(F.col("page_id") + NOW).alias("modificationTime"),
         F.octet_length("html").cast("long").alias("length"), F.encode("html", "UTF-8").alias("content"),
     )
-    return _drain(jobs.new_files(files, "365 days"), ["path"], "append").select("path", "name", "mime")
+    home = f"{run_folder(s)}/stream-{uuid.uuid4().hex}"
+    q = jobs.upsert_into(jobs.judged_files(files), f"{home}/out", f"{home}/checkpoint").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return jobs.upserted(s, f"{home}/out").select("path", "name", "mime", "size")
 
 
 def stream_section_progress(s: SparkSession, d: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -33,40 +33,57 @@ BINARY_FILE = "path string, modificationTime timestamp, length long, content bin
 
 
 def arriving_files(spark: SparkSession, path: str) -> DataFrame:
-    """A stream of the files that appear in a folder."""
+    """A stream of the files that appear in a folder.
+
+    Spark sees each path once: a new version of a file has to come under another path.
+    """
     return spark.readStream.format("binaryFile").schema(BINARY_FILE).load(path)
 
 
-def new_files(files: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """Newly arrived files, judged: name, mime, reason, size, seen once within ``delay``.
+def judged_files(files: DataFrame) -> DataFrame:
+    """Arriving files, judged: path, name, size, modificationTime, mime, reason.
 
     ``files``: path, modificationTime, length, content, as the binaryFile stream gives them.
     """
     name = clean_name(F.regexp_extract("path", "([^/]*)$", 1))
     kind = upload_kind(name, "content")
     # Judged before the rows meet: the bytes do not travel.
-    judged = files.select(
+    return files.select(
         "path", name.alias("name"), F.col("length").alias("size"), "modificationTime", kind.alias("_k")
     ).select("path", "name", "size", "modificationTime", "_k.mime", "_k.reason")
-    return judged.withWatermark("modificationTime", delay).dropDuplicatesWithinWatermark(["path"])
 
 
-def upsert_into(stream: DataFrame, path: str, checkpoint: str, key: str = "path") -> DataStreamWriter:
+def new_files(files: DataFrame, delay: str = "1 hour") -> DataFrame:
+    """``judged_files`` with each path once within ``delay``, for those who want a file's arrival and no later version."""
+    return judged_files(files).withWatermark("modificationTime", delay).dropDuplicatesWithinWatermark(["path"])
+
+
+def upsert_into(
+    stream: DataFrame, path: str, checkpoint: str, key: str = "path", order: tuple[str, ...] = ("modificationTime",)
+) -> DataStreamWriter:
     """Write each micro-batch to its own folder of ``path``; ``upserted`` reads the table.
 
-    A batch that is run again after a failure overwrites its own folder only, so the table
-    holds every row once; a key that comes again is a later row of the same key.
+    Of the rows of one key in a batch the last by ``order`` is written. A batch that is run again
+    after a failure overwrites its own folder only, so the table holds every row once.
     """
+    return stream.writeStream.foreachBatch(epoch_writer(path, key, order)).option("checkpointLocation", checkpoint)
+
+
+def epoch_writer(path: str, key: str, order: tuple[str, ...]) -> Callable[[DataFrame, int], None]:
+    """What ``upsert_into`` does with a micro-batch and its epoch."""
 
     def write(batch: DataFrame, epoch: int) -> None:
-        batch.dropDuplicates([key]).write.mode("overwrite").parquet(f"{path}/batch={epoch}")
+        latest(batch, [key], list(order)).select(*batch.columns).write.mode("overwrite").parquet(f"{path}/batch={epoch}")
 
-    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return write
 
 
-def upserted(spark: SparkSession, path: str, key: str = "path") -> DataFrame:
-    """The table that ``upsert_into`` has written: the latest row of each key."""
-    return latest(spark.read.parquet(path), [key], ["batch"]).drop("batch")
+def upserted(spark: SparkSession, path: str, key: str = "path", order: tuple[str, ...] = ("modificationTime",)) -> DataFrame:
+    """The table that ``upsert_into`` has written: the last row of each key by ``order``, then by arrival.
+
+    So a late file never replaces a newer one, however the files fell into batches.
+    """
+    return latest(spark.read.parquet(path), [key], [*order, "batch"]).drop("batch")
 
 
 ROCKSDB = (

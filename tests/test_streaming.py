@@ -1,5 +1,6 @@
 """Streams give what the batch rules give."""
 
+import os
 import random
 import uuid
 
@@ -100,6 +101,32 @@ def test_ended_sections_leave_the_state(spark, tmp_path):
     assert [(r.doc_id, r.attempts) for r in seen if r.outcome == "late"] == [(1, 2)]
 
 
+def test_upserts_are_decided_by_time(spark, tmp_path):
+    """A key twice in a batch, a late older version, and an epoch that runs twice."""
+    out = str(tmp_path / "out")
+    schema = "path string, modificationTime long, size long"
+    first = spark.createDataFrame([("a", 5, 1), ("a", 9, 2), ("a", 7, 3), ("b", 1, 4)], schema)
+    late = spark.createDataFrame([("a", 8, 5), ("b", 2, 6), ("c", 1, 7)], schema)
+    write = jobs.epoch_writer(out, "path", ("modificationTime",))
+    for epoch, batch in ((0, first), (1, late), (1, late)):
+        write(batch, epoch)
+    assert spark.read.parquet(out).count() == 5
+    assert sorted((r.path, r.size) for r in jobs.upserted(spark, out).collect()) == [("a", 2), ("b", 6), ("c", 7)]
+
+
+def test_a_later_version_of_a_file_replaces_its_row(spark, tmp_path):
+    """Versions arrive in folders of their own and out of order; the name is the key and time decides."""
+    out, mark = str(tmp_path / "out"), str(tmp_path / "mark")
+    for folder, at, text in (("v2", 1_700_000_100, b"longer"), ("v1", 1_700_000_000, b"one"), ("v3", 1_700_000_200, b"longest")):
+        (tmp_path / "in" / folder).mkdir(parents=True)
+        (tmp_path / "in" / folder / "n.md").write_bytes(text)
+        os.utime(tmp_path / "in" / folder / "n.md", (at, at))
+        files = jobs.judged_files(jobs.arriving_files(spark, str(tmp_path / "in" / "*")))
+        jobs.upsert_into(files, out, mark, key="name").trigger(availableNow=True).start().awaitTermination()
+        got = [(r.name, r.size) for r in jobs.upserted(spark, out, key="name").collect()]
+        assert got == [("n.md", 7 if folder == "v3" else 6)]
+
+
 def test_new_files(spark, tmp_path):
     (tmp_path / "in").mkdir()
     for k in range(3):
