@@ -41,6 +41,7 @@ from pyspark.sql import DataFrame, functions as F
 from poolwright.llm.common import give_back, may_hold, row_key, small_batches, table, without
 from poolwright.llm.components import components
 from poolwright.llm.shingles import WIDTH, mix, shingle_sets
+from poolwright.operators.ordering import joined_by_share
 from poolwright.session import drop, materialize
 
 
@@ -262,7 +263,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     first = F.min(F.struct(F.col("_id").isNull(), "_id", "_row"))
     nodes = materialize(
         marks.filter("_node is not null").groupBy("_node")
-        .agg(F.min("_d").alias("_c"), first.alias("_first"))
+        .agg(F.min("_d").alias("_c"), first.alias("_first"), F.count(F.lit(1)).alias("_copies"))
     )
     own = marks.join(nodes.select("_c").hint("merge"), F.col("_d") == F.col("_c"))
     keyed = own.select("_c", F.explode("_bands").alias("_key"))
@@ -292,13 +293,15 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         labelled = members.join(labels, F.col("_c") == F.col("node"), "left").withColumn("_comp", F.coalesce("comp", "_c"))
         near = _candidates(labelled.drop("node", "comp"), s, nearest=False)
 
-    classes = nodes.join(labels, F.col("_c") == F.col("node"), "left").select("_node", "_first", F.coalesce("comp", "_c").alias("_comp"))
-    lowest = classes.groupBy("_comp").agg(F.min("_first").alias("_low"))
-    named = materialize(classes.join(lowest, "_comp").select("_node", F.col("_low._id").alias("_of"), F.col("_low._row").alias("_stays")))
-    return marks.join(named, "_node", "left").select(
-        "_id", "_row", "_n",
-        F.when(F.col("_node").isNull(), F.col("_id")).otherwise(F.col("_of")).alias("component_id"),
-        F.when(F.col("_node").isNull(), F.col("_row")).otherwise(F.col("_stays")).alias("keep_row"),
+    # Copies and components of any size: rows learn of theirs without meeting in one task.
+    known = nodes.join(labels, F.col("_c") == F.col("node"), "left")
+    classes = materialize(known.select("_node", "_first", "_copies", F.coalesce("comp", "_c").alias("_comp")))
+    lowest = materialize(classes.groupBy("_comp").agg(F.min("_first").alias("_low"), F.count(F.lit(1)).alias("_nodes")))
+    named = joined_by_share(classes, lowest, ["_comp"], "_nodes")
+    named = materialize(named.select("_node", "_copies", F.col("_low._id").alias("_of"), F.col("_low._row").alias("_stays")))
+    found = joined_by_share(marks.filter("_node is not null"), named, ["_node"], "_copies")
+    return found.select("_id", "_row", "_n", F.col("_of").alias("component_id"), F.col("_stays").alias("keep_row")).unionByName(
+        marks.filter("_node is null").select("_id", "_row", "_n", F.col("_id").alias("component_id"), F.col("_row").alias("keep_row"))
     )
 
 
