@@ -7,10 +7,11 @@ banded; documents that agree on a whole band meet in a bucket.
 
 1. Documents with the same set are one node, however many copies there are.
 2. Buckets with two nodes or more are laid out in units: chunks of at most about
-   ``unit_rows`` members against each other, so that a bucket of any size spreads
-   over tasks. A unit compares parity sketches. The parities of two sets differ in
-   no more places than the sets do, so the test loses no link, and hardly any pair
-   that is not one passes.
+   ``unit_rows`` members and ``unit_bytes`` of sketches against each other, so that a
+   bucket of any size spreads over tasks. A unit compares parity sketches. The parities
+   of two sets differ in no more places than the sets do, so the test loses no link, and
+   hardly any pair that is not one passes. A sketch has at least two bits for each
+   shingle, so that this holds for sets of every size; of two widths the wider is folded.
 3. Passing pairs are confirmed on the full shingle sets, and confirmed links make
    components. The first round lets each member name one partner per unit; the
    second one takes every passing pair between members of different components.
@@ -47,7 +48,10 @@ from poolwright.session import drop, materialize
 
 @dataclass(frozen=True)
 class Settings:
-    """permutations and rows set the bands; similarity is a fraction of integers."""
+    """permutations and rows set the bands; similarity is a fraction of integers.
+
+    ``sketch_bits``, a power of two of at least 64, is the narrowest sketch.
+    """
 
     width: int = WIDTH
     similarity: tuple[int, int] = (75, 100)
@@ -55,6 +59,7 @@ class Settings:
     rows: int = 5
     sketch_bits: int = 2048
     unit_rows: int = 1024
+    unit_bytes: int = 8 << 20
     few: int = 11
     seed: int = 1
 
@@ -101,8 +106,14 @@ def few_keys(tokens: np.ndarray, few: int) -> np.ndarray:
     return mix(own.sum() - np.concatenate(less))
 
 
-def parity_sketch(tokens: np.ndarray, bits: int) -> bytes:
-    """One bit per slot: whether an odd number of the shingles falls into it."""
+def parity_sketch(tokens: np.ndarray, least: int) -> bytes:
+    """One bit per slot: whether an odd number of the shingles falls into it.
+
+    The width is the first power of two from ``least`` on with two slots for each shingle.
+    """
+    bits = least
+    while bits < 2 * len(tokens):
+        bits *= 2
     slots = (mix(tokens + np.uint64(77)) >> np.uint64(20)) % np.uint64(bits)
     return np.packbits((np.bincount(slots.astype(np.int64), minlength=bits) & 1).astype(np.uint8)).tobytes()
 
@@ -171,31 +182,52 @@ def _confirm(similarity: tuple[int, int]):
     return run
 
 
+def _folded(sketches: np.ndarray, width: int) -> np.ndarray:
+    """Sketches (one a row, in 64-bit words) brought down to ``width`` words: slots that fall together add their parities."""
+    while sketches.shape[1] > width:
+        sketches = np.bitwise_xor(*np.split(sketches, 2, axis=1))
+    return sketches
+
+
 def _unit_pairs(similarity: tuple[int, int], nearest: bool):
     """Pairs of a unit whose sketches allow the similarity and whose components differ.
 
-    Sets of sizes m and n are similar enough only if they differ in at most
-    (whole - part) / (whole + part) of m + n places. Rows come sorted by unit; only
-    the rows of one unit are held.
+    Sets of sizes m and n are similar enough only if the smaller is at least part / whole
+    of the larger, and if they differ in at most (whole - part) / (whole + part) of m + n
+    places. Rows come sorted by unit; only the rows of one unit are held.
     """
     part, whole = similarity
 
     def pairs(rows: dict[str, np.ndarray]) -> list[tuple[int, int]]:
         found = []
         node, comp, n, sketch = rows["_c"], rows["_comp"], rows["_n"], rows["_sketch"]
-        left = np.flatnonzero(rows["_chunk"] == rows["_lo"])
+        words = np.fromiter(map(len, sketch), np.int64, len(sketch)) // 8
         right = np.flatnonzero(rows["_chunk"] == rows["_hi"])
         same = rows["_lo"][0] == rows["_hi"][0]
-        for k, i in enumerate(left):
-            j = right[k + 1 :] if same else right
-            j = j[comp[j] != comp[i]]
-            if not len(j):
-                continue
-            differ = np.bitwise_count(sketch[j] ^ sketch[i]).sum(1, dtype=np.int64)
-            j = j[differ * (whole + part) <= (whole - part) * (n[j] + n[i])]
-            if len(j):
-                others = [int(node[j].min())] if nearest else node[j].tolist()
-                found += [(int(node[i]), o) for o in others]
+        # The right side by width: its rows, and their sketches at each width that is asked for.
+        classes = []
+        for w in np.unique(words[right]):
+            at = right[words[right] == w]
+            classes.append((at, {int(w): np.frombuffer(b"".join(sketch[at]), np.uint64).reshape(len(at), w)}))
+        for i in np.flatnonzero(rows["_chunk"] == rows["_lo"]):
+            passed = []
+            for at, made in classes:
+                ask = (comp[at] != comp[i]) & (whole * np.minimum(n[at], n[i]) >= part * np.maximum(n[at], n[i]))
+                if same:
+                    ask &= at > i
+                if not ask.any():
+                    continue
+                own = int(max(made))
+                width = min(own, int(words[i]))
+                if width not in made:
+                    made[width] = _folded(made[own], width)
+                mine = _folded(np.frombuffer(sketch[i], np.uint64).reshape(1, -1), width)
+                j = at[ask]
+                differ = np.bitwise_count(made[width][ask] ^ mine).sum(1, dtype=np.int64)
+                passed.append(node[j[differ * (whole + part) <= (whole - part) * (n[j] + n[i])]])
+            others = np.concatenate(passed) if passed else node[:0]
+            if len(others):
+                found += [(int(node[i]), o) for o in ([int(others.min())] if nearest else others.tolist())]
         return found
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,10 +242,7 @@ def _unit_pairs(similarity: tuple[int, int], nearest: bool):
             if not batch.num_rows:
                 continue
             rows = {c: batch[c].to_numpy() for c in ("_key", "_lo", "_hi", "_chunk", "_c", "_comp", "_n")}
-            _, at, data = batch["_sketch"].buffers()
-            at = np.frombuffer(at, np.int32)[batch["_sketch"].offset :][: batch.num_rows + 1]
-            width = int(at[1] - at[0])
-            rows["_sketch"] = np.frombuffer(data, np.uint8)[at[0] : at[-1]].reshape(-1, width).view(np.uint64)
+            rows["_sketch"] = np.array(batch["_sketch"].to_pylist(), object)
             if held is not None:
                 rows = {c: np.concatenate([held[c], rows[c]]) for c in rows}
             new = (np.diff(rows["_key"]) != 0) | (np.diff(rows["_lo"]) != 0) | (np.diff(rows["_hi"]) != 0)
@@ -237,8 +266,12 @@ def _unit_pairs(similarity: tuple[int, int], nearest: bool):
 
 def _candidates(members: DataFrame, s: Settings, nearest: bool) -> DataFrame:
     """Passing pairs (a, b) of the buckets; members: _key, _c, _comp, _n, _sketch."""
-    sizes = members.groupBy("_key").agg(F.count(F.lit(1)).alias("_m"), F.min("_comp").alias("_c1"), F.max("_comp").alias("_c2"))
-    sizes = sizes.filter("_c1 <> _c2").select("_key", F.ceil(F.col("_m") / s.unit_rows).cast("int").alias("_chunks"))
+    sizes = members.groupBy("_key").agg(
+        F.count(F.lit(1)).alias("_m"), F.sum(F.octet_length("_sketch").cast("long")).alias("_bytes"),
+        F.min("_comp").alias("_c1"), F.max("_comp").alias("_c2"),
+    )
+    chunks = F.greatest(F.ceil(F.col("_m") / s.unit_rows), F.least("_m", F.ceil(F.col("_bytes") / s.unit_bytes)))
+    sizes = sizes.filter("_c1 <> _c2").select("_key", chunks.cast("int").alias("_chunks"))
     chunk = F.pmod(F.xxhash64("_c", F.lit(s.seed)), F.col("_chunks")).cast("int")
     units = (
         members.join(sizes, "_key")

@@ -389,6 +389,47 @@ def near_components(rows):
             return {i: (len(sets[i]), low[i]) for i in ids}
 
 
+def passing(sets, one=False):
+    """Pairs of sets (by place) that the sketches of one unit let pass."""
+    n = len(sets)
+    zero, chunk = [0] * n, [0] * n if one else [k % 2 for k in range(n)]
+    low, high = [0] * n, [0 if one else 1] * n
+    sketches = [minmax_dedup.parity_sketch(x, 2048) for x in sets]
+    cut = n // 3
+    rows = pa.table({
+        "_key": zero, "_lo": low, "_hi": high, "_chunk": chunk, "_c": list(range(n)), "_comp": list(range(n)), "_n": [len(x) for x in sets],
+        "_sketch": pa.array(sketches, pa.binary()),
+    })
+    batches = rows.slice(0, cut).to_batches() + rows.slice(cut).to_batches()
+    found = [b for b in minmax_dedup._unit_pairs((75, 100), nearest=False)(iter(batches))]
+    return {tuple(sorted(ab)) for b in found for ab in zip(b["a"].to_pylist(), b["b"].to_pylist(), strict=True)}
+
+
+def test_sketches_tell_long_texts_apart():
+    """Sets of 6,000 shingles, similar by 0.6: a sketch of one width let nearly all their pairs pass."""
+    rng = np.random.default_rng(9)
+    draw = lambda k: rng.integers(0, 1 << 63, k, dtype=np.uint64)
+    common = draw(4_500)
+    sets = [np.concatenate([common, draw(1_500)]) for _ in range(60)]
+    sets += [np.concatenate([sets[0][:5_900], draw(50)])]
+    found = passing(sets, one=True)
+    assert (0, 60) in found and len(found) < 0.01 * 61 * 60 / 2
+
+
+@pytest.mark.parametrize("one", [True, False])
+def test_sketches_of_different_widths_lose_no_link(one):
+    rng = np.random.default_rng(10)
+    base = rng.integers(0, 1 << 63, 9_000, dtype=np.uint64)
+    sets = [base[a : a + k] for k in (600, 1_000, 1_050, 1_300, 2_040, 2_060, 2_600, 4_000, 4_200, 8_000, 8_400) for a in (0, 5, 60, 300)]
+    linked = set()
+    for a, x in enumerate(sets):
+        for b in range(a + 1, len(sets)):
+            both = len(np.intersect1d(x, sets[b]))
+            if 100 * both >= 75 * (len(x) + len(sets[b]) - both) and (one or a % 2 != b % 2):
+                linked.add((a, b))
+    assert linked and linked <= passing(sets, one)
+
+
 @pytest.mark.parametrize("unit_rows", [5, 1024])
 def test_near_duplicates(spark, unit_rows):
     rng = random.Random(11)
@@ -400,7 +441,7 @@ def test_near_duplicates(spark, unit_rows):
             words[rng.randrange(len(words))] = f"Z{rng.randrange(9)}"
         rows.append((i, " ".join(words)))
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    out = minmax_dedup.near_duplicates(docs, settings=minmax_dedup.Settings(unit_rows=unit_rows))
+    out = minmax_dedup.near_duplicates(docs, settings=minmax_dedup.Settings(unit_rows=unit_rows, unit_bytes=256 * unit_rows))
     assert {r["_id"]: (r["_n"], r["component_id"]) for r in out.collect()} == near_components(rows)
 
 
