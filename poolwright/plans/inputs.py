@@ -6,9 +6,12 @@ documents with a log. Every mapping keeps all rows of its table.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from poolwright.operators.ordering import running
+from poolwright.session import run_folder
 
 SCHEMAS = {"documents": "doc_id long, text string, lang string, source string, n_chars long"}
 LINE = [
@@ -335,11 +338,10 @@ def messages(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def uploads(spark: SparkSession, folder: str) -> DataFrame:
-    """Pages as uploaded files, with the leading bytes of every kind of file in turn."""
-    p = table(spark, folder, "pages")
-    case = F.col("page_id") % 6
-    head = (
+def _head(number: Column) -> Column:
+    """The leading bytes of a kind of file, by turns."""
+    case = number % 6
+    return (
         F.when(case == 1, F.unhex(F.lit("89504E470D0A1A0A")))
         .when(case == 2, F.unhex(F.lit("255044462D")))
         .when(case == 3, F.unhex(F.lit("FFD8FF")))
@@ -347,7 +349,25 @@ def uploads(spark: SparkSession, folder: str) -> DataFrame:
         .when(case == 5, F.unhex(F.lit("0000")))
         .otherwise(F.unhex(F.lit("")))
     )
-    data = F.when(F.col("page_id") % 17 == 3, F.unhex(F.lit(""))).otherwise(F.concat(head, F.encode("html", "UTF-8")))
+
+
+def stored_files(spark: SparkSession, folder: str) -> str:
+    """Write the pages of each batch of 25 as one file and return the folder: batch=<n>/<name>.txt.
+
+    A file starts with the leading bytes of a kind of file; its pages follow in order, one line end behind each.
+    """
+    path = f"{run_folder(spark)}/files-{uuid.uuid4().hex}"
+    pages = table(spark, folder, "pages").select(F.floor(F.col("page_id") / 25).alias("batch"), "page_id", F.coalesce("html", F.lit("")).alias("html"))
+    batches = pages.groupBy("batch").agg(F.sort_array(F.collect_list(F.struct("page_id", "html"))).alias("_pages"))
+    text = F.concat(_head(F.col("batch")).cast("string"), F.array_join("_pages.html", "\n"))
+    batches.select("batch", text.alias("value")).write.partitionBy("batch").text(path)
+    return path
+
+
+def uploads(spark: SparkSession, folder: str) -> DataFrame:
+    """Pages as uploaded files, with the leading bytes of every kind of file in turn."""
+    p = table(spark, folder, "pages")
+    data = F.when(F.col("page_id") % 17 == 3, F.unhex(F.lit(""))).otherwise(F.concat(_head(F.col("page_id")), F.encode("html", "UTF-8")))
     ending = F.element_at(F.array(*[F.lit(e) for e in (".md", ".CSV", ".Markdown", "")]), (F.col("page_id") % 4 + 1).cast("int"))
     return p.select(
         F.floor(F.col("page_id") / 25).alias("batch"),

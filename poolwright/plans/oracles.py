@@ -307,6 +307,13 @@ told as (
   from kinded)"""
 
 
+#: The pages of a batch as one file, in hex.
+STORED = """stored as (
+  select batch, ['', '89504E470D0A1A0A', '255044462D', 'FFD8FF', '474946383961', '0000'][batch % 6 + 1]
+    || string_agg(hex(encode(html)), '0A' order by page_id) || '0A' hx
+  from (select page_id // 25 batch, page_id, html from pages) group by batch)"""
+
+
 def judged(batch: str, most: int) -> str:
     return f"""{UPLOAD},
 judged as (
@@ -366,6 +373,7 @@ select conv_id "owner", turn, role, text from conversations where conv_id not in
 union all select conv_id, turn, role, 'new ' || text from conversations where conv_id in (from o) and role = 'user'""",
     "cascade_delete__o6": f"""select doc_id, 'text' kept_in from documents where doc_id not in {GONE}
 union all select doc_id, 'label' from labels where doc_id not in {GONE}""",
+    "read_stored_files__o2": f"with {STORED} select batch, (len(hx) // 2)::bigint size, md5(unhex(hx)) digest from stored",
     "upload_kind__o7": f"with {UPLOAD} select ord, mime, refusal reason from told",
     "text_type__o8": f"""with {UPLOAD} select ord, case when lower("name") like '%.md' or lower("name") like '%.markdown' then 'text/markdown'
   when lower("name") like '%.csv' then 'text/csv' else 'text/plain; charset=utf-8' end mime from up""",
@@ -454,6 +462,7 @@ select doc_id, md5(case when mine = '' then theirs else {trim("rtrim(mine, chr(1
     "query_terms__o36b": f"""select 'b' "of", item_id id, array_to_string(list_sort({terms('text')}), ',') terms from benchmark
 union all select 'c', conv_id * 1000 + turn, array_to_string(list_sort({terms('text')}), ',') from conversations where role = 'user'""",
     "paragraph_scores__o36c": f"with {SCORED} select question_id, doc_id, idx, score::bigint score from scored where score > 0",
+    "indexed_scores__o36c": f"with {SCORED} select question_id, doc_id, idx, score::bigint score from scored where score > 0",
     "rank_paragraphs__o36d": f"with {SCORED} select question_id, doc_id, idx, place from ranked",
     "select_paragraphs__o36e": f"with recursive {SCORED}, {pick_walk('ranked', 'question_id, doc_id', 600)} select question_id, doc_id, used, array_to_string(chosen, ',') chosen from picked",
     "leading_text__o37": f"""with recursive para as (
@@ -644,6 +653,10 @@ last as (select *, row_number() over (partition by doc_id, idx order by n desc)
 fired as (select *, not ended and deadline > 0 and deadline <= (select max(t) from ev) - 60000 due from last where r = 1)
 select doc_id, idx::int idx, case when due then (case when late = 1 then 'too_slow' else 'timeout' end) else outcome end outcome,
   (case when due then late + 1 else attempts end)::int attempts from fired where due or outcome is not null""",
+    "stream_stored_files__s5": f"""with {STORED}
+select batch, (len(hx) // 2)::bigint size, mime,
+  case when mime = '' then 'files of type application/octet-stream can''t be read as room knowledge — upload an image, PDF, or text document' else '' end reason
+from (select *, ['text/plain; charset=utf-8', 'image/png', 'application/pdf', 'image/jpeg', 'image/gif', ''][batch % 6 + 1] mime from stored)""",
     "stream_new_files__s5": """select url path, "name", case when lower("name") like '%.md' or lower("name") like '%.markdown' then 'text/markdown'
   when lower("name") like '%.csv' then 'text/csv' else 'text/plain; charset=utf-8' end mime, size
 from (select url, arg_max(strlen(html), page_id)::bigint size, case when regexp_extract(url, '([^/]*)$', 1) = '' then 'file' else regexp_extract(url, '([^/]*)$', 1) end "name" from pages group by url)""",

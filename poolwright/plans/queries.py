@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from poolwright.functions import files as ff
 from poolwright.functions import text as ft
-from poolwright.operators import chat, extraction, graph, grounding, ingest, pool, reading, recognise, retrieval, turn
+from poolwright.operators import chat, extraction, graph, grounding, ingest, pool, reading, recognise, retrieval, term_index, turn
 from poolwright.plans import inputs as i
 from poolwright.session import materialize, run_folder, scratch_folder
 from poolwright.sources import tables
@@ -52,6 +52,16 @@ def read_uploaded_files(s: SparkSession, d: str) -> DataFrame:
     return i.uploads(s, d).select("batch", "ord", F.col("size").cast("long").alias("size"), F.md5("data").alias("digest"))
 
 
+def _batch_of(path: str) -> Column:
+    return F.regexp_extract(path, "batch=([0-9]+)", 1).cast("long").alias("batch")
+
+
+def read_stored_files(s: SparkSession, d: str) -> DataFrame:
+    """Every batch of pages as a file of the shared folder, read back through ``read_files``."""
+    files = tables.read_files(s, f"{i.stored_files(s, d)}/batch=*")
+    return files.select(_batch_of("path"), "size", F.md5("data").alias("digest"))
+
+
 def extract_view(s: SparkSession, d: str) -> DataFrame:
     docs = i.pool_docs(s, d)
     state = docs.filter(F.col("kind") == "file").select("doc_id", "state")
@@ -342,6 +352,13 @@ def paragraph_scores(s: SparkSession, d: str) -> DataFrame:
     return out.select("question_id", "doc_id", F.col("idx").cast("long").alias("idx"), F.col("score").cast("long").alias("score"))
 
 
+def indexed_scores(s: SparkSession, d: str) -> DataFrame:
+    path = f"{run_folder(s)}/index-{uuid.uuid4().hex}"
+    term_index.write_index(i.pool_texts(s, d), path, DELIMITER)
+    out = term_index.indexed_scores(term_index.read_index(s, path), i.questions(s, d), i.requests(s, d))
+    return out.select("question_id", "doc_id", F.col("idx").cast("long").alias("idx"), F.col("score").cast("long").alias("score"))
+
+
 def rank_paragraphs(s: SparkSession, d: str) -> DataFrame:
     out = retrieval.rank_paragraphs(i.pool_texts(s, d), i.questions(s, d), i.requests(s, d), DELIMITER)
     return out.select("question_id", "doc_id", F.col("idx").cast("long").alias("idx"), F.col("place").cast("long").alias("place"))
@@ -748,6 +765,14 @@ def stream_new_files(s: SparkSession, d: str) -> DataFrame:
     return jobs.upserted(s, f"{home}/out").select("path", "name", "mime", "size")
 
 
+def stream_stored_files(s: SparkSession, d: str) -> DataFrame:
+    """The files of ``read_stored_files`` as they arrive: judged by their bytes and upserted by path."""
+    files = jobs.judged_files(jobs.arriving_files(s, f"{i.stored_files(s, d)}/batch=*"))
+    home = f"{run_folder(s)}/stream-{uuid.uuid4().hex}"
+    jobs.upsert_into(files, f"{home}/out", f"{home}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return jobs.upserted(s, f"{home}/out").select(_batch_of("path"), "size", "mime", "reason")
+
+
 def stream_section_progress(s: SparkSession, d: str) -> DataFrame:
     kind = F.col("event_type")
     ev = _events(s, d).select(
@@ -765,6 +790,7 @@ def stream_section_progress(s: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "load_pool_documents__o1": load_pool_documents,
     "read_uploaded_files__o2": read_uploaded_files,
+    "read_stored_files__o2": read_stored_files,
     "extract_view__o3": extract_view,
     "apply_changes__o4": apply_changes,
     "replace_by_owner__o5": replace_by_owner,
@@ -800,6 +826,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "split_paragraphs__o36a": split_paragraphs,
     "query_terms__o36b": query_terms,
     "paragraph_scores__o36c": paragraph_scores,
+    "indexed_scores__o36c": indexed_scores,
     "rank_paragraphs__o36d": rank_paragraphs,
     "select_paragraphs__o36e": select_paragraphs,
     "leading_text__o37": leading_text,
@@ -844,4 +871,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "stream_graph_state__s2": stream_graph_state,
     "stream_section_progress__s3": stream_section_progress,
     "stream_new_files__s5": stream_new_files,
+    "stream_stored_files__s5": stream_stored_files,
 }

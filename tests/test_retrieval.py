@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from poolwright.operators import retrieval
+from poolwright.operators import retrieval, term_index
 
 WORDS = ["river", "stone", "cloud", "lamp", "garden", "winter"]
 
@@ -44,3 +44,40 @@ def test_no_row_takes_all_questions_of_a_document(asked):
     plan = retrieval.request_features(docs, questions, requests, at_once=7)._jdf.queryExecution().optimizedPlan().toString()
     assert "_c#" in plan and "shuffle_hash" not in plan
     assert requests.filter("doc_id = 3").agg(F.count("*")).first()[0] > 7
+
+
+def test_index_finds_what_a_search_finds(spark, tmp_path):
+    """Terms inside words, terms of which no word holds some letters, repeated requests, null and empty texts."""
+    rng = random.Random(8)
+    letters = ["".join(rng.choices("abc1", k=rng.randint(1, 7))) for _ in range(60)]
+    text = {d: "\n\n".join(rng.choice([" ", "-", "É"]).join(rng.choices(letters, k=5)).title() for _ in range(rng.randint(0, 4))) for d in range(15)}
+    terms = {q: " ".join({w[: rng.randint(2, 5)] for w in rng.sample(letters, 4)} | {"zzz", "abcd"}) for q in range(20)}
+    pairs = [(q, d) for q in range(20) for d in range(15)] + [(0, 1), (0, 1), (99, 1), (1, 99), (None, 1), (1, None), (1, 15)]
+    docs = spark.createDataFrame([*text.items(), (15, None), (16, "")], "doc_id long, text string").repartition(3)
+    questions = spark.createDataFrame([*terms.items(), (20, None)], "question_id long, text string")
+    requests = spark.createDataFrame(pairs, "question_id long, doc_id long")
+
+    def rows(df):
+        return sorted((r.question_id, r.doc_id, r.idx, r.score) for r in df.collect())
+
+    path = str(tmp_path / "index")
+    term_index.write_index(docs, path)
+    found = rows(term_index.indexed_scores(term_index.read_index(spark, path), questions, requests))
+    expected = []
+    for q, d in pairs:
+        paras = [p for p in text.get(d, "").split("\n\n") if p]
+        for k, p in enumerate(paras):
+            score = sum(t in p.lower() for t in set(terms.get(q, "").split()) if len(t) >= 3)
+            expected += [(q, d, k, score)] * (score > 0)
+    assert found == sorted(expected) and found == rows(retrieval.paragraph_scores(docs, questions, requests))
+
+
+def test_index_is_asked_without_texts(spark, tmp_path):
+    """No paragraph is searched: the plan reads postings and grams, and an empty index finds nothing."""
+    path = str(tmp_path / "none")
+    term_index.write_index(spark.createDataFrame([], "doc_id long, text string"), path)
+    questions = spark.createDataFrame([(1, "some river")], "question_id long, text string")
+    out = term_index.indexed_scores(term_index.read_index(spark, path), questions, spark.createDataFrame([(1, 1)], "question_id long, doc_id long"))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert out.count() == 0
+    assert not any(x in plan for x in ("_para", "CartesianProduct", "BroadcastNestedLoopJoin"))
