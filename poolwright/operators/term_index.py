@@ -74,8 +74,7 @@ def indexed_scores(index: TermIndex, questions: DataFrame, requests: DataFrame)
     wanted = pairs.join(asked, "question_id")
     found = materialize(words_with(index, asked))
     hits = joined_by_share(index.postings, found, ["word"], "n").select("doc_id", "idx", F.explode("terms").alias("term"))
-    # A paragraph counts a term once, whichever of its words hold it. The set is bounded by the document's paragraphs.
-    places = hits.groupBy("doc_id", "term").agg(F.collect_set("idx").alias("_at"))
-    scored = places.join(wanted, ["doc_id", "term"]).select("question_id", "doc_id", "_times", F.explode("_at").alias("idx"))
-    counts = scored.groupBy("question_id", "doc_id", "idx").agg(F.count(F.lit(1)).cast("int").alias("score"), F.first("_times").alias("_times"))
+    # A paragraph counts a term once, whichever of its words hold it.
+    scored = hits.join(wanted, ["doc_id", "term"]).select("question_id", "doc_id", "_times", "idx", "term").distinct()
+    counts = scored.groupBy("question_id", "doc_id", "idx", "_times").agg(F.count(F.lit(1)).cast("int").alias("score"))
     return counts.select("question_id", "doc_id", "idx", "score", F.explode(F.array_repeat(F.lit(0), F.col("_times")))).drop("col")
