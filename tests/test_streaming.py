@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from poolwright.operators import extraction, graph
-from poolwright.plans.queries import _drain
+from poolwright.plans.queries import QUERIES, _drain
 from poolwright.streaming import jobs
 from test_models import EVENTS, read_events
 
@@ -141,3 +141,13 @@ def test_new_files(spark, tmp_path):
         q.awaitTermination()
     got = {r.name: r.mime for r in spark.read.parquet(out).collect()}
     assert got == {"n0.md": "text/markdown", "n1.md": "text/markdown", "n2.md": "text/markdown", "b.bin": "", "later.pdf": "application/pdf"}
+
+
+def test_tables_in_several_files_stream_whole(spark, tmp_path):
+    """A table may be one file or a folder of part files, under any file system."""
+    one, many = "/root/testdata/sf0.001", str(tmp_path / "many")
+    for name in ("pages", "events", "documents"):
+        spark.read.parquet(f"{one}/{name}.parquet").repartition(3).write.parquet(f"{many}/{name}.parquet")
+    for query in ("stream_new_files__s5", "stream_graph_state__s2", "stream_extract_state__s1"):
+        want, got = (sorted(map(str, QUERIES[query](spark, d).collect())) for d in (one, many))
+        assert got and got == want
