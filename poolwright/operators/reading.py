@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from poolwright.functions.files import with_ending
 from poolwright.operators import extraction
 from poolwright.operators.recognise import NO_RECOGNISER, TOO_LARGE, few_at_once
+from poolwright.session import materialize
 
 KEY = ["doc_id", "total", "idx"]
 RESULTS = (
@@ -36,7 +37,7 @@ def ledger(spark: SparkSession, path: str, passes: int) -> DataFrame:
 
 
 def read_pass(sections: DataFrame, plans: DataFrame, recogniser: Callable, path: str, number: int, most: int = 2) -> DataFrame:
-    """Read what is left; returns the ledger after this pass.
+    """Read what is left; returns the ledger after this pass, stored.
 
     ``sections``: doc_id, idx, title, label, mime, data, too_big, track, page, note. ``plans``: doc_id, total, has_text, has_ai.
     ``recogniser() -> read(name, mime, data, attempt) -> (text, engine, model)``; ``attempt`` counts from 0 and lets a second
@@ -45,7 +46,7 @@ def read_pass(sections: DataFrame, plans: DataFrame, recogniser: Callable, path:
     named as unread; of other documents nothing is read.
     """
     spark = sections.sparkSession
-    stored = ledger(spark, path, number - 1)
+    stored = materialize(ledger(spark, path, number - 1))
     final = stored.filter(~F.col("outcome").isin(*extraction.OPEN))
     planned = sections.join(plans.select("doc_id", F.col("total").cast("long").alias("total"), "has_ai", "has_text"), "doc_id")
     planned = planned.withColumn("idx", F.col("idx").cast("int"))
@@ -95,14 +96,14 @@ def read_pass(sections: DataFrame, plans: DataFrame, recogniser: Callable, path:
     asked = todo.withColumn("outcome", verdict).filter("outcome is null and has_ai").drop("has_ai", "has_text", "outcome")
     with few_at_once(spark):
         asked.mapInPandas(run, RESULTS).unionByName(passed).write.mode("overwrite").parquet(f"{path}/read={number}")
-    return ledger(spark, path, number)
+    return materialize(ledger(spark, path, number))
 
 
 def verdicts(results: DataFrame, plans: DataFrame) -> DataFrame:
-    """The state of every planned document (as ``extraction.final_state``) from a ledger."""
+    """The state of every planned document (as ``extraction.final_state``) from a ledger; stored, so that what reads it plans no joins again."""
     of_plan = results.join(plans.select("doc_id", F.col("total").cast("long").alias("total")), ["doc_id", "total"], "left_semi")
     legible = (F.col("outcome") == "read") & (F.trim(F.regexp_replace("text", r"\s+", " ")) != "")
-    return extraction.final_state(plans, of_plan.select("doc_id", "idx", "outcome", "cause", legible.alias("legible")))
+    return materialize(extraction.final_state(plans, of_plan.select("doc_id", "idx", "outcome", "cause", legible.alias("legible"))))
 
 
 def texts(results: DataFrame, plans: DataFrame, local: DataFrame, states: DataFrame, width: int = 1024) -> DataFrame:
@@ -110,5 +111,6 @@ def texts(results: DataFrame, plans: DataFrame, local: DataFrame, states: DataFr
     done = states.filter("state = 'ready'").select("doc_id", F.when(F.col("total") > 0, F.col("done")).alias("_upto"))
     of_plan = results.filter(~F.col("outcome").isin(*extraction.OPEN)).join(plans.select("doc_id", F.col("total").cast("long").alias("total")), ["doc_id", "total"], "left_semi")
     read = of_plan.join(done, "doc_id").filter(F.col("_upto").isNull() | (F.col("idx") < F.col("_upto")))
-    parts = extraction.assemble_sections(read, width).join(extraction.section_summary(read), "doc_id")
+    read = materialize(read)
+    parts = materialize(extraction.assemble_sections(read, width).join(extraction.section_summary(read), "doc_id"))
     return extraction.merge_tracks(local.join(done, "doc_id", "left_semi"), parts)

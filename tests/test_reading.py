@@ -5,7 +5,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from poolwright.operators import extraction, recognise
+from poolwright.operators import extraction, reading, recognise
 from poolwright.session import scratch_folder
 
 
@@ -209,3 +209,23 @@ def test_plan_with_sizes(spark):
     }
     plain = {r.doc_id: (r.sections, r.too_big) for r in extraction.read_plan(files, layer, images, budget=100).collect()}
     assert plain[5] == (1, 1) and plain[4] == (1, 0)
+
+
+def test_a_read_does_not_plan_its_passes_again(spark, tmp_path):
+    """What a pass and a verdict return is stored: its plan reads files and joins nothing."""
+
+    def recogniser():
+        return lambda name, mime, data, attempt: (data.decode(), "engine", "model")
+
+    rows = [(d, x, "f", f"page {x + 1}", "text/plain", b"words", False, "", x + 1, "") for d in (1, 2) for x in range(3)]
+    sections = spark.createDataFrame(
+        rows, "doc_id long, idx int, title string, label string, mime string, data binary, too_big boolean, track string, page int, note string"
+    )
+    plan = plans(spark, (1, 3, False, True), (2, 3, True, True))
+    first = reading.read_pass(sections, plan, recogniser, str(tmp_path / "read"), 1)
+    second = reading.read_pass(sections, plan, recogniser, str(tmp_path / "read"), 2)
+    states = reading.verdicts(second, plan)
+    for table in (first, second, states):
+        text = table._jdf.queryExecution().optimizedPlan().toString()
+        assert "Join" not in text and "Aggregate" not in text
+    assert second.count() == 6 and {r.state for r in states.collect()} == {"ready"}
