@@ -4,7 +4,7 @@ import os
 import random
 import uuid
 
-from pyspark.sql import functions as F
+from pyspark.sql import Row, functions as F
 
 from poolwright.operators import extraction, graph
 from poolwright.plans.queries import QUERIES, _drain
@@ -151,3 +151,47 @@ def test_tables_in_several_files_stream_whole(spark, tmp_path):
     for query in ("stream_new_files__s5", "stream_graph_state__s2", "stream_extract_state__s1"):
         want, got = (sorted(map(str, QUERIES[query](spark, d).collect())) for d in (one, many))
         assert got and got == want
+
+
+class Handle:
+    """Counts the trips to the state and the timers of one section."""
+
+    def __init__(self):
+        self.calls, self.value, self.timers = 0, None, set()
+
+    def getValueState(self, name, schema):
+        return self
+
+    def exists(self):
+        self.calls += 1
+        return self.value is not None
+
+    def get(self):
+        self.calls += 1
+        return self.value
+
+    def update(self, value):
+        self.calls, self.value = self.calls + 1, value
+
+    def clear(self):
+        self.update(None)
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.calls += 1
+        self.timers.remove(at)
+
+
+def test_one_trip_to_the_state_for_all_rows_of_a_section():
+    """Hundreds of attempts in one batch read and write the state once and leave one timer."""
+    handle, section = Handle(), jobs.SectionDeadline()
+    section.init(handle)
+    start = [Row(t=k, ms=k * 1000, event_id=None, kind=kind) for k in range(200) for kind in ("start", "outage")]
+    out = list(section.handleInputRows((1, 0), iter(start + [Row(t=300, ms=300_000, event_id=1, kind="start")]), None))
+    assert [r.outcome for r in out] == ["interrupted"] * 200 and handle.timers == {600_000} and handle.calls <= 4
+    handle.calls = 0
+    out = list(section.handleInputRows((1, 0), iter([Row(t=400, ms=400_000, event_id=2, kind="read")]), None))
+    assert [(r.outcome, r.attempts, r.step) for r in out] == [("read", 1, 201)] and handle.timers == {86_800_000} and handle.calls <= 4
