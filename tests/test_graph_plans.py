@@ -19,3 +19,15 @@ def test_attempts_are_not_sorted_to_meet_their_counts(spark):
     assert "ShuffledHashJoin" in text and "BuildRight" in text and "SortMergeJoin" not in text
     rows = out.collect()
     assert len(rows) == 300 and {(r.attempt_id % 2, r.state, r.nodes, len(r.note)) for r in rows} == {(0, "ok", 3, 2000), (1, "empty", 0, 2000)}
+
+
+def test_ports_of_dropped_nodes_go_before_the_cap(spark):
+    """Only ports with an owner are numbered; two nodes in one place have a cap each."""
+    ports = spark.createDataFrame(
+        [("g", n, k, f"{k}", "p") for n in (1, 2, 3) for k in range(4)], "graph_id string, node_ord long, ord int, id string, name string"
+    )
+    nodes = spark.createDataFrame([("g", "a", 1), ("g", "b", 1), ("g", "c", 3)], "graph_id string, id string, ord long")
+    out = graph.sanitise_ports(ports, nodes, 3)
+    text = plan(out)
+    assert text.index("WindowGroupLimit") < text.index("Join")  # the window reads the join
+    assert sorted((r.node, r.id) for r in out.collect()) == [(n, str(k)) for n in "abc" for k in range(3)]
