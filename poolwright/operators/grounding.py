@@ -76,6 +76,14 @@ def context_units(
     Output: pool_id, seq, sub, doc_id, part, idx, path, media_type, bytes, least, can_split,
     ref. ``least`` is the smallest number of bytes the unit can be cut to.
     """
+    return with_refs(sized_units(docs, images, delimiter), refs)
+
+
+def sized_units(docs: DataFrame, images: DataFrame | None = None, delimiter: str = "\n\n") -> DataFrame:
+    """The units of ``context_units`` before references are known, empty ones too.
+
+    Stored: every text is measured once, whoever reads its size and however often.
+    """
     t = trim_space("text")
     kind, state = F.col("kind"), F.coalesce("state", F.lit(""))
     part = (
@@ -96,6 +104,7 @@ def context_units(
             F.col("seq").cast("long").alias("seq"),
             F.lit(0).alias("sub"),
             "doc_id",
+            "title",
             F.when(F.col("part") == "raw", "raw").otherwise("text").alias("part"),
             F.lit(-1).alias("idx"),
             display_path("title").alias("path"),
@@ -105,26 +114,30 @@ def context_units(
             (F.col("part") == "extract").alias("can_split"),
         )
     )
-    units = texts
-    if images is not None:
-        # A file read to empty text is passed over, its pictures with it.
-        owners = docs.filter((kind == "file") & (state == "ready") & (t != "")).select(
-            "pool_id", F.col("seq").cast("long").alias("seq"), "doc_id", "title"
-        )
-        pictures = images.join(owners, "doc_id").select(
-            "pool_id",
-            "seq",
-            (F.col("idx") + 1).cast("int").alias("sub"),
-            "doc_id",
-            F.lit("image").alias("part"),
-            F.col("idx").cast("int").alias("idx"),
-            image_path("title", "page").alias("path"),
-            F.lit(IMAGE_TYPE).alias("media_type"),
-            base64_len("data").alias("bytes"),
-            base64_len("data").alias("least"),
-            F.lit(False).alias("can_split"),
-        )
-        units = units.unionByName(pictures)
+    texts = materialize(texts)
+    if images is None:
+        return texts.drop("title")
+    # A file read to empty text is passed over, its pictures with it.
+    owners = texts.filter(F.col("can_split") & (F.col("bytes") > 0)).select("pool_id", "seq", "doc_id", "title")
+    shown = images.select("doc_id", "idx", "page", base64_len("data").alias("bytes"))
+    pictures = shown.join(owners, "doc_id").select(
+        "pool_id",
+        "seq",
+        (F.col("idx") + 1).cast("int").alias("sub"),
+        "doc_id",
+        F.lit("image").alias("part"),
+        F.col("idx").cast("int").alias("idx"),
+        image_path("title", "page").alias("path"),
+        F.lit(IMAGE_TYPE).alias("media_type"),
+        "bytes",
+        F.col("bytes").alias("least"),
+        F.lit(False).alias("can_split"),
+    )
+    return materialize(texts.drop("title").unionByName(pictures))
+
+
+def with_refs(units: DataFrame, refs: DataFrame | None) -> DataFrame:
+    """``sized_units`` with the references known for them, without those that are passed over."""
     if refs is None:
         units = units.withColumn("ref", F.lit(None).cast("string"))
     else:
@@ -233,16 +246,12 @@ def _walk_rounds(
 ) -> DataFrame | None:
     """Walk the open units per question; (question_id, pool_id, pos, decision, sent, chosen).
 
-    The texts of all units that can be cut are split and matched once, before the rounds. Every
-    round takes the next ``round_units`` units of each pool that could still fit for some
-    question; pools without such a unit are out. The rounds end when none is left; nothing is
-    cut off.
+    Every round takes the next ``round_units`` units of each pool that could still fit for some
+    question; pools without such a unit are out. Their texts alone are split and matched, once, as
+    a unit is in one round only: most units of a large pool fit for no question any more after the
+    first. The rounds end when none is left; nothing is cut off.
     """
-    cut = docs.select("pool_id", "doc_id", "text").join(
-        unsure.filter("can_split").select("pool_id", "doc_id").distinct(), ["pool_id", "doc_id"], "left_semi"
-    )
-    feats = leading_features(cut, delimiter) if questions is None else paragraph_features(cut, questions, delimiter)
-    feats = materialize(feats.withColumn("can_split", F.lit(True)))
+    texts = docs.select("pool_id", "doc_id", "text")
     if questions is None:
         asked = unsure.select("pool_id").distinct().select(
             F.lit(None).cast("long").alias("question_id"), "pool_id", F.array().cast("array<string>").alias("terms")
@@ -267,7 +276,10 @@ def _walk_rounds(
         )
         if batch.isEmpty():
             break
-        step = materialize(_walk(batch, feats, state))
+        cut = texts.join(batch.filter("can_split").select("pool_id", "doc_id").distinct(), ["pool_id", "doc_id"], "left_semi")
+        cut = cut.repartition("doc_id")  # neighbours in the pool are neighbours in its files too, and would be one task's
+        feats = leading_features(cut, delimiter) if questions is None else paragraph_features(cut, questions, delimiter)
+        step = materialize(_walk(batch, materialize(feats.withColumn("can_split", F.lit(True))), state))
         rounds.append(
             step.select("question_id", "pool_id", F.explode("log").alias("d")).select(
                 "question_id", "pool_id", F.col("d.at").alias("pos"), "d.decision", "d.sent", "d.chosen"
@@ -467,12 +479,12 @@ def context_counts(packed: DataFrame, questions: DataFrame) -> DataFrame:
 
 
 def context_parts(packed: DataFrame, questions: DataFrame) -> DataFrame:
-    """The parts each question is sent, without content: bounded by the budget per question."""
+    """The parts each question is sent, without content: bounded by the budget per question, and stored."""
     sent = packed.filter(F.col("decision").isin(*SENT))
     shared = sent.filter(F.col("question_id").isNull()).drop("question_id").join(
         questions.select("question_id", "pool_id"), "pool_id"
     )
-    return sent.filter(F.col("question_id").isNotNull()).unionByName(shared)
+    return materialize(sent.filter(F.col("question_id").isNotNull()).unionByName(shared))
 
 
 def with_content(

@@ -34,13 +34,14 @@ def keep_ledger(ledger: DataFrame, path: str, turn: int) -> DataFrame:
     return ledger_at(ledger.sparkSession, path, turn)
 
 
-def _grounded(docs, images, ledger, questions, budget: int, delimiter: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _grounded(docs, images, sized, ledger, questions, budget: int, delimiter: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """What is sent: the packing, its parts with their units, and the requests' parts with content and note."""
-    units = grounding.context_units(docs, images, ledger.select(*UNIT, "ref"), delimiter)
+    units = grounding.with_refs(sized, ledger.select(*UNIT, "ref"))
     packed = materialize(grounding.pack_pool(units, docs, questions, budget, delimiter))
     parts = grounding.context_parts(packed, questions).withColumn("ord", F.col("seq") * SUBS + F.col("sub"))
     parts = parts.withColumns({"key": grounding.unit_key(), "ref": F.coalesce("ref", F.lit(""))})
-    notes = grounding.question_notes(grounding.note_pieces(grounding.gap_rows(packed, docs)), questions)
+    pieces = materialize(grounding.note_pieces(grounding.gap_rows(packed, docs)))
+    notes = grounding.question_notes(pieces, questions)
     sent = grounding.with_notes(grounding.with_content(parts, docs, images, delimiter), notes)
     return packed, parts, sent
 
@@ -52,16 +53,18 @@ def _unit() -> list:
 
 def ask_turn(
     docs: DataFrame, images: DataFrame | None, ledger: DataFrame, questions: DataFrame, model: Callable, turn: int,
-    budget: int = grounding.BUDGET, delimiter: str = "\n\n", keyed: bool = False,
+    budget: int = grounding.BUDGET, delimiter: str = "\n\n", keyed: bool = False, sized: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Answers (as ``recognise.answer`` gives them) and the ledger after the turn.
 
     ``questions``: question_id, pool_id, text. All are packed against the ledger as it was before. Questions that fail although
     they were sent references are packed and asked once more, without the references of any unit they were sent; they
     alone are packed again. ``keyed``: the model returns references by key and not by path.
+    ``sized``: the pool's ``grounding.sized_units``, where they were made already.
     """
+    sized = grounding.sized_units(docs, images, delimiter) if sized is None else sized
     prompts = questions.select("question_id", F.col("text").alias("prompt"))
-    packed, parts, sent = _grounded(docs, images, ledger, questions, budget, delimiter)
+    packed, parts, sent = _grounded(docs, images, sized, ledger, questions, budget, delimiter)
     answers = materialize(recognise.answer(sent, prompts, model))
     due = grounding.uses_refs(packed, questions).filter("retry_due")
     failed = materialize(answers.filter("error <> ''").join(due, "question_id", "left_semi").select("question_id"))
@@ -69,7 +72,7 @@ def ask_turn(
         stale = parts.join(failed, "question_id", "left_semi").select(*_unit()).distinct()
         ledger = materialize(ledger.join(stale, UNIT, "left_anti"))
         again = questions.join(failed, "question_id", "left_semi")
-        _, parts_again, sent_again = _grounded(docs, images, ledger, again, budget, delimiter)
+        _, parts_again, sent_again = _grounded(docs, images, sized, ledger, again, budget, delimiter)
         more = recognise.answer(sent_again, prompts.join(failed, "question_id", "left_semi"), model)
         answers = materialize(answers.join(failed, "question_id", "left_anti").unionByName(more))
         parts = parts.join(failed, "question_id", "left_anti").unionByName(parts_again)
@@ -84,9 +87,11 @@ def ask_turns(
 ) -> tuple[DataFrame, DataFrame]:
     """Turns one after the other, each with the ledger of the one before: answers with their turn, and the last ledger.
 
-    ``path`` holds the ledgers; ``first`` goes on from the turn before it.
+    ``path`` holds the ledgers; ``first`` goes on from the turn before it. The pool is measured once for all turns.
     """
     spark, every = docs.sparkSession, []
+    if "sized" not in options:
+        options["sized"] = grounding.sized_units(docs, images, options.get("delimiter", "\n\n"))
     ledger = ledger_at(spark, path, first - 1)
     for turn, questions in enumerate(turns, first):
         answers, after = ask_turn(docs, images, ledger, questions, model, turn, **options)

@@ -186,3 +186,28 @@ def test_first_rows_refuses_what_spark_would_not_cut(spark):
         first_rows(rows, ["k"], ["id"], 1001)
     plan = first_rows(rows, ["k"], ["id"], grounding.ROUND_UNITS)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan
+
+
+def test_pool_is_measured_once_for_all_turns(spark, pool, tmp_path, monkeypatch):
+    made, measure = [], grounding.sized_units
+    monkeypatch.setattr(grounding, "sized_units", lambda *a: made.append(a) or measure(*a))
+    one = asked(spark, "plain")
+    folder = str(tmp_path / "calls")
+    os.mkdir(folder)
+    turn.ask_turns(*pool, [one, one], model_in(folder), str(tmp_path / "refs"))
+    assert len(made) == 1
+
+
+def test_only_texts_that_are_walked_are_split(spark, monkeypatch):
+    schema = "pool_id string, seq long, doc_id long, title string, kind string, state string, text string, mime string"
+    text = "aa\n\n" + "long " * 20
+    docs = spark.createDataFrame([("p", k, k, f"d{k}", "file", "ready", text, "application/pdf") for k in range(40)], schema)
+    questions = spark.createDataFrame([(1, "p", "long"), (2, "p", "other")], "question_id long, pool_id string, text string")
+    split, features = [], grounding.paragraph_features
+    monkeypatch.setattr(grounding, "paragraph_features", lambda cut, *a: split.append(cut.count()) or features(cut, *a))
+    budget = 5
+    packed = grounding.pack_pool(grounding.context_units(docs), docs, questions, budget, round_units=3).collect()
+    # The first three take two bytes each until one is left; behind them nothing fits for any question.
+    assert split == [3]
+    assert sorted(r.doc_id for r in packed if r.decision == "partial") == [0, 1]
+    assert len(packed) == 40 and sum(r.sent for r in packed) == 4
