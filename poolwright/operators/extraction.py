@@ -247,8 +247,17 @@ def pack_pages(
 
     only_one = F.col("n_pages") <= block
     long_docs = blocks.filter(~only_one)
-    exits = long_docs.select(
-        "doc_id", "block", F.transform(F.sequence(F.lit(0), F.lit(most - 1)), exit_from).alias("exit")
+    # Pages that do not fit together cannot be open together, so most entries of a block of large pages never occur.
+    none_open = F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("size"), F.lit(0).alias("reach"))
+
+    def one_more(a: Column, p: Column) -> Column:
+        n, size = a["n"] + 1, a["size"] + p["bytes"]
+        return F.struct(n.alias("n"), size.alias("size"), F.when(size > budget_col, a["reach"]).otherwise(n).alias("reach"))
+
+    reach = F.aggregate(F.reverse("past"), none_open, one_more, lambda a: a["reach"])
+    known = F.transform(F.sequence(F.lit(0), F.col("_reach")), exit_from)
+    exits = long_docs.withColumn("_reach", reach).select(
+        "doc_id", "block", F.concat(known, F.array_repeat(F.lit(0), F.lit(most - 1) - F.col("_reach"))).alias("exit")
     )
     entries = _block_entries(exits, most)
     entered = blocks.filter(only_one).withColumn("entry", F.lit(0)).unionByName(

@@ -53,3 +53,23 @@ def test_scratch_folder_follows_the_session(spark):
 
     assert scratch_folder(Session) == "/shared"
     assert scratch_folder(spark) == scratch_folder(spark)
+
+
+def test_places_take_no_second_sort(spark):
+    df = spark.createDataFrame([(k % 3, k, "x") for k in range(50)], "g long, o long, v string")
+    out = running(df, ["g"], ["o"])
+    assert "row_number" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r.g, r.o): r.pos for r in out.collect()} == {(k % 3, k): k // 3 + 1 for k in range(50)}
+
+
+def test_entries_that_cannot_occur_are_not_followed(spark, monkeypatch):
+    from poolwright.operators import extraction
+
+    seen, follow = [], extraction._block_entries
+    monkeypatch.setattr(extraction, "_block_entries", lambda exits, most: seen.extend(exits.collect()) or follow(exits, most))
+    pages = spark.createDataFrame([(1, p, 4) for p in range(1, 40)], "doc_id long, page int, bytes long")
+    out = extraction.pack_pages(pages, 9, most=6, block=8).collect()
+    assert sorted((r.first_page, r.last_page) for r in out) == [(p, min(p + 1, 39)) for p in range(1, 40, 2)]
+    # Two pages fit: no more than two are ever open, and the tables stay as long as before.
+    assert seen and all(len(r.exit) == 6 and not any(r.exit[3:]) for r in seen)
+    assert any(any(r.exit[:3]) for r in seen)
