@@ -31,3 +31,16 @@ def test_ports_of_dropped_nodes_go_before_the_cap(spark):
     text = plan(out)
     assert text.index("WindowGroupLimit") < text.index("Join")  # the window reads the join
     assert sorted((r.node, r.id) for r in out.collect()) == [(n, str(k)) for n in "abc" for k in range(3)]
+
+
+def test_edges_are_cut_by_place_before_they_are_sorted(spark):
+    from poolwright.operators import graph
+
+    names = "graph_id string, ord long, id string, from_node string, from_port string, to_node string, to_port string, label string"
+    edges = spark.createDataFrame([(g, k, f"{g}{k}", "a", "1", "b", "1", "x") for g in "pq" for k in range(30)], names)
+    ports = spark.createDataFrame([(g, n, "1") for g in "pq" for n in "ab"], "graph_id string, node string, id string")
+    out = graph.sanitise_edges(edges, ports, 4)
+    assert sorted((r.graph_id, r.ord) for r in out.collect()) == [(g, k) for g in "pq" for k in range(4)]
+    assert "_last" in out._jdf.queryExecution().optimizedPlan().toString()
+    tied = graph.sanitise_edges(edges.withColumn("ord", edges["ord"] * 0), ports, 4)  # places that repeat do not widen the cap
+    assert tied.count() == 8
