@@ -29,6 +29,12 @@ def small_batches(spark: SparkSession, rows: int = 1_000) -> None:
         spark.conf.set(name, str(rows))
 
 
+def plain_reads(spark: SparkSession) -> None:
+    """Read Parquet files piece by piece: with vectored reads every thread of the file system's own pool
+    keeps a direct buffer as large as the largest column chunk that it has read, beside the heap and never freed."""
+    spark.conf.set("parquet.hadoop.vectored.io.enabled", "false")
+
+
 def give_back() -> None:
     """At the end of a task: return freed Arrow memory, which idle workers would keep."""
     import pyarrow as pa

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from poolwright.operators.ordering import joined_by_share
-from poolwright.llm.common import SPACE, may_hold, packed, row_key, small_batches, table, without
+from poolwright.llm.common import SPACE, may_hold, packed, plain_reads, row_key, small_batches, table, without
 from poolwright.session import materialize
 
 CHUNK = 16_384
@@ -180,6 +180,7 @@ def groups(
 ) -> DataFrame:
     """One row per document: _id, _row, keep_id, group_size, kept, text_sha256."""
     small_batches(docs.sparkSession)
+    plain_reads(docs.sparkSession)
     marks = materialize(fingerprints(docs, doc_id, text, chunk, primes, bases, spread))
     shared = materialize(marks.groupBy(*FP).agg(*_keeper()))
     known = materialize(joined_by_share(marks, shared, FP, "group_size"))

@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from poolwright.llm.common import held_out, packed, sampled, small_batches, table, unpacked
+from poolwright.llm.common import held_out, packed, plain_reads, sampled, small_batches, table, unpacked
 from poolwright.llm.shingles import texts_and_words
 
 TRAIN_ROWS = 20_000
@@ -209,6 +209,7 @@ def fit(
 
 def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", train_rows: int = TRAIN_ROWS) -> Additive:
     small_batches(docs.sparkSession)
+    plain_reads(docs.sparkSession)
     chosen, shift = sampled(labels, "quality", train_rows)
 
     @F.arrow_udf("array<double>")
