@@ -27,3 +27,13 @@ def test_cables_are_dealt_by_their_number(spark, monkeypatch):
     )
     assert sorted(r.ord for r in graph.distinct_cables(edges).collect()) == list(range(400))
     assert asked == [1_000]
+
+
+def test_answers_are_dealt_and_read_once(spark, monkeypatch):
+    monkeypatch.setattr(graph, "ANSWERS_A_PART", 10)
+    text = F.concat(F.lit('so {"nodes":[{"id":"n'), F.col("id"), F.lit('"}],"edges":[]}'))
+    parsed = graph.parse_answers(spark.range(0, 100, 1, 1).select(F.col("id").alias("graph_id"), text.alias("output")))
+    assert len(parsed.inputFiles()) == 10  # stored, a file for each part
+    nodes = graph.answer_nodes(parsed)
+    assert sorted((r.graph_id, r.id) for r in nodes.collect()) == [(i, f"n{i}") for i in range(100)]
+    assert "parse_json" not in nodes._jdf.queryExecution().optimizedPlan().toString()
