@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from poolwright.functions.text import WHITE_SPACE, is_blank, trim_space
-from poolwright.operators.ordering import first_rows, joined_in_order, running
+from poolwright.operators.ordering import enough_parts, first_rows, joined_in_order, running
 from poolwright.session import materialize
 
 STATES = ("pending", "reading", "ready", "failed")
@@ -466,6 +466,7 @@ def final_state(plans: DataFrame, results: DataFrame) -> DataFrame:
     Output: doc_id, state, reason, done, total, keep_images, keep_results. A read with sections
     left stands as ``read_progress`` has it. Pictures go only when a read has ended without any
     text; stored results go then, and when a read is complete or needs none.
+    The states are stored: sorts and joins have parts enough for the number of results.
     """
     if "cause" not in results.columns:
         results = results.withColumn("cause", F.lit(""))
@@ -501,7 +502,7 @@ def final_state(plans: DataFrame, results: DataFrame) -> DataFrame:
         .otherwise("")
     )
     ended_empty = c.isin("nothing_read", "too_big", "too_slow")
-    return j.withColumn("case", case).select(
+    out = j.withColumn("case", case).select(
         "doc_id",
         F.when(c.isin("local", "done"), "ready").when(c == "reading", F.col("stands")).otherwise("failed").alias("state"),
         reason.alias("reason"),
@@ -510,6 +511,8 @@ def final_state(plans: DataFrame, results: DataFrame) -> DataFrame:
         (~ended_empty).alias("keep_images"),
         c.isin("nothing", "no_ai", "too_large", "reading").alias("keep_results"),
     )
+    with enough_parts(results.sparkSession, results.count()):
+        return materialize(out)
 
 
 def remaining_work(sections: DataFrame, stored: DataFrame) -> DataFrame:

@@ -37,3 +37,13 @@ def test_answers_are_dealt_and_read_once(spark, monkeypatch):
     nodes = graph.answer_nodes(parsed)
     assert sorted((r.graph_id, r.id) for r in nodes.collect()) == [(i, f"n{i}") for i in range(100)]
     assert "parse_json" not in nodes._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_states_are_dealt_by_the_number_of_results(spark, monkeypatch):
+    asked = []
+    kept = extraction.enough_parts
+    monkeypatch.setattr(extraction, "enough_parts", lambda s, rows: asked.append(rows) or kept(s, rows, 10))
+    plans = spark.range(50).select(F.col("id").alias("doc_id"), F.lit(2).alias("total"), F.lit(False).alias("has_text"), F.lit(True).alias("has_ai"))
+    results = plans.select("doc_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("idx"), F.lit("read").alias("outcome"), F.lit(True).alias("legible"))
+    assert {(r.state, r.total) for r in extraction.final_state(plans, results).collect()} == {("ready", 0)}
+    assert asked == [100]
