@@ -1,9 +1,9 @@
 """Paragraphs found by an index that is stored once and asked by any number of questions.
 
 A term holds letters and digits only, so a paragraph contains it exactly if one of the paragraph's
-words does. The index has two tables: ``postings``, the words of every paragraph, and ``grams``, the
-distinct words under each three letters that they hold. A term is looked up under the rarest of its
-own three letters and verified, so no term is searched in a paragraph, and no text is read again.
+words does. The index has two tables: ``postings``, the words of every paragraph, kept by document, and
+``vocabulary``, the distinct words with the three letters that they hold. A term is looked up under the
+rarest of its own three letters and verified, so no term is searched in a paragraph, and no text is read again.
 """
 
 from __future__ import annotations
@@ -18,6 +18,12 @@ from poolwright.operators.retrieval import question_terms
 from poolwright.session import materialize
 
 GRAM = 3
+#: Words held by more than one in so many postings are broadcast with their terms: there are no more of them than this.
+HOT_WORDS = 200_000
+#: Documents are of one kind if a hash of their questions is equal, modulo this.
+KINDS = 4_096
+#: Terms of all kinds that are broadcast at most.
+KNOWN_AT_ONCE = 200_000
 
 
 def grams(word: Column) -> Column:
@@ -27,10 +33,10 @@ def grams(word: Column) -> Column:
 
 @dataclass(frozen=True)
 class TermIndex:
-    """``postings``: word, doc_id, idx. ``grams``: gram, word, n (paragraphs that hold the word)."""
+    """``postings``: doc_id, paras (the words of each paragraph, joined by spaces). ``vocabulary``: word, n (paragraphs that hold it), grams."""
 
     postings: DataFrame
-    grams: DataFrame
+    vocabulary: DataFrame
 
 
 def write_index(docs: DataFrame, path: str, delimiter: str = "\n\n") -> None:
@@ -38,15 +44,21 @@ def write_index(docs: DataFrame, path: str, delimiter: str = "\n\n") -> None:
 
     Postings are made in the scan, without a shuffle. Null texts and texts without words have none.
     """
-    rows = docs.select("doc_id", F.posexplode(paragraphs("text", delimiter)).alias("idx", "_para"))
-    rows.select(F.explode(words("_para", GRAM)).alias("word"), "doc_id", "idx").write.parquet(f"{path}/postings")
-    stored = docs.sparkSession.read.parquet(f"{path}/postings")
-    vocabulary = stored.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    vocabulary.select(F.explode(grams(F.col("word"))).alias("gram"), "word", "n").write.parquet(f"{path}/grams")
+    paras = F.transform(paragraphs("text", delimiter), lambda p: F.array_join(words(p, GRAM), " "))
+    docs.select("doc_id", paras.alias("paras")).write.parquet(f"{path}/postings")
+    counted = each_posting(docs.sparkSession.read.parquet(f"{path}/postings")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    counted.withColumn("grams", grams(F.col("word"))).write.parquet(f"{path}/vocabulary")
 
 
 def read_index(spark: SparkSession, path: str) -> TermIndex:
-    return TermIndex(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/grams"))
+    return TermIndex(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/vocabulary"))
+
+
+def each_posting(postings: DataFrame) -> DataFrame:
+    """One row per word of a paragraph instead of ``paras``: the other columns, idx, word."""
+    rest = [c for c in postings.columns if c != "paras"]
+    held = postings.select(*rest, F.posexplode("paras").alias("idx", "_words")).filter("_words != ''")
+    return held.select(*rest, "idx", F.explode(F.split("_words", " ")).alias("word"))
 
 
 def words_with(index: TermIndex, terms: DataFrame) -> DataFrame:
@@ -54,11 +66,13 @@ def words_with(index: TermIndex, terms: DataFrame) -> DataFrame:
 
     A term of which some three letters occur in no word is in none. The list of a word is bounded by the runs inside it.
     """
-    known = index.grams.groupBy("gram").agg(F.count(F.lit(1)).alias("_words"))
+    under = index.vocabulary.select(F.explode("grams").alias("gram"), "word", "n")
+    known = under.groupBy("gram").agg(F.count(F.lit(1)).alias("_words"))
     looked = terms.select("term").distinct().select("term", F.explode(grams(F.col("term"))).alias("gram"))
     counted = looked.join(known, "gram", "left").withColumn("_words", F.coalesce("_words", F.lit(0)))
     rarest = counted.groupBy("term").agg(F.min(F.struct("_words", "gram")).alias("_least")).filter("_least._words > 0")
-    met = rarest.select("term", F.col("_least.gram").alias("gram")).join(index.grams, "gram")
+    # Stored, so that the planner knows how few terms there are.
+    met = materialize(rarest.select("term", F.col("_least.gram").alias("gram"))).join(under, "gram")
     return met.filter(F.contains("word", "term")).groupBy("word").agg(F.first("n").alias("n"), F.collect_set("term").alias("terms"))
 
 
@@ -67,14 +81,26 @@ def indexed_scores(index: TermIndex, questions: DataFrame, requests: DataFrame)
 
     ``questions``: question_id (once each), text. ``requests``: question_id, doc_id; a request that is
     repeated is returned as often as it was made, one without a document or question finds nothing.
-    A word that a large share of all paragraphs hold stays where it is: its terms are broadcast.
+    Only postings of requested documents are read on. A word that a large share of all paragraphs hold stays where it is:
+    its terms are broadcast.
+
+    Documents about which the same is asked are of one ``kind``. As long as all kinds together know few terms, a posting
+    is met with those of its own kind where it lies, and only what is left is shuffled to the requests of its document.
+    A kind may take in documents asked something else; the requests decide.
     """
-    asked = question_terms(questions.select("question_id", "text")).select("question_id", F.explode("terms").alias("term"))
+    asked = materialize(question_terms(questions.select("question_id", "text")).select("question_id", F.explode("terms").alias("term")))
     pairs = requests.filter(F.col("doc_id").isNotNull()).groupBy("question_id", "doc_id").agg(F.count(F.lit(1)).cast("int").alias("_times"))
-    wanted = pairs.join(asked, "question_id")
+    pairs = materialize(pairs)
+    kinds = materialize(pairs.groupBy("doc_id").agg(F.pmod(F.bit_xor(F.xxhash64("question_id")), F.lit(KINDS)).alias("_kind")))
+    of_kind = pairs.join(kinds, "doc_id").select("_kind", "question_id").distinct()
+    known = materialize(of_kind.join(asked, "question_id").select("_kind", "term").distinct())
     found = materialize(words_with(index, asked))
-    hits = joined_by_share(index.postings, found, ["word"], "n").select("doc_id", "idx", F.explode("terms").alias("term"))
+    postings = each_posting(index.postings.join(kinds, "doc_id"))
+    hits = joined_by_share(postings, found, ["word"], "n", HOT_WORDS).select("doc_id", "_kind", "idx", F.explode("terms").alias("term"))
+    if known.count() <= KNOWN_AT_ONCE:
+        hits = hits.join(F.broadcast(known), ["_kind", "term"])
     # A paragraph counts a term once, whichever of its words hold it.
+    wanted = pairs.join(asked, "question_id")
     scored = hits.join(wanted, ["doc_id", "term"]).select("question_id", "doc_id", "_times", "idx", "term").distinct()
     counts = scored.groupBy("question_id", "doc_id", "idx", "_times").agg(F.count(F.lit(1)).cast("int").alias("score"))
     return counts.select("question_id", "doc_id", "idx", "score", F.explode(F.array_repeat(F.lit(0), F.col("_times")))).drop("col")

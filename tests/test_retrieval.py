@@ -81,3 +81,30 @@ def test_index_is_asked_without_texts(spark, tmp_path):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert out.count() == 0
     assert not any(x in plan for x in ("_para", "CartesianProduct", "BroadcastNestedLoopJoin"))
+
+
+def test_only_wanted_hits_go_to_the_requests(spark, tmp_path, monkeypatch):
+    """Every document holds all terms, and is asked one of many questions: no hit of another question's term is shuffled."""
+    path = str(tmp_path / "index")
+    docs = spark.createDataFrame([(d, " ".join(f"term{q}x" for q in range(20)) + "\n\nterm3x") for d in range(40)], "doc_id long, text string")
+    questions = spark.createDataFrame([(q, f"term{q}x") for q in range(20)], "question_id long, text string")
+    requests = spark.createDataFrame([(d % 20, d) for d in range(30)], "question_id long, doc_id long")
+    term_index.write_index(docs, path)
+    met, join = [], type(docs).join
+
+    def spy(left, right, on=None, how=None):
+        if on == ["doc_id", "term"]:
+            met.append(left.count())
+        return join(left, right, on, how)
+
+    def rows():
+        return sorted(tuple(r) for r in term_index.indexed_scores(term_index.read_index(spark, path), questions, requests).collect())
+
+    monkeypatch.setattr(type(docs), "join", spy)
+    expected = sorted([(d % 20, d, 0, 1) for d in range(30)] + [(3, d, 1, 1) for d in (3, 23)])
+    assert rows() == expected and met == [32]
+    # Kinds may take in documents asked something else, and may be left out: the rows are the same.
+    monkeypatch.setattr(term_index, "KINDS", 2)
+    assert rows() == expected and 32 < met[1] < 620
+    monkeypatch.setattr(term_index, "KNOWN_AT_ONCE", 0)
+    assert rows() == expected and met[2] == 620 + 10
