@@ -93,7 +93,7 @@ def indexed_scores(index: TermIndex, questions: DataFrame, requests: DataFrame)
     pairs = materialize(pairs)
     kinds = materialize(pairs.groupBy("doc_id").agg(F.pmod(F.bit_xor(F.xxhash64("question_id")), F.lit(KINDS)).alias("_kind")))
     of_kind = pairs.join(kinds, "doc_id").select("_kind", "question_id").distinct()
-    # A hash of both is looked up much faster than the term itself, and lets hardly anything else through.
+    # A hash of both is a shorter key than the term, and lets hardly anything else through.
     key = F.xxhash64("_kind", "term").alias("_key")
     known = materialize(of_kind.join(asked, "question_id").select(key).distinct())
     found = materialize(words_with(index, asked))
